@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["transform"]
+FAMILIES = ["sources", "transform", "mapping"]
 
 
 def collect(kind: str) -> dict:

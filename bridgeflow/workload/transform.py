@@ -122,12 +122,11 @@ LABEL = f"{ln.sql_list(fixed.SEVERITY_LABELS)}[{ln.sql_level('severity')} + 1]"
 
 
 @suite.query("normalize_severity", ln.with_(ln.MESSAGES) + f"""
-SELECT event_id, {LABEL} AS label, 'info' AS other FROM messages""")
+SELECT event_id, {LABEL} AS label, CASE event_type WHEN 'error' THEN 'error' ELSE 'info' END AS other FROM messages""")
 def _(t):
     padded = F.concat(F.lit("  "), F.upper("severity"), F.lit("\t"))
     return ln.messages(t).select("event_id", units.normalize_severity(padded).alias("label"),
-                                 units.normalize_severity(F.col("event_type")).alias("other")) \
-        .withColumn("other", F.when(F.col("other") == "error", "info").otherwise(F.col("other")))
+                                 units.normalize_severity(F.col("event_type")).alias("other"))
 
 
 @suite.query("convert_units", ln.with_(ln.MESSAGES) + f"""

@@ -65,23 +65,21 @@ def first_glob(c: Column, globs: list[str]) -> Column:
 
 def json_quote(c: Column) -> Column:
     """JSON string literal of ``c`` with ASCII escapes."""
-    s = F.regexp_replace(c, r"([\\\"])", r"\\$1")
-    for raw, esc in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
-        s = F.replace(s, F.lit(raw), F.lit("\\" + esc))
-
     def unit(code: Column) -> Column:
         return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
 
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
     def escape(ch: Column) -> Column:
         n = F.ascii(ch).cast("long")
         high = F.floor((n - 0x10000) / 0x400) + 0xD800
         low = (n - 0x10000) % 0x400 + 0xDC00
-        return (F.when(n.between(0x20, 0x7E) | (n == 0x7F), ch)
-                .when(n < 0x10000, unit(n))
-                .otherwise(F.concat(unit(high), unit(low))))
+        return (F.when(ch == "", ch).when(ch.isin(*short), F.try_element_at(string_map(short), ch))
+                .when(n.between(0x20, 0x7F), ch).when(n < 0x10000, unit(n)).otherwise(F.concat(unit(high), unit(low))))
 
-    escaped = F.array_join(F.transform(F.split(s, ""), lambda ch: F.when(ch == "", ch).otherwise(escape(ch))), "")
-    return F.concat(F.lit('"'), F.when(s.rlike(r"[^\x20-\x7F]"), escaped).otherwise(s), F.lit('"'))
+    escaped = F.array_join(F.transform(F.split(c, ""), escape), "")
+    plain = c.rlike(r"^[\x20-\x7F&&[^\"\\]]*$")
+    return F.concat(F.lit('"'), F.when(plain, c).otherwise(escaped), F.lit('"'))
 
 
 def name_grams(c: Column) -> Column:

@@ -7,7 +7,7 @@ A single key may hold a large part of all rows, so nothing here gathers a key in
   the partition borders inside a key.
 * ``ranked`` numbers the rows of a key from per-bucket counts plus a rank inside each bucket.
 * ``previous_value`` is ``lag`` by one row with the same bucketing.
-* ``trailing`` evaluates a trailing time window after copying each row to the next time bucket.
+* ``trailing`` and ``next_match`` look back or ahead over a time range, one time bucket at a time.
 """
 
 from __future__ import annotations
@@ -167,11 +167,42 @@ def previous_value(
     )
 
 
-def trailing(df: DataFrame, keys: list[str], time: str, length: int, aggs: dict[str, Column]) -> DataFrame:
-    """Aggregates over rows of the key with time in [t - length, t]; ``time`` is a bigint column."""
-    bucket = F.floor(F.col(time) / length)
-    copies = df.withColumn("__h", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__b", bucket + F.col("__h"))
-    over = W.partitionBy(*keys, "__b").orderBy(time).rangeBetween(-length, 0)
-    for name, agg in aggs.items():
-        copies = copies.withColumn(name, agg.over(over))
-    return copies.filter("__h = 0").drop("__h", "__b")
+def trailing(df: DataFrame, keys: list[str], time: str, length: int, sums: dict[str, Column]) -> DataFrame:
+    """Integer sums over rows of the key with time in [t - length, t]; ``time`` is a bigint column.
+
+    Each row adds its values at t and takes them back after t + length, so one running sum per
+    (key, time bucket) gives every window; a bucket also gets the rows of the one before it.
+    """
+    b = F.floor(F.col(time) / length)
+    copy = lambda bucket, at, sign, out: F.struct(
+        bucket.alias("b"), at.alias("at"), F.lit(sign).alias("sign"), F.lit(out).alias("out"))
+    t = F.col(time)
+    copies = df.withColumn("__c", F.explode(F.array(
+        copy(b, t, 1, True), copy(b + 1, t, 1, False), copy(b + 1, t + length + 1, -1, False))))
+    over = W.partitionBy(*keys, "__c.b").orderBy("__c.at").rangeBetween(W.unboundedPreceding, 0)
+    for name, value in sums.items():
+        copies = copies.withColumn(name, F.sum(value * F.col("__c.sign")).over(over))
+    return copies.filter("__c.out").drop("__c")
+
+
+def next_match(
+    df: DataFrame, keys: list[str], time: str, tie: str, length: int, found: Column, name: str
+) -> DataFrame:
+    """The nearest later non-null ``found`` of the same key no more than ``length`` after the row.
+
+    ``found`` must be a struct holding its own time as ``at``.
+    """
+    b = F.floor(F.col(time) / length)
+    copies = (
+        df.withColumn("__f", found)
+        .withColumn("__c", F.explode(F.when(F.col("__f").isNull(), F.array(F.struct(b.alias("b"), F.lit(True).alias("out"))))
+                                     .otherwise(F.array(F.struct(b.alias("b"), F.lit(True).alias("out")),
+                                                        F.struct((b - 1).alias("b"), F.lit(False).alias("out"))))))
+    )
+    later = W.partitionBy(*keys, "__c.b").orderBy(F.desc(time), F.desc(tie)).rowsBetween(W.unboundedPreceding, -1)
+    near = F.last("__f", ignorenulls=True).over(later)
+    return (
+        copies.withColumn(name, near).filter("__c.out")
+        .withColumn(name, F.when(F.col(name)["at"] - F.col(time) <= length, F.col(name)))
+        .drop("__c", "__f")
+    )

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["sources", "transform", "mapping"]
+FAMILIES = ["sources", "transform", "mapping", "contracts"]
 
 
 def collect(kind: str) -> dict:

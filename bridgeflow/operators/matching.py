@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import fixed
 from ..functions.text import let, name_grams, string_map
 
-NODE_COLUMNS = ["protocol", "tags", "rate", "confidence", "ck"]
-
 
 # ---- contract text and embeddings -------------------------------------------------
 
@@ -136,3 +134,228 @@ def align_contracts(key_pairs: DataFrame, contracts: DataFrame) -> DataFrame:
     c = ready.select(F.col("ck").alias("c_ck"), F.col("ready").alias("c_ready"))
     joined = key_pairs.join(p, "p_ck").join(c, "c_ck")
     return joined.withColumn("mappings", align_fields(F.col("p_ready"), F.col("c_ready"))).drop("p_ready", "c_ready")
+
+
+# ---- pair components -------------------------------------------------------------------
+
+def latency_score(producer_rate: Column, consumer_rate: Column) -> Column:
+    """0.5 to 1 for how well two message rates match; a missing rate matches."""
+    p = F.when(F.coalesce(producer_rate, F.lit(0.0)) == 0, 1.0).otherwise(producer_rate)
+    c = F.when(F.coalesce(consumer_rate, F.lit(0.0)) == 0, p).otherwise(consumer_rate)
+    ratio = F.least(p, c) / F.greatest(p, c)
+    value = 0.5 + 0.5 * F.log10(F.greatest(ratio, F.lit(1e-4)) * 10000) / 4
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+
+
+def quick_risk(p_listed: Column, c_listed: Column, p_protocol: Column, c_protocol: Column, p_conf: Column, c_conf: Column) -> Column:
+    """Risk from blacklisting, unknown protocols and weak contracts, at most 1."""
+    add = lambda cond, x: F.when(cond, x).otherwise(0.0)
+    return F.least(F.lit(1.0), add(p_listed | c_listed, 1.0) + add((p_protocol == "unknown") | (c_protocol == "unknown"), 0.4)
+                   + add((p_conf < 0.4) | (c_conf < 0.4), 0.3))
+
+
+def protocol_compat(p_protocol: Column, c_protocol: Column) -> Column:
+    table = {f"{a}>{b}": s for a, row in fixed.PROTOCOL_COMPAT.items() for b, s in zip(fixed.PROTOCOLS, row)}
+    return F.coalesce(F.try_element_at(string_map(table), F.concat_ws(">", p_protocol, c_protocol)), F.lit(fixed.DEFAULT_COMPAT))
+
+
+def bridge_history(outcomes: DataFrame) -> DataFrame:
+    """Success rate per protocol pair; at most one row per pair of the closed protocol list."""
+    return outcomes.groupBy("producer_protocol", "consumer_protocol").agg(
+        F.avg(F.col("success").cast("double")).alias("history"), F.count(F.lit(1)).alias("n"))
+
+
+def with_history(pairs: DataFrame, history: DataFrame, p: str, c: str) -> DataFrame:
+    known = history.select(F.col("producer_protocol").alias(p), F.col("consumer_protocol").alias(c), "history")
+    return pairs.join(F.broadcast(known), [p, c], "left").withColumn("history", F.coalesce("history", F.lit(0.5)))
+
+
+def tags_compatible(p_tags: Column, c_tags: Column) -> Column:
+    """Tag sets that overlap, or one of which is empty or broad."""
+    return F.arrays_overlap(p_tags, c_tags) | _broad(p_tags) | _broad(c_tags)
+
+
+def _broad(tags: Column) -> Column:
+    return (F.size(tags) == 0) | F.arrays_overlap(tags, F.array(*[F.lit(t) for t in fixed.BROAD_TAGS]))
+
+
+# ---- pairs without a cross product --------------------------------------------------------
+#
+# A score depends on a node only through its profile: contract text, tags, protocol, rate,
+# confidence and blacklisting. Nodes are grouped into profiles and profiles into cells (all but
+# the text). Cells meet through their tag blocks, cell pairs whose best possible score is too low
+# are dropped, texts are compared once per distinct pair, and only pairs that pass are expanded
+# to nodes.
+
+CELL = ["protocol", "tags", "rate", "confidence", "listed"]
+
+
+def _key(*names: str) -> Column:
+    return F.sha2(F.to_json(F.struct(*names)), 256)
+
+
+def node_profiles(nodes: DataFrame, blacklist: list[str] | None = None) -> DataFrame:
+    """Nodes with their text, cell and profile keys."""
+    text = contract_text(F.col("encoding"), F.transform("fields", lambda f: f["name"]), F.col("tags"))
+    return (nodes.withColumn("text", text).withColumn("listed", F.col("node_id").isin(blacklist or []))
+            .withColumn("cell", _key(*CELL)).withColumn("profile", _key("cell", "text")))
+
+
+def _side(nodes: DataFrame, roles: list[str], mark: str) -> DataFrame:
+    cells = nodes.filter(F.col("role").isin(roles)).groupBy("cell", *CELL).agg(F.count(F.lit(1)).alias("n"))
+    return cells.withColumnsRenamed({c: mark + c for c in ["cell", "n"] + CELL})
+
+
+def cell_pairs(profiles: DataFrame) -> DataFrame:
+    """Compatible cell pairs, met through tag blocks: each side offers its tags and asks for the other's wildcard."""
+    block = lambda tags, own_any, broad_any: F.explode(F.array_distinct(F.concat(
+        F.transform(tags, lambda x: F.concat(F.lit("tag:"), x)), F.array(F.lit(own_any)),
+        F.when(_broad(tags), F.array(F.lit(broad_any))).otherwise(F.array().cast("array<string>")))))
+    p = _side(profiles, ["producer", "both"], "p_").withColumn("block", block(F.col("p_tags"), "any consumer", "any producer"))
+    c = _side(profiles, ["consumer", "both"], "c_").withColumn("block", block(F.col("c_tags"), "any producer", "any consumer"))
+    met = p.join(c, "block").drop("block").dropDuplicates(["p_cell", "c_cell"])
+    return met.filter((F.col("p_confidence") >= 0.2) & (F.col("c_confidence") >= 0.2))
+
+
+def scored_cells(cells: DataFrame, history: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Components that need no text, and the best score a pair of the cells can reach."""
+    out = with_history(cells, history, "p_protocol", "c_protocol")
+    col = F.col
+    out = out.withColumns({
+        "compat": protocol_compat(col("p_protocol"), col("c_protocol")),
+        "latency": latency_score(col("p_rate"), col("c_rate")),
+        "risk": 1.0 - quick_risk(col("p_listed"), col("c_listed"), col("p_protocol"), col("c_protocol"), col("p_confidence"), col("c_confidence")),
+        "confidence": F.least("p_confidence", "c_confidence"),
+    })
+    rest = weights["protocol"] * col("compat") + weights["latency"] * col("latency") + weights["risk"] * col("risk") + weights["history"] * col("history")
+    return out.withColumn("rest", rest).withColumn("bound", col("confidence") * (weights["semantic"] + rest))
+
+
+def candidate_pairs(profiles: DataFrame, taken: DataFrame, history: DataFrame, weights: dict | None = None,
+                    min_score: float = fixed.MIN_SCORE) -> DataFrame:
+    """Cell pairs that can reach ``min_score`` with the number of open node pairs in each.
+
+    ``taken`` holds active and queued pairs, which are counted out.
+    """
+    cells = scored_cells(cell_pairs(profiles), history, weights or fixed.SCORE_WEIGHTS).filter(F.round("bound", 9) >= min_score)
+    out = cells.join(_taken_per_cell(profiles, taken), ["p_cell", "c_cell"], "left")
+    return out.withColumn("n_pairs", F.col("p_n") * F.col("c_n") - F.coalesce("n_taken", F.lit(0)))
+
+
+def _taken_per_cell(profiles: DataFrame, taken: DataFrame) -> DataFrame:
+    """Active, queued and self pairs per cell pair."""
+    made = lambda roles, mark: profiles.filter(F.col("role").isin(roles)).select(F.col("node_id").alias(mark + "id"), F.col("cell").alias(mark + "cell"))
+    p, c = made(["producer", "both"], "p_"), made(["consumer", "both"], "c_")
+    pairs = taken.select(F.col("producer_id").alias("p_id"), F.col("consumer_id").alias("c_id")).distinct().filter("p_id <> c_id")
+    ended = pairs.join(p, "p_id").join(c, "c_id").groupBy("p_cell", "c_cell").agg(F.count(F.lit(1)).alias("m"))
+    itself = profiles.filter("role = 'both'").groupBy(F.col("cell").alias("p_cell"), F.col("cell").alias("c_cell")).agg(F.count(F.lit(1)).alias("m"))
+    return ended.unionByName(itself).groupBy("p_cell", "c_cell").agg(F.sum("m").alias("n_taken"))
+
+
+def pair_prefilter(profiles: DataFrame, taken: DataFrame) -> DataFrame:
+    """Scored and skipped pairs per protocol pair, counted without listing pairs."""
+    total = lambda roles, mark: profiles.filter(F.col("role").isin(roles)).groupBy(F.col("protocol").alias(mark + "protocol")).agg(F.count(F.lit(1)).alias(mark + "n"))
+    grid = profiles.sparkSession.createDataFrame([(a, b) for a in fixed.PROTOCOLS for b in fixed.PROTOCOLS], "p_protocol string, c_protocol string")
+    all_pairs = grid.join(total(["producer", "both"], "p_"), "p_protocol").join(total(["consumer", "both"], "c_"), "c_protocol")
+    taken_cells = _taken_per_cell(profiles, taken)
+    protocol = lambda mark: profiles.select(F.col("cell").alias(mark + "cell"), F.col("protocol").alias(mark + "protocol")).distinct()
+    excluded = taken_cells.join(protocol("p_"), "p_cell").join(protocol("c_"), "c_cell").groupBy("p_protocol", "c_protocol").agg(F.sum("n_taken").alias("excluded"))
+    open_cells = cell_pairs(profiles).join(taken_cells, ["p_cell", "c_cell"], "left")
+    scored = open_cells.groupBy("p_protocol", "c_protocol").agg(
+        F.sum(F.col("p_n") * F.col("c_n") - F.coalesce("n_taken", F.lit(0))).alias("scored"))
+    out = all_pairs.join(excluded, ["p_protocol", "c_protocol"], "left").join(scored, ["p_protocol", "c_protocol"], "left")
+    zero = lambda n: F.coalesce(n, F.lit(0))
+    return out.select(
+        F.col("p_protocol").alias("producer_protocol"), F.col("c_protocol").alias("consumer_protocol"),
+        (F.col("p_n") * F.col("c_n") - zero("excluded")).alias("open"), zero("scored").alias("scored"),
+        (F.col("p_n") * F.col("c_n") - zero("excluded") - zero("scored")).alias("skipped"))
+
+
+def score_pairs(nodes: DataFrame, taken: DataFrame, history: DataFrame, weights: dict | None = None,
+                min_score: float = fixed.MIN_SCORE, blacklist: list[str] | None = None,
+                embeddings: DataFrame | None = None) -> DataFrame:
+    """Open node pairs whose score reaches ``min_score``, with all components.
+
+    ``embeddings`` (text, embedding) replaces the built-in text embedding.
+    """
+    w = weights or fixed.SCORE_WEIGHTS
+    profiles = node_profiles(nodes, blacklist)
+    # all components are at most 1, so a weaker contract cannot reach the minimum
+    strong = profiles.filter(F.col("confidence") >= min_score / sum(w.values()))
+    cells = scored_cells(cell_pairs(strong), history, w).filter(F.round("bound", 9) >= min_score)
+    kinds = strong.select("cell", "profile", "text").distinct()
+    p = kinds.withColumnsRenamed({c: "p_" + c for c in kinds.columns})
+    c = kinds.withColumnsRenamed({c: "c_" + c for c in kinds.columns})
+    wanted = cells.join(p, "p_cell").join(c, "c_cell")
+    if embeddings is None:
+        embeddings = dense(ngram_embedding(kinds.select("text", F.col("text").alias("body")).distinct(), "text", "body"), "text")
+    e = embeddings
+    texts = (
+        wanted.select("p_text", "c_text").distinct()
+        .join(e.select(F.col("text").alias("p_text"), F.col("embedding").alias("pe")), "p_text")
+        .join(e.select(F.col("text").alias("c_text"), F.col("embedding").alias("ce")), "c_text")
+        .select("p_text", "c_text", cosine_similarity(F.col("pe"), F.col("ce")).alias("semantic"))
+    )
+    passed = (
+        wanted.join(texts, ["p_text", "c_text"])
+        .withColumn("composite", F.col("confidence") * (w["semantic"] * F.col("semantic") + F.col("rest")))
+        # nine digits, so that the order of summation does not decide
+        .filter(F.round("composite", 9) >= min_score)
+        .select("p_profile", "c_profile", "semantic", "compat", "latency", "risk", "history", "composite")
+    )
+    end = lambda roles, mark: strong.filter(F.col("role").isin(roles)).select(
+        F.col("profile").alias(mark[0] + "_profile"), F.col("node_id").alias(mark + "_id"))
+    made = passed.join(end(["producer", "both"], "producer"), "p_profile").join(end(["consumer", "both"], "consumer"), "c_profile")
+    return (made.filter("producer_id <> consumer_id").join(taken.select("producer_id", "consumer_id"), ["producer_id", "consumer_id"], "left_anti")
+            .drop("p_profile", "c_profile"))
+
+
+# ---- queue -------------------------------------------------------------------------------
+
+def queue_dedupe(candidates: DataFrame, seq: str = "seq") -> DataFrame:
+    """A queued pair is not queued again: the first candidate of each pair."""
+    rest = [c for c in candidates.columns if c not in ("producer_id", "consumer_id")]
+    first = F.min_by(F.struct(*rest), F.col(seq)).alias("first")
+    return candidates.groupBy("producer_id", "consumer_id").agg(first).select("producer_id", "consumer_id", "first.*")
+
+
+def queue_decay(queue: DataFrame, as_of: int, composite: str = "composite", created: str = "created",
+                minute: int = 60_000_000) -> DataFrame:
+    """Queue entries that survive their waiting time; ``as_of`` and ``created`` are microseconds."""
+    waited = (F.lit(as_of) - F.col(created)) / float(minute)
+    factor = F.pow(F.lit(fixed.DECAY_PER_MINUTE), waited)
+    decayed = F.col(composite) * factor
+    return (queue.withColumn("original", F.col(composite)).withColumn("factor", factor).withColumn("decayed", decayed)
+            .filter(F.col("decayed") >= fixed.MIN_DECAYED)
+            .withColumn(composite, F.when(F.col("factor") < 0.999, F.col("decayed")).otherwise(F.col(composite))).drop("factor"))
+
+
+def queue_pop(queue: DataFrame, as_of: int, k: int, seq: str = "seq", **options) -> DataFrame:
+    """The next ``k`` candidates: best original score first, then first in."""
+    return queue_decay(queue, as_of, **options).orderBy(F.desc("original"), F.asc(seq)).limit(k)
+
+
+def queue_repush(queue: DataFrame, torn: DataFrame, as_of: int, score: float = 0.5) -> DataFrame:
+    """Queue after teardowns: torn pairs come back with a fixed score unless a node is gone."""
+    again = (torn.filter(F.col("reason") != "node-gone").select("producer_id", "consumer_id").distinct()
+             .withColumns({"composite": F.lit(score), "created": F.lit(as_of)}))
+    kept = queue.select("producer_id", "consumer_id", "composite", "created").join(again.select("producer_id", "consumer_id"), ["producer_id", "consumer_id"], "left_anti")
+    return kept.unionByName(again)
+
+
+def fanout_opportunities(queue: DataFrame) -> DataFrame:
+    """Producers with two or more queued consumers."""
+    distinct = queue.select("producer_id", "consumer_id").distinct()
+    return distinct.groupBy("producer_id").agg(F.count(F.lit(1)).alias("consumers")).filter("consumers >= 2")
+
+
+def manual_candidates(requests: DataFrame, nodes: DataFrame, active: DataFrame) -> DataFrame:
+    """Operator requests with score 1 or the reason of their refusal."""
+    known = lambda key: nodes.select(F.col("node_id").alias(key), F.lit(True).alias("has_" + key)).distinct()
+    on = active.select("producer_id", "consumer_id", F.lit(True).alias("is_active")).distinct()
+    out = (requests.join(known("producer_id"), "producer_id", "left").join(known("consumer_id"), "consumer_id", "left")
+           .join(on, ["producer_id", "consumer_id"], "left"))
+    error = (F.when(F.col("has_producer_id").isNull(), "producer not found").when(F.col("has_consumer_id").isNull(), "consumer not found")
+             .when(F.col("is_active").isNotNull(), "bridge already active"))
+    return (out.withColumn("error", error).withColumn("composite", F.when(F.col("error").isNull(), 1.0))
+            .drop("has_producer_id", "has_consumer_id", "is_active"))

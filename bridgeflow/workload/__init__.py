@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["sources", "transform", "mapping", "contracts"]
+FAMILIES = ["sources", "transform", "mapping", "contracts", "matching"]
 
 
 def collect(kind: str) -> dict:

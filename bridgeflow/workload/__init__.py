@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["sources", "transform", "mapping", "contracts", "matching"]
+FAMILIES = ["sources", "transform", "mapping", "contracts", "matching", "policy"]
 
 
 def collect(kind: str) -> dict:

@@ -50,7 +50,8 @@ def _(t):
 
 @suite.query("cosine_similarity", """
 SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine,
-  round(list_cosine_similarity((a.embedding[1:10])::DOUBLE[], (b.embedding[1:10])::DOUBLE[]), 6) AS truncated, 0.0::DOUBLE AS zero
+  round(list_inner_product((a.embedding[1:10])::DOUBLE[], (b.embedding[1:10])::DOUBLE[])
+    / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_inner_product((b.embedding[1:10])::DOUBLE[], (b.embedding[1:10])::DOUBLE[])), 6) AS truncated, 0.0::DOUBLE AS zero
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def _(t):
     other = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))

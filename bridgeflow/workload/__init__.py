@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["sources", "transform", "mapping", "contracts", "matching", "policy"]
+FAMILIES = ["sources", "transform", "mapping", "contracts", "matching", "policy", "registry", "resilience"]
 
 
 def collect(kind: str) -> dict:

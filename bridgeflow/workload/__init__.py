@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-FAMILIES = ["sources", "transform", "mapping", "contracts", "matching", "policy", "registry", "resilience"]
+FAMILIES = ["sources", "transform", "mapping", "contracts", "matching", "policy", "registry", "resilience",
+            "topology", "metrics", "lifecycle"]
 
 
 def collect(kind: str) -> dict:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import fixed
-from ..functions.text import hmac_sha256, strip
+from ..functions.text import hmac_sha256, string_map, strip
 from .transform import RecordConverter, col
 
 
@@ -232,34 +232,56 @@ def plan_adapters(pairs: DataFrame, nodes: DataFrame, version: str = fixed.ADAPT
         F.col("p_fields").alias("producer_fields"))
 
 
-def validate_plans(plans: DataFrame) -> DataFrame:
-    """Run a synthetic five-field sample through each plan and flag plans that yield no record.
-
-    The record of a plan is the mapped destinations plus the unmapped sample fields.
+def _sample_envelope(sample: Column, envelope: Column) -> Column:
+    """Keys and values of a sample after its envelope; bytes and nested parts are shown by name."""
+    get = lambda k, default: F.coalesce(F.try_element_at(sample, F.lit(k)), F.lit(default))
+    made = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
+    has_value = F.map_contains_key(sample, F.lit("value"))
+    return (
+        F.when(envelope == "mqtt_to_kafka", made("key", get("topic", "unknown"), "value", "bytes", "headers", "headers"))
+        .when(envelope == "file_to_kafka", made("value", "bytes", "headers", "headers"))
+        .when(envelope == "mavlink_to_grpc", made("sys_id", get("sys_id", "0"), "comp_id", get("comp_id", "0"), "msg_id", get("msg_id", "0"),
+                                                  "timestamp", get("time_usec", "0"), "fields", "fields"))
+        .when((envelope == "kafka_to_rest") & has_value, made("data", get("value", "")))
+        .otherwise(sample)
+    )
+
+
+def _sample_cast(v: Column, how: Column) -> Column:
+    """Text of a sample value after a cast."""
+    number = v.isin("42", "3.14", "0")
+    return (
+        F.when(how == "cast:int", F.when(v == "3.14", "3").when(number, v).when(v == "True", "1").otherwise("0"))
+        .when(how == "cast:float", F.when(v == "3.14", v).when(number, F.concat(v, F.lit(".0"))).when(v == "True", "1.0").otherwise("0.0"))
+        .when(how == "cast:bool", F.when(v == "0", "False").otherwise("True")).otherwise(v)
+    )
+
+
+def validate_plans(plans: DataFrame, compat: bool = False) -> DataFrame:
+    """Run a synthetic five-field sample through each plan; ``output`` is the record without provenance.
+
+    With ``compat`` a limiter slower than one message per second starts without a token, lets
+    nothing pass and makes its plan invalid.
     """
     value = lambda f: (F.when(f["type"] == "int", "42").when(f["type"] == "float", "3.14")
                        .when(f["type"] == "bool", "True").otherwise("test"))
-    first = F.slice("producer_fields", 1, 5)
-    sample = F.map_from_entries(F.transform(first, lambda f: F.struct(f["name"], value(f))))
-    plans = plans.withColumn("sample", sample)
-    present = F.filter("mappings", lambda m: F.map_contains_key(F.col("sample"), m["src_field"]))
-    zero = {"int": "0", "float": "0.0", "bool": "False"}
-
-    def moved(m: Column) -> Column:
-        v = F.try_element_at(F.col("sample"), m["src_field"])
-        number = v.isin("42", "3.14")
-        how = m["transform"]
-        cast = (F.when(how == "cast:int", F.when(v == "3.14", "3").when(number, v).when(v == "True", "1").otherwise(zero["int"]))
-                .when(how == "cast:float", F.when(number, F.when(v == "42", "42.0").otherwise(v)).when(v == "True", "1.0").otherwise(zero["float"]))
-                .when(how == "cast:bool", F.lit("True")).otherwise(v))
-        return F.struct(m["dst_field"].alias("key"), cast.alias("value"))
-
-    names = F.transform("mappings", lambda m: m["src_field"])
-    rest = F.filter(F.map_entries("sample"), lambda e: ~F.array_contains(names, e["key"]))
-    made = F.transform(present, moved)
+    sample = F.map_from_entries(F.transform(F.slice("producer_fields", 1, 5), lambda f: F.struct(f["name"], value(f))))
+    names = string_map(fixed.FIELD_ALIASES)
+    canonical = lambda k: F.coalesce(F.try_element_at(names, F.lower(k)), k)
+    plans = plans.withColumn("sample", sample).withColumn("__e", _sample_envelope(F.col("sample"), F.coalesce("envelope", F.lit(""))))
+    plans = plans.withColumn("__n", F.map_entries(F.map_from_entries(F.transform(
+        F.map_entries("__e"), lambda e: F.struct(canonical(e["key"]).alias("key"), e["value"].alias("value"))))))
+    of = lambda key: F.get(F.filter("__n", lambda e: e["key"] == key), F.lit(0))["value"]
+
+    present = F.filter("mappings", lambda m: F.exists("__n", lambda e: e["key"] == canonical(m["src_field"])))
+    made = F.transform(present, lambda m: F.struct(m["dst_field"].alias("key"), _sample_cast(of(canonical(m["src_field"])), m["transform"]).alias("value")))
+    sources = F.transform("mappings", lambda m: canonical(m["src_field"]))
+    rest = F.filter("__n", lambda e: ~F.array_contains(sources, e["key"]))
     kept = F.filter(made, lambda e: ~F.exists(rest, lambda r: r["key"] == e["key"]))
-    output = F.concat(kept, rest)
-    return plans.withColumn("output", output).withColumn("valid", F.col("output").isNotNull())
+    mapped = F.concat(kept, rest)
+    output = F.when(F.size("mappings") > 0, mapped).otherwise(F.map_entries("__e"))
+    starved = F.coalesce(F.col("limited") & (F.col("limit_hz") < 1), F.lit(False)) if compat else F.lit(False)
+    return (plans.withColumn("output", F.when(~starved, output)).withColumn("valid", F.col("output").isNotNull()).drop("__e", "__n"))
 
 
 def synthesis_events(validated: DataFrame) -> DataFrame:

@@ -160,14 +160,14 @@ def protocol_compat(p_protocol: Column, c_protocol: Column) -> Column:
 
 
 def bridge_history(outcomes: DataFrame) -> DataFrame:
-    """Success rate per protocol pair; at most one row per pair of the closed protocol list."""
+    """Success rate per protocol pair."""
     return outcomes.groupBy("producer_protocol", "consumer_protocol").agg(
         F.avg(F.col("success").cast("double")).alias("history"), F.count(F.lit(1)).alias("n"))
 
 
 def with_history(pairs: DataFrame, history: DataFrame, p: str, c: str) -> DataFrame:
     known = history.select(F.col("producer_protocol").alias(p), F.col("consumer_protocol").alias(c), "history")
-    return pairs.join(F.broadcast(known), [p, c], "left").withColumn("history", F.coalesce("history", F.lit(0.5)))
+    return pairs.join(known, [p, c], "left").withColumn("history", F.coalesce("history", F.lit(0.5)))
 
 
 def tags_compatible(p_tags: Column, c_tags: Column) -> Column:
@@ -181,13 +181,13 @@ def _broad(tags: Column) -> Column:
 
 # ---- pairs without a cross product --------------------------------------------------------
 #
-# A score depends on a node only through its profile: contract text, tags, protocol, rate,
-# confidence and blacklisting. Nodes are grouped into profiles and profiles into cells (all but
-# the text). Cells meet through their tag blocks, cell pairs whose best possible score is too low
-# are dropped, texts are compared once per distinct pair, and only pairs that pass are expanded
-# to nodes.
+# Nodes fall into cells of equal protocol, tags and listing and of similar confidence and rate.
+# Cells meet through their tag blocks; a cell pair whose best possible score is too low is
+# dropped. Cells are then split by contract text into groups, texts are compared once per
+# distinct pair and group pairs are dropped by the same bound. Only what is left is expanded to
+# nodes and scored exactly, so the work follows the size of the result.
 
-CELL = ["protocol", "tags", "rate", "confidence", "listed"]
+CELL = ["protocol", "tags", "listed", "conf_step", "rate_step"]
 
 
 def _key(*names: str) -> Column:
@@ -195,15 +195,22 @@ def _key(*names: str) -> Column:
 
 
 def node_profiles(nodes: DataFrame, blacklist: list[str] | None = None) -> DataFrame:
-    """Nodes with their text, cell and profile keys."""
+    """Nodes with contract text and the keys of their cell and group; unknown rates are null."""
     text = contract_text(F.col("encoding"), F.transform("fields", lambda f: f["name"]), F.col("tags"))
-    return (nodes.withColumn("text", text).withColumn("listed", F.col("node_id").isin(blacklist or []))
-            .withColumn("cell", _key(*CELL)).withColumn("profile", _key("cell", "text")))
+    rate = F.when(F.col("rate") != 0, F.col("rate"))
+    return (
+        nodes.withColumn("rate", rate)
+        .withColumns({"text": text, "listed": F.col("node_id").isin(blacklist or []),
+                      "conf_step": F.floor(F.col("confidence") * 10), "rate_step": F.floor(F.log10("rate") * 2)})
+        .withColumn("cell", _key(*CELL)).withColumn("grp", _key("cell", "text"))
+    )
 
 
-def _side(nodes: DataFrame, roles: list[str], mark: str) -> DataFrame:
-    cells = nodes.filter(F.col("role").isin(roles)).groupBy("cell", *CELL).agg(F.count(F.lit(1)).alias("n"))
-    return cells.withColumnsRenamed({c: mark + c for c in ["cell", "n"] + CELL})
+def _cells(profiles: DataFrame, roles: list[str], mark: str) -> DataFrame:
+    """Cells of one side with their size, top confidence and rate range."""
+    cells = profiles.filter(F.col("role").isin(roles)).groupBy("cell", "protocol", "tags", "listed").agg(
+        F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"), F.min("rate").alias("low"), F.max("rate").alias("high"))
+    return cells.withColumnsRenamed({c: mark + c for c in cells.columns})
 
 
 def cell_pairs(profiles: DataFrame) -> DataFrame:
@@ -211,24 +218,30 @@ def cell_pairs(profiles: DataFrame) -> DataFrame:
     block = lambda tags, own_any, broad_any: F.explode(F.array_distinct(F.concat(
         F.transform(tags, lambda x: F.concat(F.lit("tag:"), x)), F.array(F.lit(own_any)),
         F.when(_broad(tags), F.array(F.lit(broad_any))).otherwise(F.array().cast("array<string>")))))
-    p = _side(profiles, ["producer", "both"], "p_").withColumn("block", block(F.col("p_tags"), "any consumer", "any producer"))
-    c = _side(profiles, ["consumer", "both"], "c_").withColumn("block", block(F.col("c_tags"), "any producer", "any consumer"))
-    met = p.join(c, "block").drop("block").dropDuplicates(["p_cell", "c_cell"])
-    return met.filter((F.col("p_confidence") >= 0.2) & (F.col("c_confidence") >= 0.2))
+    usable = profiles.filter(F.col("confidence") >= 0.2)
+    p = _cells(usable, ["producer", "both"], "p_").withColumn("block", block(F.col("p_tags"), "any consumer", "any producer"))
+    c = _cells(usable, ["consumer", "both"], "c_").withColumn("block", block(F.col("c_tags"), "any producer", "any consumer"))
+    return p.join(c, "block").drop("block").dropDuplicates(["p_cell", "c_cell"])
 
 
-def scored_cells(cells: DataFrame, history: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Components that need no text, and the best score a pair of the cells can reach."""
-    out = with_history(cells, history, "p_protocol", "c_protocol")
+def bounded_cells(cells: DataFrame, history: DataFrame, w: dict[str, float]) -> DataFrame:
+    """Cell pairs with ``bound``, the best score any of their node pairs can reach."""
     col = F.col
-    out = out.withColumns({
-        "compat": protocol_compat(col("p_protocol"), col("c_protocol")),
-        "latency": latency_score(col("p_rate"), col("c_rate")),
-        "risk": 1.0 - quick_risk(col("p_listed"), col("c_listed"), col("p_protocol"), col("c_protocol"), col("p_confidence"), col("c_confidence")),
-        "confidence": F.least("p_confidence", "c_confidence"),
-    })
-    rest = weights["protocol"] * col("compat") + weights["latency"] * col("latency") + weights["risk"] * col("risk") + weights["history"] * col("history")
-    return out.withColumn("rest", rest).withColumn("bound", col("confidence") * (weights["semantic"] + rest))
+    out = with_history(cells, history, "p_protocol", "c_protocol")
+    p_low, p_high = F.coalesce("p_low", F.lit(1.0)), F.coalesce("p_high", F.lit(1.0))
+    nearest = F.when(col("c_low") > p_high, latency_score(p_high, col("c_low"))).when(
+        col("c_high") < p_low, latency_score(p_low, col("c_high"))).otherwise(1.0)
+    risk = quick_risk(col("p_listed"), col("c_listed"), col("p_protocol"), col("c_protocol"), col("p_confidence"), col("c_confidence"))
+    out = out.withColumns({"compat": protocol_compat(col("p_protocol"), col("c_protocol")),
+                           "top_confidence": F.least("p_confidence", "c_confidence")})
+    rest = w["protocol"] * col("compat") + w["latency"] * nearest + w["risk"] * (1.0 - risk) + w["history"] * col("history")
+    out = out.withColumn("top_rest", rest)
+    return out.withColumn("bound", col("top_confidence") * (w["semantic"] + col("top_rest")))
+
+
+def reaches(score: Column, minimum: float) -> Column:
+    """Compare at nine digits, so that the order of summation does not decide."""
+    return F.round(score, 9) >= minimum
 
 
 def candidate_pairs(profiles: DataFrame, taken: DataFrame, history: DataFrame, weights: dict | None = None,
@@ -237,7 +250,7 @@ def candidate_pairs(profiles: DataFrame, taken: DataFrame, history: DataFrame, w
 
     ``taken`` holds active and queued pairs, which are counted out.
     """
-    cells = scored_cells(cell_pairs(profiles), history, weights or fixed.SCORE_WEIGHTS).filter(F.round("bound", 9) >= min_score)
+    cells = bounded_cells(cell_pairs(profiles), history, weights or fixed.SCORE_WEIGHTS).filter(reaches(F.col("bound"), min_score))
     out = cells.join(_taken_per_cell(profiles, taken), ["p_cell", "c_cell"], "left")
     return out.withColumn("n_pairs", F.col("p_n") * F.col("c_n") - F.coalesce("n_taken", F.lit(0)))
 
@@ -260,7 +273,9 @@ def pair_prefilter(profiles: DataFrame, taken: DataFrame) -> DataFrame:
     taken_cells = _taken_per_cell(profiles, taken)
     protocol = lambda mark: profiles.select(F.col("cell").alias(mark + "cell"), F.col("protocol").alias(mark + "protocol")).distinct()
     excluded = taken_cells.join(protocol("p_"), "p_cell").join(protocol("c_"), "c_cell").groupBy("p_protocol", "c_protocol").agg(F.sum("n_taken").alias("excluded"))
-    open_cells = cell_pairs(profiles).join(taken_cells, ["p_cell", "c_cell"], "left")
+    # a cell may hold nodes on both sides of the confidence rule, so taken pairs are counted among usable nodes
+    usable = _taken_per_cell(profiles.filter(F.col("confidence") >= 0.2), taken)
+    open_cells = cell_pairs(profiles).join(usable, ["p_cell", "c_cell"], "left")
     scored = open_cells.groupBy("p_protocol", "c_protocol").agg(
         F.sum(F.col("p_n") * F.col("c_n") - F.coalesce("n_taken", F.lit(0))).alias("scored"))
     out = all_pairs.join(excluded, ["p_protocol", "c_protocol"], "left").join(scored, ["p_protocol", "c_protocol"], "left")
@@ -279,35 +294,35 @@ def score_pairs(nodes: DataFrame, taken: DataFrame, history: DataFrame, weights:
     ``embeddings`` (text, embedding) replaces the built-in text embedding.
     """
     w = weights or fixed.SCORE_WEIGHTS
-    profiles = node_profiles(nodes, blacklist)
+    col = F.col
     # all components are at most 1, so a weaker contract cannot reach the minimum
-    strong = profiles.filter(F.col("confidence") >= min_score / sum(w.values()))
-    cells = scored_cells(cell_pairs(strong), history, w).filter(F.round("bound", 9) >= min_score)
-    kinds = strong.select("cell", "profile", "text").distinct()
-    p = kinds.withColumnsRenamed({c: "p_" + c for c in kinds.columns})
-    c = kinds.withColumnsRenamed({c: "c_" + c for c in kinds.columns})
-    wanted = cells.join(p, "p_cell").join(c, "c_cell")
+    strong = node_profiles(nodes, blacklist).filter(col("confidence") >= min_score / sum(w.values()))
+    cells = bounded_cells(cell_pairs(strong), history, w).filter(reaches(col("bound"), min_score))
+    cells = cells.select("p_cell", "c_cell", "compat", "history", "top_rest", "top_confidence")
+
+    groups = strong.select("cell", "grp", "text").distinct()
+    side = lambda mark: groups.withColumnsRenamed({c: mark + c for c in groups.columns})
+    wanted = cells.join(side("p_"), "p_cell").join(side("c_"), "c_cell")
     if embeddings is None:
-        embeddings = dense(ngram_embedding(kinds.select("text", F.col("text").alias("body")).distinct(), "text", "body"), "text")
-    e = embeddings
-    texts = (
-        wanted.select("p_text", "c_text").distinct()
-        .join(e.select(F.col("text").alias("p_text"), F.col("embedding").alias("pe")), "p_text")
-        .join(e.select(F.col("text").alias("c_text"), F.col("embedding").alias("ce")), "c_text")
-        .select("p_text", "c_text", cosine_similarity(F.col("pe"), F.col("ce")).alias("semantic"))
-    )
-    passed = (
-        wanted.join(texts, ["p_text", "c_text"])
-        .withColumn("composite", F.col("confidence") * (w["semantic"] * F.col("semantic") + F.col("rest")))
-        # nine digits, so that the order of summation does not decide
-        .filter(F.round("composite", 9) >= min_score)
-        .select("p_profile", "c_profile", "semantic", "compat", "latency", "risk", "history", "composite")
-    )
-    end = lambda roles, mark: strong.filter(F.col("role").isin(roles)).select(
-        F.col("profile").alias(mark[0] + "_profile"), F.col("node_id").alias(mark + "_id"))
-    made = passed.join(end(["producer", "both"], "producer"), "p_profile").join(end(["consumer", "both"], "consumer"), "c_profile")
-    return (made.filter("producer_id <> consumer_id").join(taken.select("producer_id", "consumer_id"), ["producer_id", "consumer_id"], "left_anti")
-            .drop("p_profile", "c_profile"))
+        embeddings = dense(ngram_embedding(groups.select("text", col("text").alias("body")).distinct(), "text", "body"), "text")
+    vector = lambda mark: embeddings.select(col("text").alias(mark + "text"), col("embedding").alias(mark + "vector"))
+    texts = (wanted.select("p_text", "c_text").distinct().join(vector("p_"), "p_text").join(vector("c_"), "c_text")
+             .select("p_text", "c_text", cosine_similarity(col("p_vector"), col("c_vector")).alias("semantic")))
+    passed = (wanted.join(texts, ["p_text", "c_text"])
+              .filter(reaches(col("top_confidence") * (w["semantic"] * col("semantic") + col("top_rest")), min_score))
+              .select("p_grp", "c_grp", "semantic", "compat", "history"))
+
+    end = lambda roles, mark, key: strong.filter(col("role").isin(roles)).select(
+        col("grp").alias(mark + "grp"), col("node_id").alias(key), *[col(n).alias(mark + n) for n in ("protocol", "rate", "confidence", "listed")])
+    pairs = passed.join(end(["producer", "both"], "p_", "producer_id"), "p_grp").join(end(["consumer", "both"], "c_", "consumer_id"), "c_grp")
+    risk = quick_risk(col("p_listed"), col("c_listed"), col("p_protocol"), col("c_protocol"), col("p_confidence"), col("c_confidence"))
+    scored = pairs.withColumns({"latency": latency_score(col("p_rate"), col("c_rate")), "risk": 1.0 - risk}).withColumn(
+        "composite", F.least("p_confidence", "c_confidence") * (
+            w["semantic"] * col("semantic") + w["protocol"] * col("compat") + w["latency"] * col("latency")
+            + w["risk"] * col("risk") + w["history"] * col("history")))
+    out = scored.filter(reaches(col("composite"), min_score) & (col("producer_id") != col("consumer_id")))
+    out = out.join(taken.select("producer_id", "consumer_id"), ["producer_id", "consumer_id"], "left_anti")
+    return out.select("producer_id", "consumer_id", "semantic", "compat", "latency", "risk", "history", "composite")
 
 
 # ---- queue -------------------------------------------------------------------------------

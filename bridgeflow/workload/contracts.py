@@ -111,15 +111,19 @@ def _(t):
 
 
 @suite.query("contract_from_http_capture", """
-SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'url:str,user_log:int' ELSE 'data:object' END AS fields,
-  CASE WHEN page_id % 3 = 0 THEN 'identity,observability,rest,process' ELSE 'rest,process' END AS tags,
-  CASE WHEN page_id % 3 = 2 THEN 'text' ELSE 'json' END AS encoding, CASE WHEN page_id % 3 = 0 THEN 0.75 ELSE 0.5 END::DOUBLE AS confidence
-FROM pages WHERE page_id % 7 <> 0""")
-def _(t):
-    case = F.col("page_id") % 3
-    body = F.when(case == 0, F.concat(F.lit('{"url": "'), F.col("url"), F.lit('", "user_log": '), F.col("page_id"), F.lit("}"))).otherwise(F.col("html"))
-    rows = t.pages.select("page_id", F.when(F.col("page_id") % 7 == 0, 503).otherwise(200).alias("status"),
-                          F.when(case == 2, "text/html").otherwise("application/json").alias("ct"), body.alias("body"))
+WITH captured AS (SELECT page_id, CASE WHEN url LIKE '%#top' THEN 503 ELSE 200 END AS status,
+  CASE WHEN contains(url, '.com/') THEN 'json' WHEN contains(url, '.net/') THEN 'broken' ELSE 'html' END AS kind FROM pages)
+SELECT page_id, CASE WHEN kind = 'json' THEN 'url:str,user_log:int' ELSE 'data:object' END AS fields,
+  CASE WHEN kind = 'json' THEN 'identity,observability,rest,process' ELSE 'rest,process' END AS tags,
+  CASE WHEN kind = 'html' THEN 'text' ELSE 'json' END AS encoding, CASE WHEN kind = 'json' THEN 0.75 ELSE 0.5 END::DOUBLE AS confidence
+FROM captured WHERE status < 500""")
+def _(t):
+    url = F.col("url")
+    body = F.concat(F.lit('{"url": "'), url, F.lit('", "user_log": '), F.col("page_id"), F.lit("}"))
+    rows = t.pages.select(
+        "page_id", F.when(url.endswith("#top"), 503).otherwise(200).alias("status"),
+        F.when(url.contains(".com/") | url.contains(".net/"), "application/json").otherwise("text/html").alias("ct"),
+        F.when(url.contains(".com/"), body).otherwise(F.col("html")).alias("body"))
     made = ct.contract_from_http_capture(rows, "status", "ct", "body")
     return made.select("page_id", fields_text("fields").alias("fields"), F.array_join("tags", ",").alias("tags"), "encoding", "confidence")
 
@@ -194,7 +198,8 @@ SELECT node_id, CASE WHEN k % 5 <> 0 THEN 'price:float,symbol:object' ELSE 'data
   CASE WHEN k % 11 = 0 THEN CASE WHEN protocol IN ({SIX}, 'rest') THEN 'my_service_' || k ELSE upper(protocol) END
     WHEN protocol IN ({SIX}, 'rest') THEN tags[1] ELSE protocol || ',' || tags[1] END AS tags,
   'json' AS encoding, CASE WHEN k % 4 = 1 THEN k + 0.5 END::DOUBLE AS rate,
-  CASE k % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.1 ELSE 0.85 END::DOUBLE AS confidence FROM nodes WHERE k % 6 <> 2""")
+  least(1.0, greatest(0.1, try_cast(given AS DOUBLE))) AS confidence
+FROM (SELECT *, CASE k % 6 WHEN 0 THEN '2.0' WHEN 1 THEN '-1.0' WHEN 2 THEN 'high' ELSE '0.85' END AS given FROM nodes) WHERE try_cast(given AS DOUBLE) IS NOT NULL""")
 def _(t):
     made = ct.catalog_contract(_catalog(t))
     return made.select("node_id", fields_text("fields").alias("fields"), F.array_join("semantic_tags", ",").alias("tags"), "encoding", "rate", "confidence")

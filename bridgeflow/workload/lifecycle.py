@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import lifecycle as lc
 from . import lenses as ln
 from .base import Suite
-from .mapping import ALIGN, LOOKUP, MAPPING_TEXT, SECRET, mapping_text, sql_hmac
+from .mapping import ALIGN, LOOKUP, SAMPLED, SECRET, mapping_text, sql_hmac
 from .policy import LISTS, blacklist
 
 suite = Suite()
@@ -24,12 +24,12 @@ ACTIVE_AS_LINKS = "links AS (SELECT * FROM active WHERE " + TOUCHED + ")"
 
 
 @suite.query("replan_drifted", ln.with_(ln.NODES, ln.PAIRS, ln.ACTIVE, LISTS, ACTIVE_AS_LINKS, ALIGN, recursive=True) + f"""
-, planned AS (SELECT producer_id, consumer_id, len(hits) AS n, {MAPPING_TEXT} AS mappings FROM ends JOIN aligned USING (sn, st, dn, dt))
-SELECT 'plans' AS kind, producer_id, consumer_id, mappings AS detail FROM planned WHERE n > 0
-UNION ALL SELECT 'events', producer_id, consumer_id, CASE WHEN n > 0 THEN 'adapter_reloaded' ELSE 'bridge_torn' END FROM planned
-UNION ALL SELECT 'requeue', producer_id, consumer_id, '0.5' FROM planned WHERE n = 0""")
+, {SAMPLED}
+SELECT 'plans' AS kind, producer_id, consumer_id, mappings AS detail FROM written WHERE NOT coalesce(starved, false)
+UNION ALL SELECT 'events', producer_id, consumer_id, CASE WHEN starved THEN 'bridge_torn' ELSE 'adapter_reloaded' END FROM written
+UNION ALL SELECT 'requeue', producer_id, consumer_id, '0.5' FROM written WHERE starved""")
 def _(t):
-    out = lc.replan_drifted(ln.active(t), blacklist(t), ln.nodes(t), NOW)
+    out = lc.replan_drifted(ln.active(t), blacklist(t), ln.nodes(t), NOW, compat=True)
     row = lambda kind, detail: out[kind].select(F.lit(kind).alias("kind"), "producer_id", "consumer_id", detail.alias("detail"))
     return (row("plans", mapping_text(F.col("mappings"))).unionByName(row("events", F.col("type")))
             .unionByName(row("requeue", F.col("composite").cast("string"))))

@@ -198,19 +198,42 @@ def _(t):
         "envelope", "flatten", "kind", "limited")
 
 
-@suite.query("validate_plans", PLAN_SQL + """
-, samples AS (SELECT producer_id, consumer_id, sn[1:5] AS f, list_transform(st[1:5], lambda x: CASE x WHEN 'int' THEN '42' WHEN 'float' THEN '3.14'
-    WHEN 'bool' THEN 'True' ELSE 'test' END) AS v, sn, st, dn, dt, tg, hits FROM ends JOIN aligned USING (sn, st, dn, dt)),
-made AS (SELECT *, list_filter(range(1, len(f) + 1), lambda i: tg[i] = 0) AS rest, list_filter(range(1, len(f) + 1), lambda i: tg[i] > 0) AS moved FROM samples)
-SELECT producer_id, consumer_id, true AS valid, array_to_string(list_concat(
-  list_transform(list_filter(moved, lambda i: NOT list_contains(list_transform(rest, lambda r: f[r]), dn[tg[i]])), lambda i: dn[tg[i]] || '=' ||
-    CASE WHEN st[i] = dt[tg[i]] THEN v[i] WHEN dt[tg[i]] = 'int' THEN CASE v[i] WHEN '3.14' THEN '3' WHEN '42' THEN '42' ELSE '0' END
-      WHEN dt[tg[i]] = 'float' THEN CASE v[i] WHEN '42' THEN '42.0' WHEN '3.14' THEN '3.14' ELSE '0.0' END ELSE v[i] END),
-  list_transform(rest, lambda r: f[r] || '=' || v[r])), ',') AS output FROM made""")
+ALIAS = "CASE lower(x) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.FIELD_ALIASES.items()) + " ELSE x END"
+SAMPLED = f"""samples AS (
+  SELECT producer_id, consumer_id, {MAPPING_TEXT} AS mappings, CASE {LOOKUP} END AS env, sn[1:5] AS f0,
+    list_transform(st[1:5], lambda x: CASE x WHEN 'int' THEN '42' WHEN 'float' THEN '3.14' WHEN 'bool' THEN 'True' ELSE 'test' END) AS v0,
+    list_transform(sn, lambda x: {ALIAS}) AS src, dn, st, dt, tg, hits,
+    coalesce(p.rate, 0) > 1.5 * coalesce(c.rate, p.rate, 0) AND c.rate < 1 AS starved
+  FROM ends JOIN aligned USING (sn, st, dn, dt) JOIN nodes p ON p.node_id = producer_id JOIN nodes c ON c.node_id = consumer_id),
+wrapped AS (SELECT *, CASE env WHEN 'mqtt_to_kafka' THEN ['key', 'value', 'headers'] WHEN 'file_to_kafka' THEN ['value', 'headers']
+    WHEN 'mavlink_to_grpc' THEN ['sys_id', 'comp_id', 'msg_id', 'timestamp', 'fields'] ELSE f0 END AS f1,
+  CASE env WHEN 'mqtt_to_kafka' THEN ['unknown', 'bytes', 'headers'] WHEN 'file_to_kafka' THEN ['bytes', 'headers']
+    WHEN 'mavlink_to_grpc' THEN ['0', '0', '0', '0', 'fields'] ELSE v0 END AS v FROM samples),
+named AS (SELECT *, list_transform(f1, lambda x: {ALIAS}) AS f FROM wrapped),
+parted AS (SELECT *, list_filter(hits, lambda i: list_contains(f, src[i])) AS moved,
+  list_filter(range(1, len(f) + 1), lambda i: NOT list_contains(list_transform(hits, lambda h: src[h]), f[i])) AS rest FROM named),
+valued AS (SELECT *, list_transform(moved, lambda i: v[list_position(f, src[i])]) AS mv FROM parted),
+written AS (SELECT *, CASE WHEN len(hits) = 0 THEN list_transform(range(1, len(f1) + 1), lambda i: f1[i] || '=' || v[i]) ELSE list_concat(
+  list_transform(list_filter(range(1, len(moved) + 1), lambda m: NOT list_contains(list_transform(rest, lambda r: f[r]), dn[tg[moved[m]]])),
+    lambda m: dn[tg[moved[m]]] || '=' || CASE WHEN st[moved[m]] = dt[tg[moved[m]]] THEN mv[m]
+      WHEN dt[tg[moved[m]]] = 'int' THEN CASE mv[m] WHEN '3.14' THEN '3' WHEN '42' THEN '42' ELSE '0' END
+      WHEN dt[tg[moved[m]]] = 'float' THEN CASE mv[m] WHEN '42' THEN '42.0' WHEN '3.14' THEN '3.14' ELSE '0.0' END ELSE mv[m] END),
+  list_transform(rest, lambda r: f[r] || '=' || v[r])) END AS output FROM valued)"""
+
+
+def _output_text():
+    return F.array_join(F.transform("output", lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+
+
+@suite.query("validate_plans", PLAN_SQL + f", {SAMPLED} SELECT producer_id, consumer_id, true AS valid, array_to_string(output, ',') AS output FROM written")
 def _(t):
     checked = mp.validate_plans(mp.plan_adapters(ln.links(t), ln.nodes(t)))
-    text = F.array_join(F.transform("output", lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
-    return checked.select("producer_id", "consumer_id", "valid", text.alias("output"))
+    return checked.select("producer_id", "consumer_id", "valid", _output_text().alias("output"))
+
+
+@suite.query("synthesis_events", PLAN_SQL + f", {SAMPLED} SELECT 'synthesis_failed' AS type, producer_id, consumer_id FROM written WHERE starved")
+def _(t):
+    return mp.synthesis_events(mp.validate_plans(mp.plan_adapters(ln.links(t), ln.nodes(t)), compat=True))
 
 
 def sql_hmac(message: str, key: bytes = SECRET) -> str:

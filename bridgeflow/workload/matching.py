@@ -173,8 +173,8 @@ FROM parts WHERE round(conf * (0.4 + rest), 9) >= 0.72 GROUP BY ALL""")
 def _(t):
     made = mt.candidate_pairs(mt.node_profiles(ln.nodes(t), LISTED), ln.active(t), mt.bridge_history(ln.outcomes(t))).filter("n_pairs > 0")
     return made.select(F.col("p_protocol").alias("producer_protocol"), F.col("c_protocol").alias("consumer_protocol"),
-                       F.array_join("p_tags", ",").alias("p_tags"), F.array_join("c_tags", ",").alias("c_tags"), "p_rate", "c_rate",
-                       "p_confidence", "c_confidence", F.round("bound", 6).alias("bound"), "n_pairs")
+                       F.array_join("p_tags", ",").alias("p_tags"), F.array_join("c_tags", ",").alias("c_tags"),
+                       F.col("p_high").alias("p_rate"), F.col("c_high").alias("c_rate"), "p_confidence", "c_confidence", F.round("bound", 6).alias("bound"), "n_pairs")
 
 
 @suite.query("pair_prefilter", ln.with_(*PAIR_PARTS) + """

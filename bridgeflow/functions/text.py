@@ -49,18 +49,27 @@ def glob_regex(glob: str) -> str:
     return "(?s)^" + "".join(out) + r"\z"
 
 
+def matches_glob(c: Column, glob: str) -> Column:
+    """Shell glob match; globs with stars only at their ends need no regular expression."""
+    core = glob.strip("*")
+    if core and not any(x in core for x in "*?["):
+        head, tail = glob.startswith("*"), glob.endswith("*")
+        if head and tail:
+            return c.contains(core)
+        return c.endswith(core) if head else c.startswith(core) if tail else c == core
+    return c.rlike(glob_regex(glob))
+
+
 def any_glob(c: Column, globs: list[str]) -> Column:
-    if not globs:
-        return F.lit(False)
-    return c.rlike("|".join(f"(?:{glob_regex(g)})" for g in globs))
+    out = F.lit(False)
+    for g in globs:
+        out = out | matches_glob(c, g)
+    return out
 
 
 def first_glob(c: Column, globs: list[str]) -> Column:
     """First glob of the list that matches, else null."""
-    if not globs:
-        return F.lit(None).cast("string")
-    hit = F.coalesce(*[F.when(c.rlike(glob_regex(g)), F.lit(g)) for g in globs])
-    return F.when(any_glob(c, globs), hit)
+    return F.coalesce(*[F.when(matches_glob(c, g), F.lit(g)) for g in globs], F.lit(None).cast("string"))
 
 
 def json_quote(c: Column) -> Column:

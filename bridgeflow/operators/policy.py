@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import fixed
-from ..functions.text import any_glob, first_glob
+from ..functions.text import any_glob, matches_glob
 from ..scale import next_match, ordered_fold
 from .matching import quick_risk
 
@@ -30,16 +30,9 @@ def hard_refuse(endpoint: Column, rules: SecurityRules) -> Column:
     """Reason for never bridging an endpoint, else null."""
     if not rules.refuse:
         return F.lit(None).cast("string")
-    globs = fixed.REFUSED_GLOBS + rules.extra_refused
-    lowered = first_glob(F.lower(endpoint), [g.lower() for g in globs])
-    names = {g.lower(): g for g in reversed(globs)}
-    restored = F.coalesce(*[F.when(lowered == low, g) for low, g in names.items() if low != g], lowered) if any(
-        low != g for low, g in names.items()) else lowered
-    return F.when(lowered.isNotNull(), F.concat(F.lit("hard-refuse-pattern:"), restored))
-
-
-def refuse_pair(p_endpoint: Column, c_endpoint: Column, rules: SecurityRules) -> Column:
-    return F.coalesce(F.concat(F.lit("producer:"), hard_refuse(p_endpoint, rules)), F.concat(F.lit("consumer:"), hard_refuse(c_endpoint, rules)))
+    low = F.lower(endpoint)
+    hits = [F.when(matches_glob(low, g.lower()), F.lit("hard-refuse-pattern:" + g)) for g in fixed.REFUSED_GLOBS + rules.extra_refused]
+    return F.coalesce(*hits)
 
 
 def allowlist_reason(node_id: Column, endpoint: Column, rules: SecurityRules) -> Column:
@@ -64,26 +57,36 @@ def needs_approval(p_zone: Column, c_zone: Column, rules: SecurityRules) -> Colu
     return out
 
 
-def cross_zone(pairs: DataFrame, rules: SecurityRules, p: str = "producer", c: str = "consumer") -> DataFrame:
-    """Zones of both ends, whether a human must approve, and the reason."""
-    out = (pairs.withColumn("p_zone", zone_of(F.col(f"{p}_id"), F.col(f"{p}_endpoint"), rules))
-           .withColumn("c_zone", zone_of(F.col(f"{c}_id"), F.col(f"{c}_endpoint"), rules)))
+def node_security(df: DataFrame, rules: SecurityRules, node_id: str, endpoint: str, mark: str) -> DataFrame:
+    """``refused``, ``unlisted`` and ``zone`` of a node; they depend on the node alone."""
+    n, e = F.col(node_id), F.col(endpoint)
+    return df.withColumns({mark + "refused": hard_refuse(e, rules), mark + "unlisted": allowlist_reason(n, e, rules),
+                           mark + "zone": zone_of(n, e, rules)})
+
+
+def _pair_security(pairs: DataFrame, rules: SecurityRules) -> DataFrame:
+    """``needs_approval``, ``security`` and reasons from the node columns of both ends."""
     needs = needs_approval(F.col("p_zone"), F.col("c_zone"), rules)
-    reason = F.when(F.col("needs_approval"), F.concat(F.lit("cross-zone-bridge:"), "p_zone", F.lit("→"), "c_zone")).otherwise(
-        F.concat(F.lit("same-zone-or-approved:"), "p_zone", F.lit("↔"), "c_zone"))
-    return out.withColumn("needs_approval", needs).withColumn("zone_reason", reason)
+    crossed = F.concat(F.lit("cross-zone-bridge:"), "p_zone", F.lit("→"), "c_zone")
+    inside = F.concat(F.lit("same-zone-or-approved:"), "p_zone", F.lit("↔"), "c_zone")
+    refused = F.coalesce(F.concat(F.lit("producer:"), "p_refused"), F.concat(F.lit("consumer:"), "c_refused"), "p_unlisted")
+    out = pairs.withColumns({"needs_approval": needs, "__refused": refused})
+    out = out.withColumn("zone_reason", F.when(F.col("needs_approval"), crossed).otherwise(inside))
+    return out.withColumns({
+        "security": F.when(F.col("__refused").isNotNull(), "hard_reject").when(F.col("needs_approval"), "stage").otherwise("allow"),
+        "security_reason": F.coalesce("__refused", "zone_reason")}).drop("__refused")
+
+
+def cross_zone(pairs: DataFrame, rules: SecurityRules) -> DataFrame:
+    """Zones of both ends, whether a human must approve, and the reason."""
+    return security_gate(pairs, rules).drop("security", "security_reason")
 
 
 def security_gate(pairs: DataFrame, rules: SecurityRules) -> DataFrame:
     """``security`` (hard_reject, stage, allow) and its reason: refused, not allowed, then zones."""
-    checked = cross_zone(pairs, rules)
-    refused = F.coalesce(refuse_pair(F.col("producer_endpoint"), F.col("consumer_endpoint"), rules),
-                         allowlist_reason(F.col("producer_id"), F.col("producer_endpoint"), rules))
-    return (
-        checked.withColumn("__refused", refused)
-        .withColumn("security", F.when(F.col("__refused").isNotNull(), "hard_reject").when(F.col("needs_approval"), "stage").otherwise("allow"))
-        .withColumn("security_reason", F.coalesce("__refused", "zone_reason")).drop("__refused", "needs_approval", "zone_reason")
-    )
+    marked = node_security(pairs, rules, "producer_id", "producer_endpoint", "p_")
+    marked = node_security(marked, rules, "consumer_id", "consumer_endpoint", "c_")
+    return _pair_security(marked, rules).drop("p_refused", "c_refused", "p_unlisted", "c_unlisted")
 
 
 # ---- node gates ------------------------------------------------------------------
@@ -202,11 +205,11 @@ def evaluate_policy(
         .join(bridges_per_node(active), "node_id", "left")
         .withColumns({"listed": known("listed", F.lit(False)), "trusted": known("trusted", F.lit(False)), "bridges": known("bridges", F.lit(0))})
     )
-    end = lambda mark, key: facts.select(
-        F.col("node_id").alias(key), F.col("endpoint").alias(key.replace("_id", "_endpoint")),
-        *[F.col(n).alias(mark + n) for n in ("protocol", "confidence", "rate", "listed", "trusted", "bridges")])
+    facts = node_security(facts, rules, "node_id", "endpoint", "")
+    known_columns = ("protocol", "confidence", "rate", "listed", "trusted", "bridges", "refused", "unlisted", "zone")
+    end = lambda mark, key: facts.select(F.col("node_id").alias(key), *[F.col(n).alias(mark + n) for n in known_columns])
     x = candidates.join(end("p_", "producer_id"), "producer_id", "left").join(end("c_", "consumer_id"), "consumer_id", "left")
-    x = gate_circular(security_gate(x, rules), active)
+    x = gate_circular(_pair_security(x, rules), active)
     x = x.withColumns({"blacklist_reason": _blacklist_reason(), "both_whitelisted": F.col("p_trusted") & F.col("c_trusted"), "cap_reason": _cap_reason(cap)})
     if blocked is None:
         x = x.withColumn("blocked_by", F.lit(None).cast("string"))

@@ -65,7 +65,7 @@ zoned AS (SELECT *, p_zone <> c_zone AND NOT (least(p_zone, c_zone) = 'internal'
 SELECT producer_id, consumer_id, p_zone, c_zone, needs AS needs_approval,
   CASE WHEN needs THEN 'cross-zone-bridge:' || p_zone || '→' || c_zone ELSE 'same-zone-or-approved:' || p_zone || '↔' || c_zone END AS zone_reason FROM zoned""")
 def _(t):
-    return pl.cross_zone(_page_pairs(t), RULES).drop("producer_endpoint", "consumer_endpoint")
+    return pl.cross_zone(_page_pairs(t), RULES).select("producer_id", "consumer_id", "p_zone", "c_zone", "needs_approval", "zone_reason")
 
 
 @suite.query("security_gate", ln.with_(ln.ENDPOINTS, PAGE_PAIRS) + f"""

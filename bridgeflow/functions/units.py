@@ -29,38 +29,21 @@ def fahrenheit_to_celsius(c: Column) -> Column:
 def unix_to_iso(c: Column) -> Column:
     """Epoch seconds to ``YYYY-MM-DDTHH:MM:SS[.ffffff]+00:00``; other values become their text."""
     seconds = c.try_cast("double")
-    micros = F.bround(seconds * 1000000.0).cast("long")
-    whole = F.floor(micros / 1000000)
-    whole = whole - F.when(whole * 1000000 > micros, 1).otherwise(0)
-    day = F.floor(whole / 86400)
-    rest = whole - day * 86400
-    two = lambda n: F.lpad(n.cast("string"), 2, "0")
-    clock = F.concat_ws(":", two(F.floor(rest / 3600)), two(F.floor(rest / 60) % 60), two(rest % 60))
-    part = micros - whole * 1000000
-    fraction = F.when(part == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0")))
-    date = F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")).cast("string")
-    iso = F.concat(date, F.lit("T"), clock, fraction, F.lit("+00:00"))
-    in_range = seconds.between(-62135596800.0, 253402300799.0)
-    return F.when(in_range, iso).otherwise(F.coalesce(c.cast("string"), F.lit("None")))
+    micros = F.bround(F.when(seconds.between(-62135596800.0, 253402300799.0), seconds) * 1000000.0).cast("long")
+    # a zone-less timestamp prints the same in every session time zone, without trailing zeros
+    text = F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("string")
+    full = F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)
+    return F.coalesce(F.concat(F.replace(full, F.lit(" "), F.lit("T")), F.lit("+00:00")), c.cast("string"), F.lit("None"))
 
 
 def iso_to_unix(c: Column) -> Column:
     """ISO text to epoch seconds; naive text is UTC, numeric text is itself, anything else 0."""
-    s = F.coalesce(F.replace(c.cast("string"), F.lit("Z"), F.lit("+00:00")), F.lit("None"))
-    zoned = r"^(\d{4}-\d{1,2}-\d{1,2})T(\d{1,2}):(\d{1,2}):(\d{1,2})([+-])(\d{2}):?(\d{2})$"
-    naive = r"^(\d{4}-\d{1,2}-\d{1,2})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})$"
-
-    def seconds(pattern: str) -> Column:
-        part = lambda i: F.regexp_extract(s, pattern, i).try_cast("int")
-        day = F.unix_date(F.regexp_extract(s, pattern, 1).try_cast("date"))
-        ok = s.rlike(pattern) & (part(2) < 24) & (part(3) < 60) & (part(4) < 62)
-        return F.when(ok, day * F.lit(86400).cast("long") + part(2) * 3600 + part(3) * 60 + part(4))
-
-    sign = F.when(F.regexp_extract(s, zoned, 5) == "-", -1).otherwise(1)
-    offset = sign * (F.regexp_extract(s, zoned, 6).try_cast("int") * 3600
-                     + F.regexp_extract(s, zoned, 7).try_cast("int") * 60)
-    return F.coalesce((seconds(zoned) - offset).cast("double"), seconds(naive).cast("double"),
-                      s.try_cast("double"), F.lit(0.0))
+    s = F.replace(c.cast("string"), F.lit("Z"), F.lit("+00:00"))
+    # a failed parse is slow, so only text of about the right form is tried
+    offset = F.regexp_replace(s, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    zoned = F.when(s.contains("T"), F.try_to_timestamp(offset, F.lit("yyyy-M-d'T'H:m:sXXX")))
+    naive = F.when(s.contains(" "), F.try_to_timestamp(F.concat(s, F.lit("+00:00")), F.lit("yyyy-M-d H:m:sXXX")))
+    return F.coalesce(F.unix_micros(F.coalesce(zoned, naive)) / 1000000.0, s.try_cast("double"), F.lit(0.0))
 
 
 def severity_level(c: Column, trim: bool = False) -> Column:

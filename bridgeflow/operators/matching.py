@@ -250,8 +250,11 @@ def candidate_pairs(profiles: DataFrame, taken: DataFrame, history: DataFrame, w
 
     ``taken`` holds active and queued pairs, which are counted out.
     """
-    cells = bounded_cells(cell_pairs(profiles), history, weights or fixed.SCORE_WEIGHTS).filter(reaches(F.col("bound"), min_score))
-    out = cells.join(_taken_per_cell(profiles, taken), ["p_cell", "c_cell"], "left")
+    w = weights or fixed.SCORE_WEIGHTS
+    # all components are at most 1, so a weaker contract cannot reach the minimum
+    strong = profiles.filter(F.col("confidence") >= min_score / sum(w.values()))
+    cells = bounded_cells(cell_pairs(strong), history, w).filter(reaches(F.col("bound"), min_score))
+    out = cells.join(_taken_per_cell(strong, taken), ["p_cell", "c_cell"], "left")
     return out.withColumn("n_pairs", F.col("p_n") * F.col("c_n") - F.coalesce("n_taken", F.lit(0)))
 
 
@@ -267,6 +270,7 @@ def _taken_per_cell(profiles: DataFrame, taken: DataFrame) -> DataFrame:
 
 def pair_prefilter(profiles: DataFrame, taken: DataFrame) -> DataFrame:
     """Scored and skipped pairs per protocol pair, counted without listing pairs."""
+    profiles = profiles.withColumn("cell", _key("protocol", "tags"))
     total = lambda roles, mark: profiles.filter(F.col("role").isin(roles)).groupBy(F.col("protocol").alias(mark + "protocol")).agg(F.count(F.lit(1)).alias(mark + "n"))
     grid = profiles.sparkSession.createDataFrame([(a, b) for a in fixed.PROTOCOLS for b in fixed.PROTOCOLS], "p_protocol string, c_protocol string")
     all_pairs = grid.join(total(["producer", "both"], "p_"), "p_protocol").join(total(["consumer", "both"], "c_"), "c_protocol")
@@ -295,7 +299,6 @@ def score_pairs(nodes: DataFrame, taken: DataFrame, history: DataFrame, weights:
     """
     w = weights or fixed.SCORE_WEIGHTS
     col = F.col
-    # all components are at most 1, so a weaker contract cannot reach the minimum
     strong = node_profiles(nodes, blacklist).filter(col("confidence") >= min_score / sum(w.values()))
     cells = bounded_cells(cell_pairs(strong), history, w).filter(reaches(col("bound"), min_score))
     cells = cells.select("p_cell", "c_cell", "compat", "history", "top_rest", "top_confidence")

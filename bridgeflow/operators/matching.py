@@ -270,7 +270,7 @@ def _taken_per_cell(profiles: DataFrame, taken: DataFrame) -> DataFrame:
 
 def pair_prefilter(profiles: DataFrame, taken: DataFrame) -> DataFrame:
     """Scored and skipped pairs per protocol pair, counted without listing pairs."""
-    profiles = profiles.withColumn("cell", _key("protocol", "tags"))
+    profiles = profiles.withColumn("listed", F.lit(False)).withColumn("cell", _key("protocol", "tags"))
     total = lambda roles, mark: profiles.filter(F.col("role").isin(roles)).groupBy(F.col("protocol").alias(mark + "protocol")).agg(F.count(F.lit(1)).alias(mark + "n"))
     grid = profiles.sparkSession.createDataFrame([(a, b) for a in fixed.PROTOCOLS for b in fixed.PROTOCOLS], "p_protocol string, c_protocol string")
     all_pairs = grid.join(total(["producer", "both"], "p_"), "p_protocol").join(total(["consumer", "both"], "c_"), "c_protocol")

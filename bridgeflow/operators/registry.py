@@ -6,26 +6,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import fixed
-from ..scale import ordered_fold, previous_value
+from ..scale import Fold, ordered_fold, previous_value
 
 PAIR = ["producer_id", "consumer_id"]
 
 
 # ---- drift ------------------------------------------------------------------------
 
-def register_or_drift(
-    samples: DataFrame,
-    order: list[str],
-    threshold: float = fixed.DRIFT_THRESHOLD,
-    include_types: bool = False,
-    partitions: int | None = None,
-) -> DataFrame:
-    """Compare each contract sample with the last accepted contract of its node.
+DRIFT_OUT = T.StructType([T.StructField("action", T.StringType()), T.StructField("delta", T.DoubleType())])
 
-    Adds ``action`` (new, drift, touch) and ``delta``. A change below the threshold does not
-    replace the accepted contract, so small changes add up. Samples need node_id, names, tags;
-    with ``include_types`` the names are paired with a ``types`` column.
-    """
+
+def drift_fold(threshold: float, include_types: bool = False) -> Fold:
+    """State: fields and tags of the accepted contract."""
     def fold(state: tuple | None, rows: pd.DataFrame) -> tuple[dict, tuple]:
         actions, deltas = [], []
         typed = rows["types"] if include_types else [None] * len(rows)
@@ -46,8 +38,23 @@ def register_or_drift(
             deltas.append(delta)
         return {"action": actions, "delta": deltas}, state
 
-    out = T.StructType([T.StructField("action", T.StringType()), T.StructField("delta", T.DoubleType())])
-    return ordered_fold(samples, F.col("node_id"), order, fold, lambda: None, out, partitions)
+    return fold
+
+
+def register_or_drift(
+    samples: DataFrame,
+    order: list[str],
+    threshold: float = fixed.DRIFT_THRESHOLD,
+    include_types: bool = False,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Compare each contract sample with the last accepted contract of its node.
+
+    Adds ``action`` (new, drift, touch) and ``delta``. A change below the threshold does not
+    replace the accepted contract, so small changes add up. Samples need node_id, names, tags;
+    with ``include_types`` the names are paired with a ``types`` column.
+    """
+    return ordered_fold(samples, F.col("node_id"), order, drift_fold(threshold, include_types), lambda: None, DRIFT_OUT, partitions)
 
 
 def drift_events(registered: DataFrame) -> DataFrame:

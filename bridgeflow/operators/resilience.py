@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import fixed
-from ..scale import ordered_fold, ranked, trailing
+from ..scale import Fold, ordered_fold, ranked, running_sum, trailing
 
 SECOND = 1_000_000
 
@@ -29,6 +29,14 @@ def _out(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
+# columns that the folds add
+DEDUPE_OUT = _out(("is_duplicate", T.BooleanType()))
+BREAKER_OUT = _out(("on_arrival", T.StringType()), ("state", T.StringType()), ("trip", T.BooleanType()))
+BUCKET_OUT = _out(("passed", T.BooleanType()))
+LIMIT_OUT = _out(("allowed", T.BooleanType()))
+PATH_OUT = _out(("outcome", T.StringType()))
+
+
 # ---- dedupe -----------------------------------------------------------------------
 
 def seen_before(first: int | None, t: int, ttl: int) -> bool:
@@ -36,9 +44,8 @@ def seen_before(first: int | None, t: int, ttl: int) -> bool:
     return first is not None and t - first <= ttl
 
 
-def dedupe_ttl(messages: DataFrame, msg_id: str = "msg_id", time: str = "t", tie: str = "event_id",
-               ttl: int = fixed.DEDUPE_TTL_S * SECOND, partitions: int | None = None) -> DataFrame:
-    """``is_duplicate``: the id was first seen no more than ``ttl`` ago. Null ids are never duplicates."""
+def dedupe_fold(time: str, ttl: int) -> Fold:
+    """State: first sighting of the id."""
     def fold(first: int | None, rows: pd.DataFrame) -> tuple[dict, int | None]:
         flags = []
         for t in rows[time].tolist():
@@ -48,8 +55,14 @@ def dedupe_ttl(messages: DataFrame, msg_id: str = "msg_id", time: str = "t", tie
             flags.append(dup)
         return {"is_duplicate": flags}, first
 
+    return fold
+
+
+def dedupe_ttl(messages: DataFrame, msg_id: str = "msg_id", time: str = "t", tie: str = "event_id",
+               ttl: int = fixed.DEDUPE_TTL_S * SECOND, partitions: int | None = None) -> DataFrame:
+    """``is_duplicate``: the id was first seen no more than ``ttl`` ago. Null ids are never duplicates."""
     named = messages.filter(F.col(msg_id).isNotNull())
-    made = ordered_fold(named, F.col(msg_id), [time, tie], fold, lambda: None, _out(("is_duplicate", T.BooleanType())), partitions)
+    made = ordered_fold(named, F.col(msg_id), [time, tie], dedupe_fold(time, ttl), lambda: None, DEDUPE_OUT, partitions)
     unnamed = messages.filter(F.col(msg_id).isNull()).withColumn("is_duplicate", F.lit(False))
     return made.unionByName(unnamed)
 
@@ -68,33 +81,42 @@ def breaker_step(mode: str, tripped: int, t: int, half_open: int) -> str:
     return "half_open" if mode == "open" and t - tripped >= half_open else mode
 
 
-def circuit_breaker(outcomes: DataFrame, key: str, time: str, tie: str, failed: str,
-                    options: BreakerOptions = BreakerOptions(), partitions: int | None = None) -> DataFrame:
-    """Breaker state of each outcome: ``on_arrival``, ``state`` after it, and the count of ``trips``.
+def new_breaker() -> tuple:
+    return ("closed", 0)
 
-    The trip condition is a window count and needs no state; the fold keeps mode, trip time and
-    trip count. Outcomes during an open breaker only enter the window.
-    """
-    rated = window_error_rate(outcomes, key, time, failed, options.window, options.min_events)
-    rated = rated.withColumn("__trip", F.coalesce(F.col("error_rate") >= options.threshold, F.lit(False)))
 
+def breaker_fold(time: str, failed: str, options: BreakerOptions) -> Fold:
+    """State: mode and, unless closed, trip time. Rows carry the trip condition as ``__full``."""
     def fold(state: tuple, rows: pd.DataFrame) -> tuple[dict, tuple]:
-        mode, tripped, trips = state
-        before, after, count = [], [], []
-        for t, bad, trip in zip(rows[time].tolist(), rows[failed].tolist(), rows["__trip"].tolist()):
+        mode, tripped = state
+        before, after, trip = [], [], []
+        for t, bad, full in zip(rows[time].tolist(), rows[failed].tolist(), rows["__full"].tolist()):
             mode = breaker_step(mode, tripped, t, options.half_open)
             before.append(mode)
-            if (mode == "half_open" and bad) or (mode == "closed" and trip):
-                mode, tripped, trips = "open", t, trips + 1
+            opens = (mode == "half_open" and bad) or (mode == "closed" and full)
+            if opens:
+                mode, tripped = "open", t
             elif mode == "half_open":
-                mode = "closed"
+                mode, tripped = "closed", 0
             after.append(mode)
-            count.append(trips)
-        return {"on_arrival": before, "state": after, "trips": count}, (mode, tripped, trips)
+            trip.append(bool(opens))
+        return {"on_arrival": before, "state": after, "trip": trip}, (mode, tripped)
+
+    return fold
+
 
-    out = _out(("on_arrival", T.StringType()), ("state", T.StringType()), ("trips", T.LongType()))
-    made = ordered_fold(rated, F.col(key), [time, tie], fold, lambda: ("closed", 0, 0), out, partitions)
-    return made.drop("__trip", "events", "failures", "error_rate")
+def circuit_breaker(outcomes: DataFrame, key: str, time: str, tie: str, failed: str, options: BreakerOptions = BreakerOptions(),
+                    bucket: int = 3600 * SECOND, partitions: int | None = None) -> DataFrame:
+    """Breaker of each outcome: state ``on_arrival``, ``state`` after it, ``trip`` and the number of ``trips`` so far.
+
+    The trip condition is a window count and needs no state; the fold keeps mode and trip time.
+    Outcomes during an open breaker only enter the window.
+    """
+    rated = window_error_rate(outcomes, key, time, failed, options.window, options.min_events)
+    rated = rated.withColumn("__full", F.coalesce(F.col("error_rate") >= options.threshold, F.lit(False)))
+    rated = rated.drop("events", "failures", "error_rate")
+    made = ordered_fold(rated, F.col(key), [time, tie], breaker_fold(time, failed, options), new_breaker, BREAKER_OUT, partitions)
+    return running_sum(made.drop("__full"), [key], [time, tie], F.floor(F.col(time) / bucket), F.col("trip").cast("int"), "trips")
 
 
 def hold_while_open(stated: DataFrame, key: str, time: str, tie: str, capacity: int = fixed.HOLD_CAPACITY,
@@ -117,11 +139,8 @@ def bucket_take(tokens: float, last: int | None, t: int, rate: float, capacity:
     return (True, tokens - 1.0) if tokens >= 1.0 else (False, tokens)
 
 
-def token_bucket(messages: DataFrame, key: str, time: str, tie: str, rate_hz: float, compat: bool = False,
-                 partitions: int | None = None) -> DataFrame:
-    """``passed``: a token was left. The bucket holds ``max(rate, 1)`` tokens, ``rate`` with ``compat``."""
-    capacity = rate_hz if compat else max(rate_hz, 1.0)
-
+def bucket_fold(time: str, rate_hz: float, capacity: float) -> Fold:
+    """State: tokens left and time of the last message."""
     def fold(state: tuple, rows: pd.DataFrame) -> tuple[dict, tuple]:
         tokens, last = state
         passed = []
@@ -131,12 +150,18 @@ def token_bucket(messages: DataFrame, key: str, time: str, tie: str, rate_hz: fl
             passed.append(ok)
         return {"passed": passed}, (tokens, last)
 
-    return ordered_fold(messages, F.col(key), [time, tie], fold, lambda: (capacity, None), _out(("passed", T.BooleanType())), partitions)
+    return fold
 
 
-def sliding_rate_limit(requests: DataFrame, key: str, time: str, tie: str, cost: str, exempt: Column | None = None,
-                       limit: int = fixed.REQUEST_LIMIT, window: int = 60 * SECOND, partitions: int | None = None) -> DataFrame:
-    """``allowed``: fewer than ``limit`` recorded hits in the window; refusals record nothing."""
+def token_bucket(messages: DataFrame, key: str, time: str, tie: str, rate_hz: float, compat: bool = False,
+                 partitions: int | None = None) -> DataFrame:
+    """``passed``: a token was left. The bucket holds ``max(rate, 1)`` tokens, ``rate`` with ``compat``."""
+    capacity = rate_hz if compat else max(rate_hz, 1.0)
+    return ordered_fold(messages, F.col(key), [time, tie], bucket_fold(time, rate_hz, capacity), lambda: (capacity, None), BUCKET_OUT, partitions)
+
+
+def limit_fold(time: str, cost: str, limit: int, window: int) -> Fold:
+    """State: recorded hits of the window, at most the limit and one cost more."""
     def fold(state: tuple, rows: pd.DataFrame) -> tuple[dict, tuple]:
         hits = list(state)
         allowed = []
@@ -146,13 +171,19 @@ def sliding_rate_limit(requests: DataFrame, key: str, time: str, tie: str, cost:
             if ok:
                 hits.append((t, int(c)))
             allowed.append(ok)
-        return {"allowed": allowed}, tuple(hits)
+        return {"allowed": allowed}, tuple(h for h in hits if t - h[0] < window)
+
+    return fold
+
 
-    out = _out(("allowed", T.BooleanType()))
+def sliding_rate_limit(requests: DataFrame, key: str, time: str, tie: str, cost: str, exempt: Column | None = None,
+                       limit: int = fixed.REQUEST_LIMIT, window: int = 60 * SECOND, partitions: int | None = None) -> DataFrame:
+    """``allowed``: fewer than ``limit`` recorded hits in the window; refusals record nothing."""
+    fold = limit_fold(time, cost, limit, window)
     if exempt is None:
-        return ordered_fold(requests, F.col(key), [time, tie], fold, tuple, out, partitions)
+        return ordered_fold(requests, F.col(key), [time, tie], fold, tuple, LIMIT_OUT, partitions)
     free = requests.filter(exempt).withColumn("allowed", F.lit(True))
-    return ordered_fold(requests.filter(~exempt), F.col(key), [time, tie], fold, tuple, out, partitions).unionByName(free)
+    return ordered_fold(requests.filter(~exempt), F.col(key), [time, tie], fold, tuple, LIMIT_OUT, partitions).unionByName(free)
 
 
 # ---- the whole message path ------------------------------------------------------------
@@ -178,8 +209,7 @@ def path_step(s: dict, t: int, msg_id: str | None, transform_ok: bool, write_ok:
         s["held"] += 1
         return "held" if s["held"] <= o.capacity else "overflow"
     if msg_id is not None:
-        s["seen"] = {k: v for k, v in s["seen"].items() if seen_before(v, t, o.ttl)}
-        if msg_id in s["seen"]:
+        if seen_before(s["seen"].get(msg_id), t, o.ttl):
             return "duplicate"
         s["seen"][msg_id] = t
     if o.rate_hz is not None:
@@ -199,12 +229,17 @@ def path_step(s: dict, t: int, msg_id: str | None, transform_ok: bool, write_ok:
 
 
 def _record(s: dict, t: int, ok: bool, b: BreakerOptions) -> None:
-    s["window"] = [(at, good) for at, good in s["window"] if at >= t - b.window] + [(t, ok)]
+    window = s["window"]
+    window.append((t, ok))
+    gone = 0
+    while window[gone][0] < t - b.window:
+        gone += 1
+    del window[:gone]
     s["mode"] = breaker_step(s["mode"], s["tripped"], t, b.half_open)
     if s["mode"] == "half_open":
         s["mode"] = "closed" if ok else "open"
         if ok:
-            s["held"] = 0
+            s["held"], s["tripped"] = 0, 0
         else:
             s["tripped"] = t
     elif s["mode"] == "closed":
@@ -213,15 +248,25 @@ def _record(s: dict, t: int, ok: bool, b: BreakerOptions) -> None:
             s["mode"], s["tripped"] = "open", t
 
 
-def process_messages(messages: DataFrame, key: str, time: str, tie: str, msg_id: str, transform_ok: str, write_ok: str,
-                     options: PathOptions = PathOptions(), partitions: int | None = None) -> DataFrame:
-    """``outcome`` of each message of a bridge: breaker, hold, dedupe, limiter, transform, write."""
+def path_fold(time: str, msg_id: str, transform_ok: str, write_ok: str, options: PathOptions) -> Fold:
+    """State: breaker, its window, held count, remembered ids and tokens."""
     def fold(state: dict, rows: pd.DataFrame) -> tuple[dict, dict]:
         s = {**state, "window": list(state["window"]), "seen": dict(state["seen"])}
-        cols = zip(rows[time].tolist(), rows[msg_id].tolist(), rows[transform_ok].tolist(), rows[write_ok].tolist())
-        return {"outcome": [path_step(s, t, m, a, w, options) for t, m, a, w in cols]}, s
+        outcomes = []
+        for t, m, a, w in zip(rows[time].tolist(), rows[msg_id].tolist(), rows[transform_ok].tolist(), rows[write_ok].tolist()):
+            outcomes.append(path_step(s, t, m, a, w, options))
+        # what has run out by the last message no longer matters
+        s["window"] = [(at, ok) for at, ok in s["window"] if at >= t - options.breaker.window]
+        s["seen"] = {k: v for k, v in s["seen"].items() if seen_before(v, t, options.ttl)}
+        return {"outcome": outcomes}, s
 
-    return ordered_fold(messages, F.col(key), [time, tie], fold, new_path_state, _out(("outcome", T.StringType())), partitions)
+    return fold
+
+
+def process_messages(messages: DataFrame, key: str, time: str, tie: str, msg_id: str, transform_ok: str, write_ok: str,
+                     options: PathOptions = PathOptions(), partitions: int | None = None) -> DataFrame:
+    """``outcome`` of each message of a bridge: breaker, hold, dedupe, limiter, transform, write."""
+    return ordered_fold(messages, F.col(key), [time, tie], path_fold(time, msg_id, transform_ok, write_ok, options), new_path_state, PATH_OUT, partitions)
 
 
 def runner_counts(processed: DataFrame, key: str, outcome: str = "outcome") -> DataFrame:

@@ -5,7 +5,7 @@ A single key may hold a large part of all rows, so nothing here gathers a key in
 * ``ordered_fold`` range-partitions rows by (key, time, id), which splits a hot key over many
   partitions, folds each partition as a stream of Arrow batches and carries a small state over
   the partition borders inside a key.
-* ``ranked`` numbers the rows of a key from per-bucket counts plus a rank inside each bucket.
+* ``running_sum`` and ``ranked`` add up the rows of a key from bucket totals plus a sum inside each bucket.
 * ``previous_value`` is ``lag`` by one row with the same bucketing.
 * ``trailing`` and ``next_match`` look back or ahead over a time range, one time bucket at a time.
 """
@@ -40,12 +40,13 @@ def ordered_fold(
     out: T.StructType,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Run ``state, outputs = fold(state, rows)`` over the rows of each key in ``order``.
+    """Run ``outputs, state = fold(state, rows)`` over the rows of each key in ``order``.
 
     ``fold`` gets consecutive rows of one key and may be called several times per key; its
-    outputs are appended to the input columns. States must compare with ``==``. The border
+    outputs are appended to the input columns. States must compare with ``==`` and should keep
+    nothing but what later decisions need: no totals, no entries that have run out. The border
     states are found by repeating the fold on the straddling pieces until none changes, so the
-    result is exact; pieces whose state forgets its past settle in the first round.
+    result is exact; pieces whose state forgets its past settle in the first rounds.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -135,21 +136,28 @@ def _border_states(fixed, spans, feeds, fold, init) -> dict:
     return {p: pickle.loads(exits[src]) for p, src in feeds.items()}
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str) -> DataFrame:
-    """1-based position of each row in its key; ``bucket`` must grow with the first order column."""
-    local = df.withColumn("__b", bucket)
-    counts = local.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` up to each row of its key; ``bucket`` must grow with the first order column.
+
+    Bucket totals give the sum before each bucket, a window inside the bucket the rest, so a key
+    of any size is spread over its buckets.
+    """
+    local = df.withColumn("__b", bucket).withColumn("__v", value.cast("long"))
     before = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    inside = W.partitionBy(*keys, "__b").orderBy(*order)
+    totals = local.groupBy(*keys, "__b").agg(F.sum("__v").alias("__t"))
+    offsets = totals.select(*keys, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
+    inside = W.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        local.withColumn("__r", F.row_number().over(inside))
-        .join(offsets, keys + ["__b"])
-        .withColumn(name, F.col("__o") + F.col("__r"))
-        .drop("__b", "__o", "__r")
+        local.withColumn("__s", F.sum("__v").over(inside)).join(offsets, keys + ["__b"])
+        .withColumn(name, F.col("__o") + F.col("__s")).drop("__b", "__v", "__s", "__o")
     )
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str) -> DataFrame:
+    """1-based position of each row in its key."""
+    return running_sum(df, keys, order, bucket, F.lit(1), name)
+
+
 def previous_value(
     df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: str, name: str
 ) -> DataFrame:

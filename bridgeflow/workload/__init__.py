@@ -3,7 +3,7 @@
 from importlib import import_module
 
 FAMILIES = ["sources", "transform", "mapping", "contracts", "matching", "policy", "registry", "resilience",
-            "topology", "metrics", "lifecycle"]
+            "topology", "metrics", "lifecycle", "jobs"]
 
 
 def collect(kind: str) -> dict:

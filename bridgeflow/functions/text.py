@@ -74,20 +74,14 @@ def first_glob(c: Column, globs: list[str]) -> Column:
 
 def json_quote(c: Column) -> Column:
     """JSON string literal of ``c`` with ASCII escapes."""
-    def unit(code: Column) -> Column:
-        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
-
     short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+    units = lambda ch: F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(.{4})", r"\\u$1")
 
     def escape(ch: Column) -> Column:
-        n = F.ascii(ch).cast("long")
-        high = F.floor((n - 0x10000) / 0x400) + 0xD800
-        low = (n - 0x10000) % 0x400 + 0xDC00
-        return (F.when(ch == "", ch).when(ch.isin(*short), F.try_element_at(string_map(short), ch))
-                .when(n.between(0x20, 0x7F), ch).when(n < 0x10000, unit(n)).otherwise(F.concat(unit(high), unit(low))))
-
-    escaped = F.array_join(F.transform(F.split(c, ""), escape), "")
-    plain = c.rlike(r"^[\x20-\x7F&&[^\"\\]]*$")
+        return F.when(ch.isin(*short), F.try_element_at(string_map(short), ch)).when(ch.rlike(r"[\x20-\x7F]"), ch).otherwise(units(ch))
+
+    escaped = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), escape), "")
+    plain = c.rlike(r"^[\x20-\x7F&&[^\"\\]]*\z")
     return F.concat(F.lit('"'), F.when(plain, c).otherwise(escaped), F.lit('"'))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed
@@ -27,7 +28,8 @@ def ngram_embedding(df: DataFrame, key: str, text: str) -> DataFrame:
     The rows are shuffled once, as texts; grams are counted where their text lies.
     """
     lower = F.lower(F.col(text))
-    grams = F.concat(*[F.regexp_extract_all(lower, F.lit(f"(?U)(?=(\\S{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)])
+    # each match looks ahead for its gram and moves on by one character
+    grams = F.concat(*[F.regexp_extract_all(lower, F.lit(f"(?U)(?=(\\S{{{n}}}))\\S"), F.lit(1)) for n in (1, 2, 3)])
     counted = (
         df.select(key, text).repartition(key)
         .select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
@@ -52,8 +54,6 @@ def dense(sparse: DataFrame, key: str, dims: int = fixed.EMBED_DIM) -> DataFrame
 
 def model_embedding(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
     """Embed with a model: ``load`` runs once per worker task and returns a batch encoder."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = load()

@@ -40,7 +40,7 @@ class FoldProcessor(StatefulProcessor):
         self.state.update((pickle.dumps(state), last))
         if self.idle_us is not None:
             self.handle.registerTimer((last + self.idle_us) // 1000 + 1)
-        yield pdf.drop(columns=["__k"]).assign(**cols)
+        yield pdf.drop(columns=["__k"], errors="ignore").assign(**cols)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import fixed
 from ..scale import Fold, ordered_fold, ranked, running_sum, trailing
+from ..session import durable
 
 SECOND = 1_000_000
 
@@ -106,7 +107,7 @@ def breaker_fold(time: str, failed: str, options: BreakerOptions) -> Fold:
 
 
 def circuit_breaker(outcomes: DataFrame, key: str, time: str, tie: str, failed: str, options: BreakerOptions = BreakerOptions(),
-                    bucket: int = 3600 * SECOND, partitions: int | None = None) -> DataFrame:
+                    bucket: int = 60 * SECOND, partitions: int | None = None) -> DataFrame:
     """Breaker of each outcome: state ``on_arrival``, ``state`` after it, ``trip`` and the number of ``trips`` so far.
 
     The trip condition is a window count and needs no state; the fold keeps mode and trip time.
@@ -116,16 +117,18 @@ def circuit_breaker(outcomes: DataFrame, key: str, time: str, tie: str, failed:
     rated = rated.withColumn("__full", F.coalesce(F.col("error_rate") >= options.threshold, F.lit(False)))
     rated = rated.drop("events", "failures", "error_rate")
     made = ordered_fold(rated, F.col(key), [time, tie], breaker_fold(time, failed, options), new_breaker, BREAKER_OUT, partitions)
-    return running_sum(made.drop("__full"), [key], [time, tie], F.floor(F.col(time) / bucket), F.col("trip").cast("int"), "trips")
+    # read twice below, so that the fold is not run twice
+    made = durable(made.drop("__full"))
+    return running_sum(made, [key], [time, tie], F.floor(F.col(time) / bucket), F.col("trip").cast("int"), "trips")
 
 
 def hold_while_open(stated: DataFrame, key: str, time: str, tie: str, capacity: int = fixed.HOLD_CAPACITY,
-                    bucket: int = 3600 * SECOND) -> DataFrame:
+                    bucket: int = 60 * SECOND) -> DataFrame:
     """Messages that arrive at an open breaker: ``held`` up to the capacity, later ones ``overflow``.
 
     The buffer is drained when the breaker closes, so the capacity counts per trip.
     """
-    waiting = stated.filter(F.col("on_arrival") == "open")
+    waiting = durable(stated.filter(F.col("on_arrival") == "open"))
     numbered = ranked(waiting, [key, "trips"], [time, tie], F.floor(F.col(time) / bucket), "position")
     return numbered.withColumn("status", F.when(F.col("position") <= capacity, "held").otherwise("overflow"))
 

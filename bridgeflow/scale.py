@@ -183,14 +183,15 @@ def trailing(df: DataFrame, keys: list[str], time: str, length: int, sums: dict[
     """
     b = F.floor(F.col(time) / length)
     copy = lambda bucket, at, sign, out: F.struct(
-        bucket.alias("b"), at.alias("at"), F.lit(sign).alias("sign"), F.lit(out).alias("out"))
+        bucket.alias("__b"), at.alias("__at"), F.lit(sign).alias("__sign"), F.lit(out).alias("__out"))
     t = F.col(time)
     copies = df.withColumn("__c", F.explode(F.array(
         copy(b, t, 1, True), copy(b + 1, t, 1, False), copy(b + 1, t + length + 1, -1, False))))
-    over = W.partitionBy(*keys, "__c.b").orderBy("__c.at").rangeBetween(W.unboundedPreceding, 0)
-    for name, value in sums.items():
-        copies = copies.withColumn(name, F.sum(value * F.col("__c.sign")).over(over))
-    return copies.filter("__c.out").drop("__c")
+    # plain columns, so that all sums share one window and one shuffle
+    copies = copies.select("*", "__c.*").drop("__c")
+    over = W.partitionBy(*keys, "__b").orderBy("__at").rangeBetween(W.unboundedPreceding, 0)
+    made = copies.withColumns({name: F.sum(value * F.col("__sign")).over(over) for name, value in sums.items()})
+    return made.filter("__out").drop("__b", "__at", "__sign", "__out")
 
 
 def next_match(

@@ -230,7 +230,7 @@ def _(t):
 def sql_quote(x: str) -> str:
     unit = "CASE WHEN unicode({c}) < 65536 THEN '\\u' || printf('%04x', unicode({c})) ELSE '\\u' || printf('%04x', (unicode({c}) - 65536) // 1024 + 55296) || '\\u' || printf('%04x', (unicode({c}) - 65536) % 1024 + 56320) END".format(c="ch")
     return (f"'\"' || CASE WHEN regexp_full_match({x}, '[ !#-\\[\\]-~]*') THEN {x} ELSE array_to_string(list_transform(string_split({x}, ''), lambda ch: "
-            f"CASE WHEN ch IN ('\"', '\\') THEN '\\' || ch WHEN ch = '' THEN '' WHEN unicode(ch) BETWEEN 32 AND 127 THEN ch ELSE {unit} END), '') END || '\"'")
+            f"CASE WHEN ch IN ('\"', '\\') THEN '\\' || ch WHEN ch = '' THEN '' WHEN unicode(ch) BETWEEN 32 AND 126 THEN ch ELSE {unit} END), '') END || '\"'")
 
 
 @suite.query("contract_fingerprint", f"""

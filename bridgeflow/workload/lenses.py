@@ -100,7 +100,8 @@ def pairs(t: Tables) -> DataFrame:
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("consumer_id"),
         F.round(F.col("o_totalprice") / 1000000.0, 6).alias("score"),
         epoch_micros(F.col("o_orderdate")).alias("created"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+        # text in arrival order, unique per line
+        F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), n, "0") for c, n in (("l_orderkey", 12), ("l_linenumber", 2), ("l_partkey", 11), ("l_suppkey", 10))]).alias("seq"),
         F.col("o_orderstatus").alias("status"),
         F.col("l_extendedprice").alias("price"),
     )
@@ -109,7 +110,7 @@ def pairs(t: Tables) -> DataFrame:
 PAIRS = """pairs AS (
   SELECT 'p' || l_suppkey AS producer_id, 'c' || o_custkey AS consumer_id,
     round(o_totalprice / 1000000.0, 6) AS score, epoch_us(o_orderdate) AS created,
-    l_orderkey * 8 + l_linenumber AS seq, o_orderstatus AS status, l_extendedprice AS price
+    concat_ws('-', lpad(l_orderkey::VARCHAR, 12, '0'), lpad(l_linenumber::VARCHAR, 2, '0'), lpad(l_partkey::VARCHAR, 11, '0'), lpad(l_suppkey::VARCHAR, 10, '0')) AS seq, o_orderstatus AS status, l_extendedprice AS price
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 

@@ -84,10 +84,10 @@ def _(t):
 
 
 @suite.query("registry_upsert", ln.with_(ln.NODES, ln.PAIRS) + """
-, versions AS (SELECT node_id, -1 AS version, endpoint FROM nodes UNION ALL SELECT producer_id, seq, 'order://' || seq FROM pairs)
+, versions AS (SELECT node_id, '' AS version, endpoint FROM nodes UNION ALL SELECT producer_id, seq, 'order://' || seq FROM pairs)
 SELECT node_id, max(version) AS version, arg_max(endpoint, version) AS endpoint FROM versions GROUP BY node_id""")
 def _(t):
-    base = ln.nodes(t).select("node_id", F.lit(-1).cast("long").alias("version"), "endpoint")
+    base = ln.nodes(t).select("node_id", F.lit("").alias("version"), "endpoint")
     updates = ln.pairs(t).select(F.col("producer_id").alias("node_id"), F.col("seq").alias("version"), F.concat(F.lit("order://"), "seq").alias("endpoint"))
     return rg.registry_upsert(base, updates, "version")
 

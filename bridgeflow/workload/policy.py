@@ -12,6 +12,7 @@ from .base import Suite
 from .matching import ENDS, RISK
 
 suite = Suite()
+HOUR = 3_600_000_000
 ZONES = {"internal": ["*.net*"], "partner": ["*.com*", "1?7"]}
 AUTO = [("internal", "partner")]
 ALLOWED = ["*example.net*", "http://*.com/*", "1[0-4]?", "2[!0-4]*"]
@@ -166,14 +167,23 @@ def _(t):
     return ends.select("producer_id", "consumer_id", (risk >= 0.7).alias("staged"))
 
 
-HOUR = 3_600_000_000
+# all attempts in time order; an accepted one is remembered for both ends
+ATTEMPT_WALK = ln.with_(ln.MESSAGES, f"""numbered AS (SELECT 'u' || user_id AS producer_id, 'b' || bridge_id AS consumer_id, t, event_id AS seq,
+    row_number() OVER (ORDER BY t, event_id) AS rn FROM messages),
+walk AS (
+  SELECT 0::BIGINT AS rn, NULL::VARCHAR AS blocked_by, []::STRUCT(n VARCHAR, t BIGINT)[] AS live
+  UNION ALL
+  SELECT rn, full_, CASE WHEN full_ IS NULL THEN list_concat(kept, [{{'n': producer_id, 't': t}}, {{'n': consumer_id, 't': t}}]) ELSE kept END
+  FROM (SELECT *, CASE WHEN len(list_filter(kept, lambda x: x.n = producer_id)) >= 10 THEN producer_id
+      WHEN len(list_filter(kept, lambda x: x.n = consumer_id)) >= 10 THEN consumer_id END AS full_
+    FROM (SELECT n.*, list_filter(w.live, lambda x: n.t - x.t < {48 * HOUR}) AS kept FROM walk w JOIN numbered n ON n.rn = w.rn + 1)))""", recursive=True)
 
 
-@suite.query("gate_attempt_rate")
+@suite.query("gate_attempt_rate", ATTEMPT_WALK + "SELECT producer_id, consumer_id, t, seq, blocked_by FROM walk JOIN numbered USING (rn)")
 def _(t):
     rows = ln.messages(t).select(F.concat(F.lit("u"), F.col("user_id")).alias("producer_id"), F.concat(F.lit("b"), F.col("bridge_id")).alias("consumer_id"),
                                  "t", F.col("event_id").alias("seq"))
-    return pl.gate_attempt_rate(rows, limit=10, window=4 * HOUR)
+    return pl.gate_attempt_rate(rows, limit=10, window=48 * HOUR)
 
 
 @suite.query("evaluate_policy", ln.with_(ln.NODES, ln.PAIRS, ln.LINKS, ln.ACTIVE, LISTS, COUNTS) + f"""

@@ -102,13 +102,39 @@ def processed(t):
     return rs.process_messages(rows, "bridge_id", "t", "event_id", "msg_id", "transform_ok", "write_ok", options)
 
 
-@suite.query("process_messages")
+# one bridge after the other, message by message: breaker, window, remembered ids and tokens as columns
+PATH_WALK = ln.with_(ln.MESSAGES, f"""numbered AS (SELECT *, event_type <> 'signup' AS tok, NOT is_error AS wok,
+    row_number() OVER (PARTITION BY bridge_id ORDER BY t, event_id) AS rn FROM messages),
+walk AS (
+  SELECT DISTINCT bridge_id, 0::BIGINT AS rn, -1::BIGINT AS event_id, '' AS outcome, 'closed' AS mode, 0::BIGINT AS tripped, 0::BIGINT AS held, []::BIGINT[] AS win,
+    []::STRUCT(id VARCHAR, t BIGINT)[] AS seen, 1.0::DOUBLE AS tokens, NULL::BIGINT AS last FROM messages
+  UNION ALL
+  SELECT bridge_id, rn, event_id,
+    CASE WHEN shut THEN CASE WHEN held < 5 THEN 'held' ELSE 'overflow' END WHEN dup THEN 'duplicate' WHEN limited THEN 'limited'
+      WHEN NOT tok THEN 'transform_error' WHEN wok THEN 'delivered' ELSE 'write_failed' END,
+    CASE WHEN NOT take THEN m WHEN m = 'half_open' THEN CASE WHEN good THEN 'closed' ELSE 'open' END WHEN trips THEN 'open' ELSE m END,
+    CASE WHEN take AND ((m = 'half_open' AND NOT good) OR trips) THEN t WHEN take AND m = 'half_open' THEN 0 ELSE tripped END,
+    CASE WHEN shut THEN held + 1 WHEN take AND m = 'half_open' AND good THEN 0 ELSE held END,
+    CASE WHEN take THEN win1 ELSE win END,
+    CASE WHEN take THEN list_append(list_filter(seen, lambda s: s.id <> msg_id AND t - s.t <= {24 * HOUR}), {{'id': msg_id, 't': t}}) ELSE seen END,
+    CASE WHEN take THEN have - (NOT limited)::INT ELSE tokens END, CASE WHEN take THEN t ELSE last END
+  FROM (SELECT *, m = 'closed' AND len(win1) >= 5 AND len(list_filter(win1, lambda x: x % 2 = 0)) / len(win1) >= 0.4 AS trips
+    FROM (SELECT *, list_append(list_filter(win, lambda x: x // 2 >= t - {6 * HOUR}), t * 2 + good::INT) AS win1
+      FROM (SELECT *, take AND have < 1 AS limited, (take AND have < 1) OR (tok AND wok) AS good
+        FROM (SELECT *, NOT shut AND NOT dup AS take, CASE WHEN last IS NULL THEN 1.0 ELSE least(1.0, tokens + (t - last) / 1000000.0::DOUBLE * {1.0 / 600!r}::DOUBLE) END AS have
+          FROM (SELECT *, m = 'open' AS shut, m <> 'open' AND len(list_filter(seen, lambda s: s.id = msg_id AND t - s.t <= {24 * HOUR})) > 0 AS dup
+            FROM (SELECT n.bridge_id, n.rn, n.event_id, n.t, n.msg_id, n.tok, n.wok, w.tripped, w.held, w.win, w.seen, w.tokens, w.last,
+                CASE WHEN w.mode = 'open' AND n.t - w.tripped >= {24 * HOUR} THEN 'half_open' ELSE w.mode END AS m
+              FROM walk w JOIN numbered n ON n.bridge_id = w.bridge_id AND n.rn = w.rn + 1))))))
+)""", recursive=True)
+
+
+@suite.query("process_messages", PATH_WALK + "SELECT event_id, bridge_id, outcome FROM walk WHERE rn > 0")
 def _(t):
     return processed(t).select("event_id", "bridge_id", "outcome")
 
 
-@suite.query("runner_counts", ln.with_(ln.MESSAGES) + """
-SELECT bridge_id, count(*) FILTER (NOT is_error AND event_type <> 'click') AS messages, count(*) FILTER (is_error OR event_type = 'click') AS errors FROM messages GROUP BY bridge_id""")
+@suite.query("runner_counts", PATH_WALK + """
+SELECT bridge_id, count(*) FILTER (outcome = 'delivered') AS messages, count(*) FILTER (outcome <> 'delivered') AS errors FROM walk WHERE rn > 0 GROUP BY bridge_id""")
 def _(t):
-    outcome = F.when(F.col("is_error"), "write_failed").when(F.col("event_type") == "click", "duplicate").otherwise("delivered")
-    return rs.runner_counts(ln.messages(t).withColumn("outcome", outcome), "bridge_id")
+    return rs.runner_counts(processed(t), "bridge_id")

@@ -31,6 +31,19 @@ def _key_runs(keys: pd.Series) -> Iterator[tuple[str, int, int]]:
         yield values[a], a, b
 
 
+PIECE_BYTES = 16 * 1024 * 1024
+
+
+def fold_partitions(df: DataFrame) -> int:
+    """Partitions for a fold: pieces of some size by the optimizer's estimate, at most the shuffle setting.
+
+    Small pieces cost more than they save: every border inside a key must settle.
+    """
+    limit = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, min(limit, -(-estimate // PIECE_BYTES)))
+
+
 def ordered_fold(
     df: DataFrame,
     key: Column,
@@ -48,8 +61,7 @@ def ordered_fold(
     states are found by repeating the fold on the straddling pieces until none changes, so the
     result is exact; pieces whose state forgets its past settle in the first rounds.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or fold_partitions(df)
     keyed = df.withColumn("__k", key.cast("string"))
     fixed = durable(
         keyed.repartitionByRange(n, "__k", *order)

@@ -78,9 +78,11 @@ def json_quote(c: Column) -> Column:
     units = lambda ch: F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(.{4})", r"\\u$1")
 
     def escape(ch: Column) -> Column:
-        return F.when(ch.isin(*short), F.try_element_at(string_map(short), ch)).when(ch.rlike(r"[\x20-\x7E]"), ch).otherwise(units(ch))
+        return F.when(ch.isin(*short), F.try_element_at(string_map(short), ch)).when(ch.rlike(r"^[\x20-\x7E]"), ch).otherwise(units(ch))
 
-    escaped = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), escape), "")
+    # runs of plain characters stay together, every other character is a piece of its own
+    pieces = F.regexp_extract_all(c, F.lit(r"[\x20-\x7E&&[^\"\\]]++|(?s:.)"), F.lit(0))
+    escaped = F.array_join(F.transform(pieces, escape), "")
     plain = c.rlike(r"^[\x20-\x7E&&[^\"\\]]*\z")
     return F.concat(F.lit('"'), F.when(plain, c).otherwise(escaped), F.lit('"'))
 

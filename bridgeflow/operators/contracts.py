@@ -256,7 +256,7 @@ def infer_role(rate: Column) -> Column:
 
 def contract_fingerprint(names: Column, tags: Column, encoding: Column) -> Column:
     """16 hex digits over encoding, sorted names and sorted tags."""
-    quoted = lambda values: F.array_join(F.transform(F.array_sort(values), json_quote), ", ")
+    quoted = lambda values: F.array_join(F.transform(F.sort_array(values), json_quote), ", ")
     text = F.concat(F.lit('{"encoding": '), json_quote(encoding), F.lit(', "fields": ['), quoted(names),
                     F.lit('], "tags": ['), quoted(tags), F.lit("]}"))
     return F.substring(F.sha2(text, 256), 1, 16)

@@ -12,7 +12,7 @@ from .registry import PAIR, reweight_edges
 
 def nth_percentiles(samples: DataFrame, key: str, latency: str) -> DataFrame:
     """p50 and p99 by position, for keys with a bounded number of samples."""
-    ordered = F.array_sort(F.collect_list(latency))
+    ordered = F.sort_array(F.collect_list(latency))
     n = F.size("s")
     at = lambda i: F.get("s", F.least(F.floor(i), n - 1).cast("int"))
     return samples.groupBy(key).agg(ordered.alias("s")).select(key, at(n / 2).alias("p50"), at(n * 0.99).alias("p99"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "bridgeflow") -> SparkSession:
-    """A local session for tests and the benchmark; a cluster brings its own."""
+    """A local session for tests and the benchmark, with a checkpoint folder of its own; a cluster brings both."""
     return (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.ui.enabled", "false")
@@ -18,24 +18,25 @@ def local_session(cores: str = "8", app: str = "bridgeflow") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; only a local run may make its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    sc.setCheckpointDir(named)
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")  # one machine, so its folder is shared
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to reliable storage; rows, partitions and their order are then fixed."""
-    _ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -13,6 +13,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: Bytes of text that a Python task holds as strings at once; one longer text is a chunk of its own.
 CHUNK_BYTES = 2 * 1024 * 1024
 
+#: Rows up to which a table of keys may be broadcast; beyond, Spark joins it by shuffling.
+BROADCAST_ROWS = 1_000_000
+
 Worker = Callable[[list[str]], list]
 
 
@@ -90,3 +93,8 @@ SPANS = T.ArrayType(T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
     T.StructField("score", T.DoubleType()),
 ]))
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows."""
+    return F.broadcast(df) if df.count() <= limit else df

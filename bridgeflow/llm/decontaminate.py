@@ -17,6 +17,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import durable
+from .common import small
+
 WINDOW = 10
 #: Windows that one broadcast holds at most, about 100 MB with their words.
 BROADCAST_WINDOWS = 250_000
@@ -47,7 +50,7 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
 
 def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
                   block: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per document: its key, ``n_words``, ``spans`` (hit words as from, past the end) and ``items`` (ids whose windows occur)."""
+    """One row per document: its key, ``text_id`` (MD5), ``n_words``, ``spans`` (hit words as from, past the end) and ``items`` (ids whose windows occur)."""
     grams = benchmark_windows(benchmark, window=window)
     sizes = {r["n"]: r["count"] for r in grams.groupBy("n").count().collect()}  # at most one row per length up to the window
     blocks = max(1, -(-sum(sizes.values()) // block))
@@ -70,7 +73,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
         F.sort_array(F.collect_set(F.when(F.col("n") > 0, F.struct("at", (F.col("at") + F.col("n")).alias("end"))))).alias("__hits"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     merged = grouped.withColumn("spans", merge_spans(F.col("__hits"))).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__rows"))))
-    return merged.select(F.col("__key").alias(key), "n_words", "spans", F.filter("items", lambda x: x.isNotNull()).alias("items"))
+    return merged.select(F.col("__key").alias(key), F.col("__id").alias("text_id"), "n_words", "spans", F.filter("items", lambda x: x.isNotNull()).alias("items"))
 
 
 def merge_spans(hits: Column) -> Column:
@@ -93,5 +96,6 @@ def n_hit(spans: Column) -> Column:
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that hold a benchmark window; every clean row stays as it is."""
-    hit = contamination(documents, benchmark, key, text).filter(F.size("spans") > 0).select(F.col(key).alias("__hit")).distinct()
-    return documents.join(hit, F.col(f"`{key}`").eqNullSafe(F.col("__hit")), "left_anti")
+    hit = contamination(documents, benchmark, key, text).filter(F.size("spans") > 0).select("text_id").distinct()
+    marked = documents.withColumn("__id", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    return marked.join(small(durable(hit)), F.col("__id") == F.col("text_id"), "left_anti").drop("__id")

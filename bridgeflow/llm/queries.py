@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontaminate, html_text, language, perplexity, personal, quality, secrets
+from . import byte_bpe, decontaminate, html_text, jaccard, language, licenses, perplexity, personal, quality, secrets
 from .common import crc_mod, digest, joined_spans, table
 
 QUERIES, ORACLES = {}, {}
@@ -23,6 +23,14 @@ def _of_kinds(spans: Column, kinds: tuple[str, ...]) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*kinds))
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.concat_ws(",", F.transform("licenses", text)).alias("licenses"),
+                        F.array_max(F.transform("licenses", lambda x: x["coverage"])).alias("coverage"))
+
+
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -116,6 +124,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
 
 
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

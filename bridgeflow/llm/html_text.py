@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, types as T
 from .common import map_text
 
 _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?])")
-_REST = re.compile(r"""[^>"']*(?:=\s*(?:"[^"]*"|'[^']*')[^>"']*|["'][^>"']*)*>?""")
+_REST = re.compile(r"""(?:[^>"'=]+|=\s*(?:"[^"]*"|'[^']*')?|["'])*>?""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text at all.
@@ -130,7 +130,7 @@ class _Page:
             if m[3] is None:
                 continue
             tag, attributes = m[3].lower(), rest[0]
-            if tag not in _INLINE:
+            if tag not in _INLINE and tag not in _RAW:
                 self._flush()
             if m[2]:
                 if open_tags.get(tag):

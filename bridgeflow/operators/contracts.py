@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
+from ..functions.leaves import json_leaves
 from ..functions.text import any_word, json_quote, let, lookup, string_map
-from .transform import json_leaves
 
 FIELD_TYPE = "array<struct<name:string,type:string,nullable:boolean>>"
 
@@ -39,10 +39,9 @@ def logical_type(kind: Column, raw: Column) -> Column:
 
 # ---- fields ----------------------------------------------------------------------
 
-def infer_fields(text: Column, levels: int) -> Column:
-    """Dotted fields of a JSON object, nested objects expanded; anything else is ``data:object``."""
-    empty = F.struct(F.lit("data").alias("name"), F.lit("OBJECT<>").alias("type"), F.lit(None).cast("string").alias("value"))
-    leaves = json_leaves(text, levels, empty=empty)
+def infer_fields(text: Column) -> Column:
+    """Dotted fields of a JSON object, nested objects expanded to any depth; anything else is ``data:object``."""
+    leaves = json_leaves(text, empty="data")
     fields = F.transform(leaves, lambda e: field(
         e["name"], logical_type(e["type"], e["value"]), e["type"].startswith("ARRAY") | (e["type"] == "VOID")))
     return or_data(fields)
@@ -50,7 +49,7 @@ def infer_fields(text: Column, levels: int) -> Column:
 
 def infer_fields_shallow(text: Column, limit: int = 10) -> Column:
     """Top-level fields only, the first ``limit`` keys."""
-    leaves = F.slice(json_leaves(text, 0), 1, limit)
+    leaves = F.slice(json_leaves(text, deep=False), 1, limit)
     fields = F.transform(leaves, lambda e: field(e["name"], logical_type(e["type"], e["value"])))
     return or_data(fields)
 
@@ -123,32 +122,32 @@ def _contract(df: DataFrame, json: Column, fields: Column, tags: Column, extra:
 
 
 
-def contract_from_topic(messages: DataFrame, topic: str, value: str, time: str, levels: int = 4) -> DataFrame:
+def contract_from_topic(messages: DataFrame, topic: str, value: str, time: str) -> DataFrame:
     """Contract of each topic from its latest message, with the measured message rate."""
     text = F.make_valid_utf8(F.col(value).cast("string"))
     span = (F.max(time) - F.min(time)) / 1000000.0
     sampled = messages.groupBy(topic).agg(
         F.max_by(text, F.col(time)).alias("sample"),
         F.when(span > 0, F.count(F.lit(1)) / span).alias("measured_rate"))
-    made = _contract(sampled, _is_json(F.col("sample")), infer_fields(F.col("sample"), levels),
+    made = _contract(sampled, _is_json(F.col("sample")), infer_fields(F.col("sample")),
                      semantic_tags(F.transform("fields", lambda f: f["name"])), ["kafka"], one_field("data", "bytes"), ["kafka"],
                      ("json", "binary"), (0.8, 0.4))
     raw = F.when(F.col("encoding") == "json", F.substring("sample", 1, 512))
     return made.withColumn("rate", F.lit(1.0)).withColumn("raw_sample", raw).drop("sample")
 
 
-def contract_from_files(files: DataFrame, text: str, sample_chars: int = 4096, levels: int = 4) -> DataFrame:
+def contract_from_files(files: DataFrame, text: str, sample_chars: int = 4096) -> DataFrame:
     """Contract of each file from its leading sample: one JSON document, or text lines."""
     sample = F.substring(F.col(text), 1, sample_chars)
-    return _contract(files, _is_json(sample), infer_fields(sample, levels),
+    return _contract(files, _is_json(sample), infer_fields(sample),
                      semantic_tags(F.transform("fields", lambda f: f["name"])), ["file"], one_field("line", "str"), ["file", "text"],
                      ("json", "text"), (0.7, 0.5))
 
 
-def contract_from_rest_sample(bodies: DataFrame, body: str, levels: int = 4) -> DataFrame:
+def contract_from_rest_sample(bodies: DataFrame, body: str) -> DataFrame:
     """Contract of each captured JSON body; bodies that are no JSON give none."""
     kept = bodies.filter(_is_json(F.col(body)))
-    return _contract(kept, F.lit(True), infer_fields(F.col(body), levels),
+    return _contract(kept, F.lit(True), infer_fields(F.col(body)),
                      semantic_tags(F.transform("fields", lambda f: f["name"])), [], one_field("data", "object"), [],
                      ("json", "json"), (0.7, 0.7))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 
 def is_object(v: Column) -> Column:
@@ -71,14 +71,15 @@ def python_text(raw: Column, kind: Column) -> Column:
 
 def message_id(text: Column) -> Column:
     """Value of the first id key that is present in a JSON object, else null."""
-    typed = F.from_json(text, "map<string,variant>")
-    raw = F.from_json(text, "map<string,string>")
-    found = [
-        F.when(F.map_contains_key(typed, F.lit(k)),
-               python_text(F.try_element_at(raw, F.lit(k)), F.schema_of_variant(F.try_element_at(typed, F.lit(k)))))
-        for k in fixed.MESSAGE_ID_KEYS
-    ]
-    return F.coalesce(*found)
+    both = F.struct(F.from_json(text, "map<string,variant>").alias("typed"), F.from_json(text, "map<string,string>").alias("raw"))
+
+    def found(doc: Column) -> Column:
+        # parsed once; every key is only looked up
+        given = lambda k: F.struct(F.try_element_at(doc["raw"], F.lit(k)).alias("raw"), F.schema_of_variant(F.try_element_at(doc["typed"], F.lit(k))).alias("kind"))
+        first = F.coalesce(*[F.when(F.map_contains_key(doc["typed"], F.lit(k)), given(k)) for k in fixed.MESSAGE_ID_KEYS])
+        return let(first, lambda x: F.when(x.isNotNull(), python_text(x["raw"], x["kind"])))
+
+    return let(both, found)
 
 
 def parse_endpoint(endpoint: Column, protocol: Column, default_topic: str = "default") -> Column:

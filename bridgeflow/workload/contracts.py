@@ -39,7 +39,7 @@ def sql_fields(deep: str) -> str:
 
 @suite.query("infer_fields", f"SELECT event_id, {sql_fields(DEEP)} AS fields FROM events")
 def _(t):
-    return t.events.select("event_id", _document().alias("doc")).select("event_id", fields_text(ct.infer_fields(F.col("doc"), 2)).alias("fields"))
+    return t.events.select("event_id", _document().alias("doc")).select("event_id", fields_text(ct.infer_fields(F.col("doc"))).alias("fields"))
 
 
 @suite.query("infer_fields_shallow", f"SELECT event_id, {sql_fields(SHALLOW)} AS fields FROM events")

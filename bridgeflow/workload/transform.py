@@ -52,7 +52,7 @@ def _(t):
         "event_id", F.struct(F.col("user_id").alias("id"), F.struct(F.col("bridge_id").alias("id")).alias("bridge")).alias("who"),
         F.from_json("props", "k bigint").alias("meta"),
         F.array(F.struct(F.col("value").alias("v")), F.struct((F.col("value") * 2).alias("v"))).alias("readings"))
-    return tr.flatten_nested(nested, array_sizes={"readings": 2})
+    return tr.flatten_nested(nested, arrays=True)
 
 
 @suite.query("flatten_json", ln.with_(ln.MESSAGES) + """
@@ -60,7 +60,7 @@ SELECT event_id, user_id::VARCHAR AS "a", (props->>'$.k') AS "b.p.k", event_type
 def _(t):
     doc = F.concat(F.lit('{"a": '), F.col("user_id"), F.lit(', "b": {"p": '), F.col("props"), F.lit(', "e": "'),
                    F.col("event_type"), F.lit('", "none": {}}}'))
-    flat = ln.messages(t).select("event_id", tr.flatten_json(doc, 2).alias("m"))
+    flat = ln.messages(t).select("event_id", tr.flatten_json(doc).alias("m"))
     return flat.select("event_id", *[F.col("m").getItem(k).alias(k) for k in ("a", "b.p.k", "b.e")])
 
 

@@ -116,9 +116,28 @@ def test_flatten_and_back(spark):
 
 
 def test_json_depth(spark):
-    df = spark.createDataFrame([('{"a": {"b": {"c": 1}}, "d": [{"x": 1}], "e": {}}',)], "j string")
-    levels = tr.nesting_levels(df, "j")
-    assert df.select(tr.flatten_json(F.col("j"), levels)).first()[0] == {"a.b.c": "1", "d": '[{"x":1}]'}
+    got = values(spark, tr.flatten_json, [
+        '{"a": {"b": {"c": 1}}, "d": [{"x": 1}, {"x": {"y": [2, 3]}}, 7], "e": {}, "f": [1.5, {"z": 1}], "g": []}',
+        '{"a":{"b":{"c":{"d":{"e":{"f":{"g":"deep"}}}}}}}', '{"a.b":1,"a":{"b":2},"k":1,"k":null}', "[1]", "no", None, "{}"])
+    assert got == [{"a.b.c": "1", "d[0].x": "1", "d[1].x.y": "[2,3]", "d[2]": "7", "f": '[1.5,{"z":1}]', "g": "[]"},
+                   {"a.b.c.d.e.f.g": "deep"}, {"a.b": "2", "k": None}, None, None, None, {}]
+    fields = values(spark, ct.infer_fields, ['{"a":{"b":{"c":{"d":{"e":{"f":{"g":1e3}}}}}}}'])[0]
+    assert [(f["name"], f["type"]) for f in fields] == [("a.b.c.d.e.f.g", "float")]
+
+
+def test_flatten_record_arrays(spark):
+    df = spark.createDataFrame(
+        [(1, [(1, [("p",)]), (2, []), (3, [("q",), ("r",)])]), (2, []), (3, None)], "id int, a array<struct<x:int,b:array<struct<y:string>>>>")
+    flat = tr.flatten_nested(df, arrays=True)
+    assert flat.columns == ["id", "a[0].x", "a[0].b[0].y", "a[1].x", "a[2].x", "a[2].b[0].y", "a[2].b[1].y"]
+    assert [tuple(r) for r in flat.orderBy("id").collect()] == [(1, 1, "p", 2, 3, "q", "r"), (2,) + (None,) * 6, (3,) + (None,) * 6]
+    assert tr.flatten_nested(df).columns == ["id", "a"]
+    assert tr.RecordConverter.from_spec({"flatten": True, "flatten_arrays": True}).apply(df).columns == flat.columns
+
+
+def test_spec_keys(spark):
+    with pytest.raises(ValueError):
+        tr.RecordConverter.from_spec({"flaten": True})
 
 
 # ---- sources ---------------------------------------------------------------------------
@@ -221,7 +240,7 @@ def test_fields(spark):
     got = values(spark, ct.infer_fields_shallow, [doc, "[1]", "{}"])
     assert [(f["name"], f["type"]) for f in got[0]] == [("i", "int"), ("f", "float"), ("s", "str"), ("b", "bool"), ("l", "array"), ("d", "object"), ("n", "str"), ("big", "int")]
     assert [(f["name"], f["type"]) for f in got[1]] == [("data", "object")] == [(f["name"], f["type"]) for f in got[2]]
-    deep = values(spark, lambda c: ct.infer_fields(c, 3), ['{"z": {"y": {"x": 1, "e": {}}}, "a": [1]}'])[0]
+    deep = values(spark, lambda c: ct.infer_fields(c), ['{"z": {"y": {"x": 1, "e": {}}}, "a": [1]}'])[0]
     assert [tuple(f) for f in deep] == [("z.y.x", "int", False), ("data", "object", False), ("a", "array", True)]
 
 

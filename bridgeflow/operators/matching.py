@@ -194,14 +194,21 @@ def _key(*names: str) -> Column:
     return F.sha2(F.to_json(F.struct(*names)), 256)
 
 
-def node_profiles(nodes: DataFrame, blacklist: list[str] | None = None) -> DataFrame:
-    """Nodes with contract text and the keys of their cell and group; unknown rates are null."""
+def node_profiles(nodes: DataFrame, blacklist: DataFrame | list[str] | None = None) -> DataFrame:
+    """Nodes with contract text and the keys of their cell and group; unknown rates are null.
+
+    ``blacklist`` is a table with ``node_id``, or a short list.
+    """
+    if isinstance(blacklist, DataFrame):
+        flagged = blacklist.select("node_id", F.lit(True).alias("listed")).distinct()
+        nodes = nodes.drop("listed").join(flagged, "node_id", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    else:
+        nodes = nodes.withColumn("listed", F.col("node_id").isin(blacklist or []))
     text = contract_text(F.col("encoding"), F.transform("fields", lambda f: f["name"]), F.col("tags"))
     rate = F.when(F.col("rate") != 0, F.col("rate"))
     return (
         nodes.withColumn("rate", rate)
-        .withColumns({"text": text, "listed": F.col("node_id").isin(blacklist or []),
-                      "conf_step": F.floor(F.col("confidence") * 10), "rate_step": F.floor(F.log10("rate") * 2)})
+        .withColumns({"text": text, "conf_step": F.floor(F.col("confidence") * 10), "rate_step": F.floor(F.log10("rate") * 2)})
         .withColumn("cell", _key(*CELL)).withColumn("grp", _key("cell", "text"))
     )
 
@@ -291,7 +298,7 @@ def pair_prefilter(profiles: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def score_pairs(nodes: DataFrame, taken: DataFrame, history: DataFrame, weights: dict | None = None,
-                min_score: float = fixed.MIN_SCORE, blacklist: list[str] | None = None,
+                min_score: float = fixed.MIN_SCORE, blacklist: DataFrame | list[str] | None = None,
                 embeddings: DataFrame | None = None) -> DataFrame:
     """Open node pairs whose score reaches ``min_score``, with all components.
 
@@ -320,9 +327,9 @@ def score_pairs(nodes: DataFrame, taken: DataFrame, history: DataFrame, weights:
     pairs = passed.join(end(["producer", "both"], "p_", "producer_id"), "p_grp").join(end(["consumer", "both"], "c_", "consumer_id"), "c_grp")
     risk = quick_risk(col("p_listed"), col("c_listed"), col("p_protocol"), col("c_protocol"), col("p_confidence"), col("c_confidence"))
     scored = pairs.withColumns({"latency": latency_score(col("p_rate"), col("c_rate")), "risk": 1.0 - risk}).withColumn(
-        "composite", F.least("p_confidence", "c_confidence") * (
+        "composite", F.least(F.lit(1.0), F.least("p_confidence", "c_confidence") * (
             w["semantic"] * col("semantic") + w["protocol"] * col("compat") + w["latency"] * col("latency")
-            + w["risk"] * col("risk") + w["history"] * col("history")))
+            + w["risk"] * col("risk") + w["history"] * col("history"))))
     out = scored.filter(reaches(col("composite"), min_score) & (col("producer_id") != col("consumer_id")))
     out = out.join(taken.select("producer_id", "consumer_id"), ["producer_id", "consumer_id"], "left_anti")
     return out.select("producer_id", "consumer_id", "semantic", "compat", "latency", "risk", "history", "composite")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import fixed
 from ..functions.text import any_glob, matches_glob
 from ..scale import next_match, ordered_fold
+from ..session import durable
 from .matching import quick_risk
 
 
@@ -191,10 +192,12 @@ def evaluate_policy(
     cap: int = fixed.MAX_BRIDGES_PER_NODE,
     stage_risk: float = 0.7,
     blocked: DataFrame | None = None,
+    attempt: str | None = None,
 ) -> DataFrame:
     """Verdict, reason, audit reason and risk of each candidate pair.
 
-    ``blocked`` (producer_id, consumer_id, blocked_by) brings in the attempt limit.
+    ``blocked`` (producer_id, consumer_id, blocked_by) brings in the attempt limit, by the column
+    ``attempt`` of both tables; without one, a pair is blocked if none of its attempts passed.
     """
     # everything known per node first, so that the candidates are joined twice instead of eight times
     flag = lambda ids, name: ids.select("node_id", F.lit(True).alias(name)).distinct()
@@ -214,8 +217,10 @@ def evaluate_policy(
     if blocked is None:
         x = x.withColumn("blocked_by", F.lit(None).cast("string"))
     else:
-        x = x.join(blocked.filter("blocked_by IS NOT NULL").select("producer_id", "consumer_id", "blocked_by").dropDuplicates(["producer_id", "consumer_id"]),
-                   ["producer_id", "consumer_id"], "left")
+        keys = [attempt] if attempt else ["producer_id", "consumer_id"]
+        passed = F.bool_or(F.col("blocked_by").isNull())
+        refused = blocked.groupBy(*keys).agg(F.when(~passed, F.min("blocked_by")).alias("blocked_by"))
+        x = x.join(refused, keys, "left")
     c = F.col
     x = x.withColumn("__ratio", rate_ratio(c("p_rate"), c("c_rate"))).withColumn(
         "__risk", quick_risk(c("p_listed"), c("c_listed"), c("p_protocol"), c("c_protocol"), c("p_confidence"), c("c_confidence")))
@@ -270,11 +275,85 @@ def audit_rows(verdicts: DataFrame, recorded_at: Column) -> DataFrame:
                            F.col("composite").alias("score"), F.col("audit_reason").alias("reason"))
 
 
-def audit_append(rows: DataFrame, path: str) -> None:
-    """Append audit rows, one folder per day of ``recorded_at`` (epoch microseconds)."""
+def audit_append(rows: DataFrame, path: str, batch: str) -> None:
+    """Write the audit rows of one batch, a folder per batch and per day of ``recorded_at`` (epoch microseconds).
+
+    A batch that runs again replaces its own rows and no others.
+    """
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("recorded_at") / 86_400_000_000).cast("int"))
-    rows.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
+    rows.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
 
 
 def audit_recent(log: DataFrame, n: int = 100, order: tuple[str, ...] = ("recorded_at",)) -> DataFrame:
-    return log.orderBy(*[F.desc(c) for c in order]).limit(n)
+    """The newest ``n`` rows; rows of the same time are ordered by their other columns, so the result is always the same."""
+    ties = [F.col(c) for c in log.columns if c not in order]
+    return log.orderBy(*[F.desc(c) for c in order], *ties).limit(n)
+
+
+# ---- decisions that depend on earlier ones of the same batch -------------------------------
+
+def settle_batch(verdicts: DataFrame, active: DataFrame, cap: int = fixed.MAX_BRIDGES_PER_NODE, score: str = "composite") -> DataFrame:
+    """Verdicts as if the candidates were decided one after another, best score first (ties by ids).
+
+    A bridge counts for both ends as soon as it is approved: a later pair with a full end, or whose
+    reverse was approved earlier, is rejected. Pairs on the whitelist are approved in any case and
+    count as well. Works in rounds: a pair is approved once it is among the first rows that still
+    fit at both ends, and rejected once an end is full before it; the best open pair is settled in
+    every round. Only the first ``cap`` rows of a node are ever ranked.
+    """
+    rank_by = F.struct((-F.col(score)).alias("s"), F.col("producer_id").alias("p"), F.col("consumer_id").alias("c"))
+    keyed = durable(verdicts.withColumn("__at", rank_by))
+    never = F.lit(None).cast(keyed.schema["__at"].dataType)
+    wants = keyed.filter("verdict = 'approve'").select("producer_id", "consumer_id", "__at", (F.col("reason") == "both-whitelisted").alias("sure")).distinct()
+    rooms = bridges_per_node(active).select(F.col("node_id").alias("node"), F.greatest(cap - F.col("bridges"), F.lit(0)).alias("room"))
+    ends = lambda rows: rows.withColumn("node", F.explode(F.array_distinct(F.array("producer_id", "consumer_id"))))
+    with_room = lambda rows: rows.join(rooms, "node", "left").withColumn("room", F.coalesce("room", F.lit(cap)))
+
+    def fullness(accepted: DataFrame) -> DataFrame:
+        """Nodes that are full, and the rank from which on."""
+        turn = F.row_number().over(W.partitionBy("node").orderBy("__at"))
+        taken = with_room(ends(accepted)).withColumn("turn", turn).filter("turn = room").select("node", F.col("__at").alias("full_at"))
+        return taken.unionByName(rooms.filter("room <= 0").select("node", never.alias("full_at")))
+
+    def late(rows: DataFrame, accepted: DataFrame) -> DataFrame:
+        """``rows`` with why an earlier approval stands against them: cap at an end, or the reverse pair."""
+        full = fullness(accepted)
+        for mark, key in (("__p", "producer_id"), ("__c", "consumer_id")):
+            side = full.select(F.col("node").alias(key), F.lit(True).alias(mark), F.col("full_at").alias(mark + "_at"))
+            rows = rows.join(side, key, "left")
+            rows = rows.withColumn(mark, F.coalesce(F.col(mark) & (F.col(mark + "_at").isNull() | (F.col("__at") > F.col(mark + "_at"))), F.lit(False))).drop(mark + "_at")
+        back = accepted.select(F.col("consumer_id").alias("producer_id"), F.col("producer_id").alias("consumer_id"), F.col("__at").alias("__back"))
+        rows = rows.join(back, ["producer_id", "consumer_id"], "left")
+        return rows.withColumn("__back", F.coalesce(F.col("__back") < F.col("__at"), F.lit(False)))
+
+    accepted = durable(wants.filter("sure").drop("sure"))
+    waiting = durable(wants.filter(~F.col("sure")).drop("sure"))
+    while not waiting.isEmpty():
+        both = accepted.withColumn("open", F.lit(False)).unionByName(waiting.withColumn("open", F.lit(True)))
+        turn = F.row_number().over(W.partitionBy("node").orderBy("__at"))
+        first = with_room(ends(both)).withColumn("turn", turn).filter(F.col("turn") <= cap).filter("turn <= room AND open")
+        fits = first.groupBy("producer_id", "consumer_id", "__at").agg(F.count("*").alias("n"))
+        fits = fits.filter(F.col("n") == F.when(F.col("producer_id") == F.col("consumer_id"), 1).otherwise(2)).drop("n")
+        # the reverse pair, if it is still open and comes first, decides before this one
+        back = waiting.select(F.col("consumer_id").alias("producer_id"), F.col("producer_id").alias("consumer_id"), F.col("__at").alias("__back"))
+        fits = fits.join(back, ["producer_id", "consumer_id"], "left").filter(F.col("__back").isNull() | (F.col("__back") >= F.col("__at"))).drop("__back")
+        fits = late(fits, accepted).filter("NOT (__p OR __c OR __back)").select("producer_id", "consumer_id", "__at")
+        accepted = durable(accepted.unionByName(fits))
+        open_ = waiting.join(accepted.select("producer_id", "consumer_id"), ["producer_id", "consumer_id"], "left_anti")
+        waiting = durable(late(open_, accepted).filter("NOT (__p OR __c OR __back)").select("producer_id", "consumer_id", "__at"))
+
+    c, lit = F.col, F.lit
+    judged = late(keyed, accepted)
+    limited = c("reason").startswith("rate-limit-exceeded:")
+    # rows that an earlier gate decided stay as they are
+    reached = c("reason").isin("all-checks-passed", "circular-dependency", "low-confidence-contract", "extreme-rate-mismatch") | c("reason").startswith("risk:") | limited
+    full = F.when(c("__p"), "producer-bridge-cap").when(c("__c"), "consumer-bridge-cap")
+    why = F.when(reached, F.coalesce(full, F.when(c("__back") & ~limited, "circular-dependency")))
+    judged = judged.withColumn("__why", why)
+    is_cap = c("__why") != "circular-dependency"
+    changed = c("__why").isNotNull()
+    return judged.withColumns({
+        "verdict": F.when(changed, "reject").otherwise(c("verdict")), "reason": F.coalesce("__why", "reason"),
+        "audit_reason": F.when(changed & is_cap, F.concat("__why", lit(f":{cap}"))).otherwise(F.coalesce("__why", "audit_reason")),
+        "risk": F.when(changed & is_cap, 0.5).when(changed, 0.8).otherwise(c("risk")),
+    }).select(*verdicts.columns)

@@ -6,6 +6,7 @@ small states cross partition borders; counts over time ranges are plain Spark.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 import pandas as pd
@@ -61,10 +62,11 @@ def dedupe_fold(time: str, ttl: int) -> Fold:
 
 def dedupe_ttl(messages: DataFrame, msg_id: str = "msg_id", time: str = "t", tie: str = "event_id",
                ttl: int = fixed.DEDUPE_TTL_S * SECOND, partitions: int | None = None) -> DataFrame:
-    """``is_duplicate``: the id was first seen no more than ``ttl`` ago. Null ids are never duplicates."""
-    named = messages.filter(F.col(msg_id).isNotNull())
+    """``is_duplicate``: the id was first seen no more than ``ttl`` ago. Null and empty ids are never duplicates."""
+    has_id = F.coalesce(F.col(msg_id).cast("string") != "", F.lit(False))
+    named = messages.filter(has_id)
     made = ordered_fold(named, F.col(msg_id), [time, tie], dedupe_fold(time, ttl), lambda: None, DEDUPE_OUT, partitions)
-    unnamed = messages.filter(F.col(msg_id).isNull()).withColumn("is_duplicate", F.lit(False))
+    unnamed = messages.filter(~has_id).withColumn("is_duplicate", F.lit(False))
     return made.unionByName(unnamed)
 
 
@@ -166,25 +168,32 @@ def token_bucket(messages: DataFrame, key: str, time: str, tie: str, rate_hz: fl
 def limit_fold(time: str, cost: str, limit: int, window: int) -> Fold:
     """State: recorded hits of the window, at most the limit and one cost more."""
     def fold(state: tuple, rows: pd.DataFrame) -> tuple[dict, tuple]:
-        hits = list(state)
+        hits = deque(state)
+        used = sum(n for _, n in hits)
         allowed = []
         for t, c in zip(rows[time].tolist(), rows[cost].tolist()):
-            hits = [(at, n) for at, n in hits if t - at < window]
-            ok = sum(n for _, n in hits) < limit
+            while hits and t - hits[0][0] >= window:
+                used -= hits.popleft()[1]
+            ok = used < limit
             if ok:
                 hits.append((t, int(c)))
+                used += int(c)
             allowed.append(ok)
-        return {"allowed": allowed}, tuple(h for h in hits if t - h[0] < window)
+        return {"allowed": allowed}, tuple(hits)
 
     return fold
 
 
 def sliding_rate_limit(requests: DataFrame, key: str, time: str, tie: str, cost: str, exempt: Column | None = None,
                        limit: int = fixed.REQUEST_LIMIT, window: int = 60 * SECOND, partitions: int | None = None) -> DataFrame:
-    """``allowed``: fewer than ``limit`` recorded hits in the window; refusals record nothing."""
+    """``allowed``: fewer than ``limit`` recorded hits in the window; refusals record nothing.
+
+    A request whose ``exempt`` is null is not exempt.
+    """
     fold = limit_fold(time, cost, limit, window)
     if exempt is None:
         return ordered_fold(requests, F.col(key), [time, tie], fold, tuple, LIMIT_OUT, partitions)
+    exempt = F.coalesce(exempt, F.lit(False))
     free = requests.filter(exempt).withColumn("allowed", F.lit(True))
     return ordered_fold(requests.filter(~exempt), F.col(key), [time, tie], fold, tuple, LIMIT_OUT, partitions).unionByName(free)
 
@@ -211,7 +220,7 @@ def path_step(s: dict, t: int, msg_id: str | None, transform_ok: bool, write_ok:
     if s["mode"] == "open":
         s["held"] += 1
         return "held" if s["held"] <= o.capacity else "overflow"
-    if msg_id is not None:
+    if msg_id is not None and msg_id != "":
         if seen_before(s["seen"].get(msg_id), t, o.ttl):
             return "duplicate"
         s["seen"][msg_id] = t

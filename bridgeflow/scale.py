@@ -62,7 +62,8 @@ def ordered_fold(
     result is exact; pieces whose state forgets its past settle in the first rounds.
     """
     n = partitions or fold_partitions(df)
-    keyed = df.withColumn("__k", key.cast("string"))
+    # never null, so that a null key is one like any other
+    keyed = df.withColumn("__k", F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")))
     fixed = durable(
         keyed.repartitionByRange(n, "__k", *order)
         .sortWithinPartitions("__k", *order)
@@ -148,6 +149,15 @@ def _border_states(fixed, spans, feeds, fold, init) -> dict:
     return {p: pickle.loads(exits[src]) for p, src in feeds.items()}
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right`` whose keys are equal, null to null."""
+    renamed = right.select(*[F.col(c).alias(f"__r_{c}" if c in keys else c) for c in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(renamed[f"__r_{k}"])
+    return left.join(renamed, same).drop(*[f"__r_{k}" for k in keys])
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str) -> DataFrame:
     """Sum of ``value`` up to each row of its key; ``bucket`` must grow with the first order column.
 
@@ -160,7 +170,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column
     offsets = totals.select(*keys, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
     inside = W.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        local.withColumn("__s", F.sum("__v").over(inside)).join(offsets, keys + ["__b"])
+        join_same(local.withColumn("__s", F.sum("__v").over(inside)), offsets, keys + ["__b"])
         .withColumn(name, F.col("__o") + F.col("__s")).drop("__b", "__v", "__s", "__o")
     )
 
@@ -180,8 +190,7 @@ def previous_value(
     carry = last.select(*keys, "__b", F.lag("__v").over(over).alias("__c"))
     inside = W.partitionBy(*keys, "__b").orderBy(*order)
     return (
-        local.withColumn("__f", F.row_number().over(inside)).withColumn("__l", F.lag(value).over(inside))
-        .join(carry, keys + ["__b"])
+        join_same(local.withColumn("__f", F.row_number().over(inside)).withColumn("__l", F.lag(value).over(inside)), carry, keys + ["__b"])
         .withColumn(name, F.when(F.col("__f") == 1, F.col("__c")).otherwise(F.col("__l")))
         .drop("__b", "__f", "__l", "__c")
     )

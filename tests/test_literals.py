@@ -477,11 +477,61 @@ def test_policy_chain(spark):
     assert (capped["reason"], capped["audit_reason"]) == ("consumer-bridge-cap", "consumer-bridge-cap:1")
 
 
+@pytest.mark.parametrize("seed, cap", [(1, 2), (2, 3), (3, 16)])
+def test_settled_one_after_another(spark, seed, cap):
+    rng = random.Random(seed)
+    nodes = [f"n{i}" for i in range(9)]
+    pairs = [(a, b) for a in nodes for b in nodes if a != b and rng.random() < 0.7]
+    active = [(a, b) for a, b in itertools.permutations(nodes, 2) if (a, b) not in pairs and rng.random() < 0.15][:3]
+    kinds = [("approve", "all-checks-passed", 0.0)] * 5 + [("approve", "both-whitelisted", 0.0), ("stage", "risk:0.70", 0.7), ("reject", "blacklisted-producer:x", 1.0),
+                                                       ("reject", "low-confidence-contract", 0.6), ("stage", "cross-zone-bridge:a→b", 0.8)]
+    rows = [(a, b, round(rng.random(), 1), *(k := rng.choice(kinds))[:2], k[1], k[2]) for a, b in pairs]
+    schema = "producer_id string, consumer_id string, composite double, verdict string, reason string, audit_reason string, risk double"
+    held = {n: 0 for n in nodes}
+    for a, b in active:
+        held[a] += 1
+        held[b] += 1
+    approved, want = set(), {}
+    for a, b, score, verdict, reason, _, _ in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if reason.startswith(("blacklisted", "cross-zone")):
+            pass
+        elif reason != "both-whitelisted":
+            if held[a] >= cap or held[b] >= cap:
+                verdict, reason = "reject", "producer-bridge-cap" if held[a] >= cap else "consumer-bridge-cap"
+            elif (b, a) in approved:
+                verdict, reason = "reject", "circular-dependency"
+        if verdict == "approve":
+            approved.add((a, b))
+            held[a] += 1
+            held[b] += 1
+        want[a, b] = (verdict, reason)
+    active_df = spark.createDataFrame(active or [("x", "y")], "producer_id string, consumer_id string")
+    got = pl.settle_batch(spark.createDataFrame(rows, schema), active_df, cap).collect()
+    assert {(r["producer_id"], r["consumer_id"]): (r["verdict"], r["reason"]) for r in got} == want
+
+
+def test_blocked_by_attempt(spark):
+    nodes = spark.createDataFrame([(n, "http://" + n, "rest", 0.9, 1.0) for n in "ab"], "node_id string, endpoint string, protocol string, confidence double, rate double")
+    pairs = spark.createDataFrame([(1, "a", "b"), (2, "a", "b")], "attempt int, producer_id string, consumer_id string")
+    blocked = spark.createDataFrame([(1, "a", "b", None), (2, "a", "b", "a")], "attempt int, producer_id string, consumer_id string, blocked_by string")
+    none = nodes.select("node_id").limit(0)
+    active = pairs.select("producer_id", "consumer_id").limit(0)
+    by = lambda **k: {r["attempt"]: r["verdict"] for r in pl.evaluate_policy(pairs, nodes, active, pl.SecurityRules(), none, none, blocked=blocked, **k).collect()}
+    assert by(attempt="attempt") == {1: "approve", 2: "reject"} and by() == {1: "approve", 2: "approve"}
+
+
+def test_listed_nodes_score_lower(spark):
+    profiles = mt.node_profiles(spark.createDataFrame([("a", "json", [("x", "int", False)], ["t"], 1.0, 0.9, "rest", "both"), ("b", "json", [("x", "int", False)], ["t"], 1.0, 0.9, "rest", "both")],
+        "node_id string, encoding string, fields array<struct<name:string,type:string,nullable:boolean>>, tags array<string>, rate double, confidence double, protocol string, role string"),
+        spark.createDataFrame([("a",), ("a",)], "node_id string"))
+    assert {r["node_id"]: r["listed"] for r in profiles.collect()} == {"a": True, "b": False}
+
+
 def test_audit_files(spark, tmp_path):
     rows = spark.createDataFrame([(86_400_000_000 * d + d, "APPROVE", "p", "c", 0.5, "ok") for d in range(3)],
                                  "recorded_at long, verdict string, producer_id string, consumer_id string, score double, reason string")
-    pl.audit_append(rows, str(tmp_path / "log"))
-    pl.audit_append(rows, str(tmp_path / "log"))
+    for batch in ("a", "b", "b"):  # b ran twice
+        pl.audit_append(rows, str(tmp_path / "log"), batch)
     log = spark.read.parquet(str(tmp_path / "log"))
     assert log.count() == 6 and [r["recorded_at"] for r in pl.audit_recent(log, 2).collect()] == [172_800_000_002] * 2
 

@@ -246,3 +246,25 @@ def test_empty_input(spark):
     assert rs.circuit_breaker(none, "key", "t", "id", "bad", partitions=3).count() == 0
     assert rs.token_bucket(none, "key", "t", "id", 1.0, partitions=3).count() == 0
     assert rs.sliding_rate_limit(none, "key", "t", "id", "cost", partitions=3).count() == 0
+
+
+def test_null_keys_are_keys(spark):
+    rows = [(i, None if i % 3 == 0 else "" if i % 3 == 1 else "k", i * 1_000_000 // 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id int, key string, t long")
+    made = rs.token_bucket(df, "key", "t", "event_id", 1.0, partitions=5)
+    want = rs.token_bucket(df.fillna("null", ["key"]), "key", "t", "event_id", 1.0, partitions=5)
+    pick = lambda d: sorted((r["event_id"], r["passed"]) for r in d.collect())
+    assert len(pick(made)) == 60 and pick(made) == pick(want)
+    sums = scale.running_sum(df, ["key"], ["t", "event_id"], F.floor(F.col("t") / 5_000_000), F.lit(1), "n").collect()
+    assert sorted(r["n"] for r in sums) == sorted(list(range(1, 21)) * 3)
+    before = scale.previous_value(df, ["key"], ["t", "event_id"], F.floor(F.col("t") / 5_000_000), "event_id", "p").collect()
+    assert {r["event_id"]: r["p"] for r in before} == {i: i - 3 if i > 2 else None for i in range(60)}
+    outcomes = df.withColumn("failed", F.col("event_id") % 2 == 0)
+    assert rs.circuit_breaker(outcomes, "key", "t", "event_id", "failed").count() == 60
+    flagged = df.withColumn("cost", F.lit(1)).withColumn("free", F.when(F.col("event_id") % 2 == 0, F.lit(None).cast("boolean")).otherwise(F.col("event_id") % 5 == 0))
+    assert rs.sliding_rate_limit(flagged, "key", "t", "event_id", "cost", F.col("free")).count() == 60
+
+
+def test_empty_ids_are_no_ids(spark):
+    df = spark.createDataFrame([(1, "", 1), (2, "", 2), (3, None, 3), (4, "x", 4), (5, "x", 5)], "event_id int, msg_id string, t long")
+    assert [r["event_id"] for r in rs.dedupe_ttl(df).filter("is_duplicate").collect()] == [5]

@@ -112,3 +112,13 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     outer = F.lit(bytes(b ^ 0x5C for b in block))
     digest = F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256)
     return F.sha2(F.concat(outer, F.unhex(digest)), 256)
+
+
+def last_wins(entries: Column) -> Column:
+    """Map of (key, value) entries in which the last value of a repeated key counts."""
+    def made(all_: Column) -> Column:
+        clash = F.size(F.array_distinct(F.transform(all_, lambda e: e["key"]))) < F.size(all_)
+        kept = F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later["key"] == e["key"]))
+        return F.map_from_entries(F.when(clash, kept).otherwise(all_))
+
+    return let(entries, made)

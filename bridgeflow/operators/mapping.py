@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import fixed
-from ..functions.text import hmac_sha256, string_map, strip
+from ..functions.text import hmac_sha256, last_wins, string_map, strip
 from .transform import RecordConverter, col
 
 
@@ -277,11 +277,11 @@ def _run_samples(plans: DataFrame) -> DataFrame:
     """``output`` of the sample record of each distinct plan."""
     value = lambda f: (F.when(f["type"] == "int", "42").when(f["type"] == "float", "3.14")
                        .when(f["type"] == "bool", "True").otherwise("test"))
-    sample = F.map_from_entries(F.transform(F.slice("producer_fields", 1, 5), lambda f: F.struct(f["name"], value(f))))
+    sample = last_wins(F.transform(F.slice("producer_fields", 1, 5), lambda f: F.struct(f["name"].alias("key"), value(f).alias("value"))))
     names = string_map(fixed.FIELD_ALIASES)
     canonical = lambda k: F.coalesce(F.try_element_at(names, F.lower(k)), k)
     plans = plans.withColumn("sample", sample).withColumn("__e", _sample_envelope(F.col("sample"), F.coalesce("envelope", F.lit(""))))
-    plans = plans.withColumn("__n", F.map_entries(F.map_from_entries(F.transform(
+    plans = plans.withColumn("__n", F.map_entries(last_wins(F.transform(
         F.map_entries("__e"), lambda e: F.struct(canonical(e["key"]).alias("key"), e["value"].alias("value"))))))
     of = lambda key: F.get(F.filter("__n", lambda e: e["key"] == key), F.lit(0))["value"]
 

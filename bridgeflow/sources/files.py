@@ -12,9 +12,9 @@ def jsonl_source(spark: SparkSession, path: str) -> DataFrame:
     return line_records(spark.read.text(path))
 
 
-def jsonl_stream(spark: SparkSession, path: str, new_files_only: bool = True, max_files: int = 100) -> DataFrame:
-    """Follow a folder of line files; with ``new_files_only`` the newest files are taken first."""
-    lines = (spark.readStream.format("text").option("latestFirst", str(new_files_only).lower())
+def jsonl_stream(spark: SparkSession, path: str, newest_first: bool = True, max_files: int = 100) -> DataFrame:
+    """Follow a folder of line files, those already there included; ``newest_first`` takes the latest files first."""
+    lines = (spark.readStream.format("text").option("latestFirst", str(newest_first).lower())
              .option("maxFilesPerTrigger", max_files).load(path))
     return line_records(lines)
 
@@ -24,13 +24,18 @@ def csv_source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_to_records(text: Column) -> Column:
-    """CSV text with a header line as array<map<string,string>>; missing cells are null."""
+    """CSV text with a header line as array<map<string,string>>; missing cells are null.
+
+    Of columns with the same name the last one counts. Text without a quote is simply split.
+    """
+    end = lambda x: F.regexp_replace(x, r"\r$", "")
+    trimmed = F.trim(text)
+    plain = F.transform(F.filter(F.transform(F.split(trimmed, "\n"), end), lambda x: x != ""), lambda line: F.split(line, ","))
+
     # every match starts with its separator, so empty cells count; possessive loops need no stack
     quoted = '"(?:[^"]++|"")*+"'
-    whole = F.concat(F.lit("\n"), F.trim(text))
     lines = F.filter(F.transform(
-        F.regexp_extract_all(whole, F.lit(f'\n((?:{quoted}|[^"\n]++)*+)'), F.lit(1)),
-        lambda x: F.regexp_replace(x, r"\r$", "")), lambda x: x != "")
+        F.regexp_extract_all(F.concat(F.lit("\n"), trimmed), F.lit(f'\n((?:{quoted}|[^"\n]++)*+)'), F.lit(1)), end), lambda x: x != "")
 
     def cells(line: Column) -> Column:
         parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(f",({quoted}|[^,]*+)"), F.lit(1))
@@ -38,11 +43,16 @@ def csv_to_records(text: Column) -> Column:
             c.startswith('"'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
     def records(parsed: Column) -> Column:
-        header = F.get(parsed, F.lit(0))
-        rows = F.slice(parsed, 2, F.greatest(F.size(parsed) - 1, F.lit(0)))
-        return F.transform(rows, lambda row: F.map_from_arrays(header, F.transform(header, lambda _, i: F.get(row, i))))
+        def rows(names: Column) -> Column:
+            header = F.get(parsed, F.lit(0))
+            # place of the last column of each name
+            places = F.transform(names, lambda n: (F.size(header) - F.array_position(F.reverse(header), n)).cast("int"))
+            body = F.slice(parsed, 2, F.greatest(F.size(parsed) - 1, F.lit(0)))
+            return let(places, lambda at: F.transform(body, lambda row: F.map_from_arrays(names, F.transform(at, lambda i: F.get(row, i)))))
+
+        return F.when(F.size(parsed) > 0, let(F.array_distinct(F.get(parsed, F.lit(0))), rows)).otherwise(F.array().cast("array<map<string,string>>"))
 
-    return let(F.transform(lines, cells), records)
+    return let(F.when(text.contains('"'), F.transform(lines, cells)).otherwise(plain), records)
 
 
 def csv_line(df: DataFrame, field_order: list[str] | None = None) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import mapping as mp
 from ..operators import policy as pl
+from ..session import shared_folder
 from . import lenses as ln
 from .base import Suite
 from .matching import ENDS, RISK
@@ -256,9 +259,14 @@ AUDIT = """audit AS (SELECT t AS recorded_at, CASE WHEN is_error THEN 'REJECT' W
 
 @suite.query("audit_append", ln.with_(ln.MESSAGES, AUDIT) + "SELECT * FROM audit")
 def _(t):
-    return audit_log(t)
+    log = audit_log(t)
+    path = f"{shared_folder(t.spark)}/audit-{uuid4().hex}"
+    for _ in range(2):  # a batch that runs again replaces its rows
+        pl.audit_append(log, path, "first")
+    return t.spark.read.parquet(path).select(*log.columns)
 
 
-@suite.query("audit_recent", ln.with_(ln.MESSAGES, AUDIT) + "SELECT * FROM audit ORDER BY recorded_at DESC LIMIT 100")
+@suite.query("audit_recent", ln.with_(ln.MESSAGES, AUDIT) + """SELECT * FROM audit
+ORDER BY recorded_at DESC, verdict NULLS FIRST, producer_id NULLS FIRST, consumer_id NULLS FIRST, score NULLS FIRST, reason NULLS FIRST LIMIT 100""")
 def _(t):
     return pl.audit_recent(audit_log(t), 100)

@@ -50,26 +50,28 @@ def _(t):
 def _by_kind(t):
     m = ln.messages(t)
     kind = lambda k: m.filter(F.col("event_type") == k)
+    others = m.filter(~F.coalesce(F.col("event_type").isin("view", "error", "click"), F.lit(False)))
     return tp.fan_in({
         "p1": (kind("view"), lambda d: d.select("event_id", F.col("value").alias("v"))),
         "p2": (kind("error"), lambda d: mp.apply_mapping(d.select("event_id", "user_id"), [M("user_id", "user")])),
         "p3": (kind("click"), lambda d: d.select("event_id", F.col("value").alias("v"), F.col("user_id").alias("user"))),
+        "p4": (others, lambda d: d.select("event_id", F.col("user_id").alias("user"))),
     })
 
 
 @suite.query("fan_in", ln.with_(ln.MESSAGES) + """
-SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS v, CASE WHEN event_type <> 'view' THEN user_id END AS user,
-  CASE event_type WHEN 'view' THEN 'p1' WHEN 'error' THEN 'p2' ELSE 'p3' END AS _ic_source_producer FROM messages WHERE event_type IN ('view', 'error', 'click')""")
+SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN value END AS v, CASE WHEN event_type IS DISTINCT FROM 'view' THEN user_id END AS user,
+  CASE event_type WHEN 'view' THEN 'p1' WHEN 'error' THEN 'p2' WHEN 'click' THEN 'p3' ELSE 'p4' END AS _ic_source_producer FROM messages""")
 def _(t):
     return _by_kind(t)
 
 
 @suite.query("fanin_stats", ln.with_(ln.MESSAGES) + """
-SELECT 'fan_in' AS type, 'b1' AS bridge_ids, 3 AS producers, count(*) FILTER (value >= 5) AS messages, count(*) FILTER (value < 5) AS errors
-FROM messages WHERE event_type IN ('view', 'error', 'click')""")
+SELECT 'fan_in' AS type, 'b1' AS bridge_ids, 4 AS producers, count(*) FILTER (value >= 5) AS messages, count(*) FILTER (value < 5) AS errors
+FROM messages""")
 def _(t):
     written = _by_kind(t).join(ln.messages(t).select("event_id", "value"), "event_id").withColumn("success", F.col("value") >= 5)
-    return tp.fanin_stats(written, ["b1"], 3).withColumn("bridge_ids", F.array_join("bridge_ids", ","))
+    return tp.fanin_stats(written, ["b1"], 4).withColumn("bridge_ids", F.array_join("bridge_ids", ","))
 
 
 @suite.query("active_fanout", ln.with_(ln.PAIRS, ln.ACTIVE) + "SELECT producer_id, count(*) AS bridges FROM active GROUP BY 1 HAVING count(*) > 1")

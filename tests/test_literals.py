@@ -143,9 +143,9 @@ def test_spec_keys(spark):
 # ---- sources ---------------------------------------------------------------------------
 
 def test_csv(spark):
-    got = values(spark, fl.csv_to_records, ["name,value\na,1\n", "x,y\r\n1,2\r\n3,\"4\n,\"\"5\"\r\n", "h,g\nonly\n", "a,b\n,\n1,2,3", ""])
+    got = values(spark, fl.csv_to_records, ["name,value\na,1\n", "x,y\r\n1,2\r\n3,\"4\n,\"\"5\"\r\n", "h,g\nonly\n", "a,b\n,\n1,2,3", "", "a,b,a\n1,2,3\n4", 'a,a\n"x",y'])
     assert got == [[{"name": "a", "value": "1"}], [{"x": "1", "y": "2"}, {"x": "3", "y": '4\n,"5'}], [{"h": "only", "g": None}],
-                   [{"a": "", "b": ""}, {"a": "1", "b": "2"}], []]
+                   [{"a": "", "b": ""}, {"a": "1", "b": "2"}], [], [{"a": "3", "b": "2"}, {"a": None, "b": None}], [{"a": "y"}]]
 
 
 def test_csv_long_quoted_cell(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import durable
 from . import byte_bpe, decontaminate, html_text, jaccard, language, licenses, perplexity, personal, quality, secrets
 from .common import crc_mod, digest, joined_spans, table
 
@@ -119,7 +120,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    measured = perplexity.measure(docs, perplexity.fit(docs), keep=["doc_id", "lang"]).persist()
+    # written once: the bands and the verdicts both read the measures
+    measured = durable(perplexity.measure(docs, perplexity.fit(docs), keep=["doc_id", "lang"]))
     judged = perplexity.judge(measured, perplexity.bands(measured))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
 

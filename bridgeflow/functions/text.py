@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.functions import arrow_udf
 
 
 def strip(c: Column) -> Column:
@@ -104,14 +109,12 @@ def name_similarity(a: Column, b: Column) -> Column:
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:
-    """Hex HMAC-SHA256 built from two ``sha2`` calls."""
-    import hashlib
-
-    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
-    inner = F.lit(bytes(b ^ 0x36 for b in block))
-    outer = F.lit(bytes(b ^ 0x5C for b in block))
-    digest = F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256)
-    return F.sha2(F.concat(outer, F.unhex(digest)), 256)
+    """Hex HMAC-SHA256 of a text; the key travels inside the function, so no plan, log or screen shows it."""
+    @arrow_udf("string")
+    def sign(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else hmac.new(key, t.encode(), hashlib.sha256).hexdigest() for t in texts.to_pylist()], pa.string())
+
+    return sign(message)
 
 
 def last_wins(entries: Column) -> Column:

@@ -27,12 +27,14 @@ def ngram_embedding(df: DataFrame, key: str, text: str) -> DataFrame:
 
     The rows are shuffled once, as texts; grams are counted where their text lies.
     """
-    lower = F.lower(F.col(text))
-    # each match looks ahead for its gram and moves on by one character
-    grams = F.concat(*[F.regexp_extract_all(lower, F.lit(f"(?U)(?=(\\S{{{n}}}))\\S"), F.lit(1)) for n in (1, 2, 3)])
+    words = F.filter(F.split(F.lower(F.col(text)), r"(?U)\s+"), lambda w: w != "")
+    # grams lie inside words, so each distinct word of a text is cut up once
+    run = lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.col("word").substr(i, F.lit(n))))
+    grams = F.concat(*[F.coalesce(run(n), F.array().cast("array<string>")) for n in (1, 2, 3)])
     counted = (
         df.select(key, text).repartition(key)
-        .select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+        .select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+        .select(key, "n", F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.sum("n").alias("n"))
         .groupBy(key, gram_bucket(F.col("gram")).alias("bucket")).agg(F.sum("n").alias("n"))
     )
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(key)))

@@ -7,6 +7,7 @@ agrees with the batch form as long as no row arrives in a later batch than its s
 from __future__ import annotations
 
 import pickle
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -66,9 +67,10 @@ def stream_fold(df: DataFrame, key: Column, order: list[str], fold: Fold, init:
 def dedupe_ttl(messages: DataFrame, msg_id: str = "msg_id", time: str = "t", tie: str = "event_id",
                ttl: int = fixed.DEDUPE_TTL_S * rs.SECOND, watermarked: bool = True) -> DataFrame:
     """Exact TTL deduplication; an id is forgotten once the watermark has passed its TTL."""
-    named = messages.filter(F.col(msg_id).isNotNull())
+    has_id = F.coalesce(F.col(msg_id).cast("string") != "", F.lit(False))
+    named = messages.filter(has_id)
     made = stream_fold(named, F.col(msg_id), [time, tie], rs.dedupe_fold(time, ttl), lambda: None, rs.DEDUPE_OUT, ttl if watermarked else None)
-    return made.unionByName(messages.filter(F.col(msg_id).isNull()).withColumn("is_duplicate", F.lit(False)))
+    return made.unionByName(messages.filter(~has_id).withColumn("is_duplicate", F.lit(False)))
 
 
 def dedupe_at_least(messages: DataFrame, msg_id: str, event_time: str, ttl: str) -> DataFrame:
@@ -100,11 +102,15 @@ def circuit_breaker(outcomes: DataFrame, key: str, time: str, tie: str, failed:
     step = rs.breaker_fold(time, failed, options)
 
     def fold(state: tuple, rows: pd.DataFrame) -> tuple[dict, tuple]:
-        window, inner = list(state[0]), state[1]
+        window, inner = deque(state[0]), state[1]
+        wrong = sum(b for _, b in window)
         full = []
         for t, bad in zip(rows[time].tolist(), rows[failed].tolist()):
-            window = [(at, b) for at, b in window if at >= t - options.window] + [(t, bool(bad))]
-            full.append(len(window) >= options.min_events and sum(b for _, b in window) / len(window) >= options.threshold)
+            while window and window[0][0] < t - options.window:
+                wrong -= window.popleft()[1]
+            window.append((t, bool(bad)))
+            wrong += bool(bad)
+            full.append(len(window) >= options.min_events and wrong / len(window) >= options.threshold)
         cols, inner = step(inner, rows.assign(__full=full))
         return cols, (tuple(window), inner)
 

@@ -331,7 +331,9 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     sizes = candidates.groupBy("root").agg(F.count("*").alias("c"))
     wanted = candidates.join(sizes, "root").join(sketch.select("n", "id", "rep", "copies", "sig"), F.col("node") == F.col("n"))
     wanted = durable(wanted.select("root", "c", "n", "id", "rep", "copies", "sig"))
-    chosen = keyed.join(small(wanted), "id").filter(F.col("key").eqNullSafe(F.col("rep")))
+    # the keys alone find the texts, what else is known of them follows
+    found = keyed.join(small(wanted.select("id", "rep", "n")), "id").filter(F.col("key").eqNullSafe(F.col("rep"))).select("n", "text")
+    chosen = found.join(wanted.drop("id", "rep"), "n")
     out = pa.schema([("n", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
     blocks = _block_pairs(chosen.select("root", "c", "n", "copies", "sig", "text"), "root", "c")
     linked = durable(blocks.mapInArrow(_by_group(["root", "i", "j"], _link, ["n", "links", "root"], out), "n long, links long, root long"))

@@ -31,17 +31,18 @@ def _key_runs(keys: pd.Series) -> Iterator[tuple[str, int, int]]:
         yield values[a], a, b
 
 
-PIECE_BYTES = 16 * 1024 * 1024
+PIECE_BYTES, MOST_BYTES = 16 * 1024 * 1024, 256 * 1024 * 1024
 
 
 def fold_partitions(df: DataFrame) -> int:
-    """Partitions for a fold: pieces of some size by the optimizer's estimate, at most the shuffle setting.
+    """Partitions for a fold by the optimizer's size estimate.
 
-    Small pieces cost more than they save: every border inside a key must settle.
+    Small pieces cost more than they save, as every border inside a key must settle, so there are
+    no more than the shuffle setting says, unless a piece would then exceed ``MOST_BYTES``.
     """
     limit = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(1, min(limit, -(-estimate // PIECE_BYTES)))
+    return max(1, min(limit, -(-estimate // PIECE_BYTES)), -(-estimate // MOST_BYTES))
 
 
 def ordered_fold(
@@ -87,18 +88,20 @@ def ordered_fold(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for pdf in batches:
-            pieces = []
+            if len(pdf) == 0:
+                continue
+            made: dict[str, list] = {f.name: [] for f in out.fields}
             for k, a, b in _key_runs(pdf["__k"]):
-                part = pdf.iloc[a:b]
                 if k != current:
                     first = current is None
                     current = k
-                    p = int(part["__p"].iloc[0])
+                    p = int(pdf["__p"].iat[a])
                     state = entry[p] if first and p in entry else init()
-                cols, state = fold(state, part)
-                pieces.append(part.drop(columns=["__k", "__p"]).assign(**cols))
-            if pieces:
-                yield pd.concat(pieces, ignore_index=True)
+                cols, state = fold(state, pdf.iloc[a:b])
+                for name, values in made.items():
+                    values.extend(cols[name])
+            # the outputs of all keys join the batch at once
+            yield pdf.drop(columns=["__k", "__p"]).assign(**{n: pd.Series(v, dtype=object, index=pdf.index) for n, v in made.items()})
 
     return fixed.mapInPandas(run, schema)
 

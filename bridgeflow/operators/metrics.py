@@ -131,11 +131,17 @@ def event_counters(drifts: DataFrame, breaker: DataFrame, active: DataFrame, nod
 
 def status_report(nodes: DataFrame, active: DataFrame, queue: DataFrame, staged: DataFrame, catalog_nodes: DataFrame,
                   degraded_services: DataFrame) -> DataFrame:
-    """One row per figure of the status page."""
+    """One row per figure of the status page; ``durable`` is 1 while no service is degraded.
+
+    Details per bridge come from ``bridge_listing``.
+    """
+    durable = degraded_services.agg((F.count(F.lit(1)) == 0).cast("double").alias("value")).select(
+        F.lit("durable").alias("metric"), F.lit("").alias("key"), "value")
     return union_all([
         count_metric(nodes, "nodes"), count_metric(active.select(*PAIR).distinct(), "active_bridges"),
         count_metric(queue.select(*PAIR).distinct(), "bridge_queue"), count_metric(staged, "staged_approvals"),
         count_metric(catalog_nodes, "catalog_nodes"), count_metric(degraded_services, "degraded_services"),
+        count_metric(staged, "pending_approvals"), durable,
     ]).drop("key")
 
 

@@ -103,6 +103,16 @@ def drift_retention(log: DataFrame, time: str, as_of: int, days: int = 7) -> Dat
     return log.filter(F.col(time) >= as_of - days * 86_400_000_000)
 
 
+def write_retained(log: DataFrame, path: str, time: str, as_of: int, days: int = 7) -> DataFrame:
+    """Write the rows that are kept as the log's next version and return it; older versions may then be deleted.
+
+    A run that is repeated writes the same version again.
+    """
+    version = f"{path}/as_of={as_of}"
+    drift_retention(log, time, as_of, days).write.mode("overwrite").parquet(version)
+    return log.sparkSession.read.schema(log.schema).parquet(version)
+
+
 def purge_report(log: DataFrame, time: str, as_of: int, days: int = 7) -> DataFrame:
     """Rows kept and deleted per day."""
     old = F.col(time) < as_of - days * 86_400_000_000

@@ -141,9 +141,10 @@ def _(t):
 
 @suite.query("status_report", ln.with_(ln.NODES, ln.PAIRS, ln.LINKS, ln.ACTIVE, ln.MESSAGES, APPROVALS, SEEN) + f"""
 SELECT 'nodes' AS metric, count(*)::DOUBLE AS value FROM nodes UNION ALL SELECT 'active_bridges', count(*) FROM active UNION ALL SELECT 'bridge_queue', count(*) FROM links
-UNION ALL SELECT 'staged_approvals', count(*) FROM decided WHERE kind IS NULL AND t <= {MID_JANUARY} AND t + {24 * HOUR} > {MID_JANUARY}
+UNION ALL SELECT unnest(['staged_approvals', 'pending_approvals']), count(*) FROM decided WHERE kind IS NULL AND t <= {MID_JANUARY} AND t + {24 * HOUR} > {MID_JANUARY}
 UNION ALL SELECT 'catalog_nodes', count(*) FROM nodes WHERE protocol = 'rest'
-UNION ALL SELECT 'degraded_services', count(*) FROM nodes LEFT JOIN seen USING (node_id) WHERE last_seen IS NULL OR {END_OF_JANUARY} - last_seen > {DAY}""")
+UNION ALL SELECT 'degraded_services', count(*) FROM nodes LEFT JOIN seen USING (node_id) WHERE last_seen IS NULL OR {END_OF_JANUARY} - last_seen > {DAY}
+UNION ALL SELECT 'durable', (count(*) = 0)::INT FROM nodes LEFT JOIN seen USING (node_id) WHERE last_seen IS NULL OR {END_OF_JANUARY} - last_seen > {DAY}""")
 def _(t):
     from ..operators.policy import approval_queue
 

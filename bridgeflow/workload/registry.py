@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..operators import registry as rg
+from ..session import shared_folder
 from . import lenses as ln
 from .base import Suite
 from .policy import LISTS, blacklist
@@ -74,7 +77,8 @@ WEEK = 7 * 86_400_000_000
 
 @suite.query("drift_retention", ln.with_(ln.MESSAGES) + f"SELECT event_id, t FROM messages WHERE t >= {END_OF_JANUARY - WEEK}")
 def _(t):
-    return rg.drift_retention(ln.messages(t).select("event_id", "t"), "t", END_OF_JANUARY)
+    log = ln.messages(t).select("event_id", "t")
+    return rg.write_retained(log, f"{shared_folder(t.spark)}/log-{uuid4().hex}", "t", END_OF_JANUARY)
 
 
 @suite.query("drift_purge_report", ln.with_(ln.MESSAGES) + f"""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, types as T
 from .common import list_array, map_text
 
 #: Pre-tokens up to this many characters are remembered, and so many of them at most.
-CACHED_CHARS, CACHED_TOKENS = 40, 1_200_000
+CACHED_CHARS, CACHED_TOKENS = 40, 500_000
 #: Ranks per word of the bitmap: 2 ** SHIFT.
 SHIFT = 8
 MASK = (1 << SHIFT) - 1

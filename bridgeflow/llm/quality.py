@@ -26,6 +26,8 @@ from .common import map_text
 SAMPLE_ROWS = 3000
 BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 17, 10, 8, 0.6
 SHAPES = 256
+#: Zero vectors in every average, so that a few words alone cannot condemn a short text.
+NEUTRAL = 30
 #: Words remembered by a Python worker at most.
 CACHED_WORDS = 400_000
 
@@ -92,7 +94,7 @@ class Features:
         weights = np.concatenate([np.repeat(times, [len(x) for x in lists[:-2]]), np.ones(len(lists[-2]) + len(lists[-1]), np.int64)])
         buckets, inverse = np.unique(np.concatenate(lists), return_inverse=True)
         share = np.bincount(inverse, weights)
-        return buckets, (share / share.sum()).astype(np.float32)
+        return buckets, (share / (share.sum() + NEUTRAL)).astype(np.float32)
 
     def scores(self, texts: list[str], bias: float) -> np.ndarray:
         """Log odds of the good label."""
@@ -107,7 +109,7 @@ class Features:
             s = self.shapes[at]
             repeats = int((at[1:] == at[:-1]).sum())
             total = self.sums[at].sum() + self.value[PAIRS[s[:-1] * SHAPES + s[1:]]].sum() + repeats * float(self.value[REPEAT])
-            out[k] = total / (self.counts[at].sum() + len(at) - 1 + repeats) + bias
+            out[k] = total / (self.counts[at].sum() + len(at) - 1 + repeats + NEUTRAL) + bias
         return out
 
 

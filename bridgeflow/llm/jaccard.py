@@ -301,7 +301,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per text: its ``id`` (MD5), ``copies``, ``rep`` (least key of its rows), ``links`` to rows
-    of other texts, and ``class_id`` (least key in its class; null if all keys are null)."""
+    of other texts, ``class`` (least MD5 in its class, so that keys decide nothing) and ``class_id``
+    (least key in its class; null if all keys are null)."""
     plain = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     keyed = plain.withColumn("id", F.unhex(F.md5("text")))
 
@@ -342,18 +343,24 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     ties = components(linked.select(F.col("n").alias("u"), F.col("root").alias("v")))
     tied = sketch.select("n", "id", "rep", "copies", F.col("sig").isNotNull().alias("worded")).join(links, "n", "left").join(ties.withColumnRenamed("node", "n"), "n", "left")
     tied = tied.withColumn("root", F.coalesce("root", "n"))
-    least = tied.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return tied.join(least, "root").select("id", "rep", "copies", "worded", F.coalesce("links", F.lit(0)).alias("links"), "class_id")
+    least = tied.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("id").alias("class"))
+    return tied.join(least, "root").select("id", "rep", "copies", "worded", F.coalesce("links", F.lit(0)).alias("links"), "class", "class_id")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: its key, ``class_id`` and ``n_links``, the number of other rows whose
-    text has a similarity of the threshold or more, exact copies included."""
+    """One row per row of ``df``: its key, ``class_id``, ``n_links``, the number of other rows whose
+    text has a similarity of the threshold or more, exact copies included, and ``class_md5``.
+
+    ``class_id`` is the least key of the class. Where keys repeat on different texts or are null,
+    only ``class_md5``, the least MD5 of the class's texts, tells classes apart; it is null for
+    texts without a word, which are in no class.
+    """
     rows = df.select(F.col(f"`{key}`").alias("key"), F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("id"))
     found = rows.join(join(df, key, text), "id")
     return found.select(
         F.col("key").alias(key), F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("key")).alias("class_id"),
-        F.when(F.col("worded"), F.col("links") + F.col("copies") - 1).otherwise(0).alias("n_links"))
+        F.when(F.col("worded"), F.col("links") + F.col("copies") - 1).otherwise(0).alias("n_links"),
+        F.when(F.col("worded"), F.lower(F.hex("class"))).alias("class_md5"))
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -363,9 +370,9 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     found = join(df, key, text).filter("worded")
     place = F.struct(F.col("rep").isNull().alias("none"), "rep", "id")
-    classes = found.withColumn("class", F.coalesce(F.col("class_id").cast("string"), F.hex("id"))).withColumn("place", place)
+    classes = found.withColumn("place", place)
     least = classes.groupBy("class").agg(F.min("place").alias("least"))
-    judged = durable(classes.join(least, "class").select("id", "rep", "copies", (F.col("place") == F.col("least")).alias("stays")))
+    judged = durable(classes.join(least, "class").select("id", "rep", "copies", F.col("place").eqNullSafe(F.col("least")).alias("stays")))
     id_ = F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     marked = df.withColumn("__id", id_)
     # texts that do not stay lose all rows, texts that stay with copies keep one of them

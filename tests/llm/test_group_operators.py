@@ -80,6 +80,20 @@ def test_one_of_each(spark):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_classes_do_not_hang_on_keys(spark):
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(400)}" for _ in range(80)] for _ in range(4)]
+    near = lambda w: " ".join(w[:-1] + ["other"])
+    # a key on unrelated texts, one of them with a near copy; a class whose keys are all null, twice
+    rows = [(1, " ".join(base[0])), (1, " ".join(base[1])), (2, near(base[1])), (None, " ".join(base[2])), (None, near(base[2])), (None, " ".join(base[3])), (None, near(base[3]))]
+    got = jaccard.near_duplicates(hard_table(spark, [(k, t, None) for k, t in rows])).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == Counter(jaccard_rows(rows))
+    assert sorted(Counter(r["class_md5"] for r in got).values()) == [1, 2, 2, 2]
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(hard_table(spark, [(k, t, None) for k, t in rows])).collect())
+    assert kept[1, rows[0][1]] == kept[1, rows[1][1]] == 1 and sum(kept.values()) == 4
+    assert kept[None, rows[3][1]] + kept[None, rows[4][1]] == 1 and kept[None, rows[5][1]] + kept[None, rows[6][1]] == 1
+
+
 def test_hard_rows(spark):
     got = jaccard.near_duplicates(hard_table(spark)).collect()
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == Counter(jaccard_rows([(k, t) for k, t, _ in HARD]))

@@ -4,6 +4,8 @@ Three shapes are reported wherever they occur. In addition every value in a cred
 (``pwd: ...``, ``Authorization: Bearer ...``, ``scheme://user:value@host``) is rated by the number
 of guesses it would take: the cheapest split into dictionary words, dates, repeats, sequences,
 keyboard walks and brute-force spans, found by dynamic programming; costly values are reported.
+A value is matched and reported whole, however long; one that is a single word of some language
+costs no more than a dictionary of such words, and references like ``$NAME`` are no values.
 
 Null and empty texts have no spans. Positions count code points, ends are exclusive.
 """
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -30,9 +33,9 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 #: Other credential contexts; the value is the last group.
 _CONTEXTS = (
     re.compile(r"""(?:pass(?:word|phrase|wd|code)?|pwd|pw|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|"""
-               r"""client[_-]?secret|auth|credentials?)["']?\x20{0,4}(?::=|=>|[:=])\x20{0,4}["']?([^\s"'<>,;]{6,200})""", re.I | re.A),
-    re.compile(r"""(?:bearer|basic)\x20+([A-Za-z0-9+/_.=~-]{8,400})""", re.I | re.A),
-    re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,80}:([^\s/@]{4,200})@""", re.A),
+               r"""client[_-]?secret|auth|credentials?)["']?\x20*+(?::=|=>|[:=])\x20*+["']?([^\s"'<>,;]{6,}+)""", re.I | re.A),
+    re.compile(r"""(?:bearer|basic)\x20++([A-Za-z0-9+/_.=~-]{8,}+)""", re.I | re.A),
+    re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@]++:([^\s/@]{4,}+)@""", re.A),
 )
 #: A cheap look before the contexts are searched.
 _HINT = re.compile(r"pass|pwd|pw|secret|token|key|auth|credential|bearer|basic|://", re.I | re.A)
@@ -45,6 +48,16 @@ WORDS = (
     "server database local host public private access service account system manager office company".split()
 )
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
+#: Guesses, as a power of ten, for a word of some language that is not listed, and its letters at most.
+UNLISTED, LONGEST_WORD = 6.0, 16
+#: Characters that are rated at a time, and the cost at which a span's score is full.
+PIECE, FULL = 400, 20
+#: Neighbouring letters that are common in words of languages in Latin script.
+_COMMON = {c + v for c in "bcdfghlmnprstvk" for v in "aeiou"} | {v + c for c in "bcdfglmnprstvk" for v in "aeiou"} | set(
+    "ea ee ei eu ie io oo ou ai au ia oi ue ui ua qu ya ye yo ay ey oy ly ty ry ny my by ja je jo ju wa we wi wo aw ew ow "
+    "ze za zi iz ez az ex ax ah eh oh th sh ch ck ph wh gh st sp sc sk sm sn sl sw tr dr br cr fr gr pr kr bl cl fl gl pl "
+    "nd nt ng ns nc nk mp mb ld lt lk ls lv lm rd rt rs rn rm rl rk rg rc rv rb ct pt ft ts ds ks ms ps cs bs "
+    "ll ss tt ff nn mm rr pp cc dd gg xp xt tz ht dg wn rw sz kt hr hl nf".split())
 _LEET = str.maketrans("@401357$!", "aaoiestsi")
 
 
@@ -70,12 +83,22 @@ def _alphabet(value: str) -> int:
     return max(10, size + 33 * any(not c.isalnum() or not c.isascii() for c in value))
 
 
+def _wordlike(value: str) -> bool:
+    """Small letters, or with one capital in front, whose neighbours are nearly all common in words; accents do not count."""
+    if not value.isalpha() or not (value.islower() or value.istitle()):
+        return False
+    plain = "".join(c for c in unicodedata.normalize("NFKD", value.lower().replace("ß", "ss")) if not unicodedata.combining(c))
+    pairs = [plain[i:i + 2] for i in range(len(plain) - 1)]
+    return sum(p in _COMMON for p in pairs) >= 0.8 * len(pairs)
+
+
 def guess_cost(value: str) -> float:
     """Guesses for ``value`` as a power of ten, over its cheapest split.
 
     ``cost[j]`` is the cheapest way to have guessed the first j characters; a part from i to j is a
     known word (also in leet spelling or other case), a date, a repeat of an earlier unit, a run of
-    neighbouring code points, a walk over neighbouring keys, or one more brute-force character.
+    neighbouring code points, a walk over neighbouring keys, or one more brute-force character. A
+    value that is one unlisted word, brackets around it aside, is a part as well.
     """
     n = len(value)
     lower = value.lower()
@@ -129,9 +152,23 @@ def guess_cost(value: str) -> float:
             j += 1
         if j - i >= 4:
             reach(j, 1.0 + 0.45 * (j - i))
+    word = value.strip("<>{}[]()")
+    if len(word) > 3 and _wordlike(word):
+        others = n - len(word) + max(0, len(word) - LONGEST_WORD)
+        return min(cost[n], UNLISTED + others * brute)
     return cost[n]
 
 
+def rated(value: str) -> float:
+    """The guess cost of a value of any length: of a long one that of its costliest piece, as none is cheaper as a whole."""
+    price = 0.0
+    for piece in dict.fromkeys(value[i:i + PIECE] for i in range(0, len(value), PIECE)):
+        price = max(price, guess_cost(piece))
+        if price >= FULL:
+            break
+    return price
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, place of the kind, kind, end) of the fixed shapes, by start, then kind."""
     found = [(m.start(), 0, "assign", m.end()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 8]
@@ -150,22 +187,29 @@ def find(text: str, costly: float = COSTLY) -> list[tuple[str, int, int, float]]
         for pattern in _CONTEXTS:
             for m in pattern.finditer(text):
                 start, end = m.span(m.lastindex)
+                # what may end a sentence is not rated, but goes with the span
                 value = text[start:end].rstrip(".,:!?)")
-                end = start + len(value)
-                if len(value) < SHORTEST or any(a <= start and end <= b for a, _, _, b in base):
+                if len(value) < SHORTEST or any(a <= start and start + len(value) <= b for a, _, _, b in base):
                     continue
-                if _ordinary(value):
+                if _ordinary(value, text[start:end]):
                     continue
-                price = guess_cost(value[:400]) if len(value) <= 400 else math.inf
+                price = rated(value)
                 if price >= costly:
-                    taken[start, end] = min(1.0, price / 20)
+                    taken[start, end] = min(1.0, price / FULL)
         spans += [(a, len(KINDS), GUESSED, b, score) for (a, b), score in taken.items()]
     return [(kind, start, end, score) for start, _, kind, end, score in sorted(spans)]
 
 
-def _ordinary(value: str) -> bool:
-    """Plain words after ``token:`` and the like are prose, and ``$NAME`` or ``{name}`` a reference."""
-    return value.isalpha() and (value.islower() or value.istitle()) or value[0] in "$<{[(" or not value.isprintable()
+_REFERENCE = re.compile(r"\$(?:[A-Za-z_]\w*+|\{\w++\})", re.A)
+_BRACKETED = re.compile(r"[{\[(]+([A-Za-z_][A-Za-z_.-]*)[}\])]+", re.A)
+
+
+def _ordinary(value: str, whole: str) -> bool:
+    """``$NAME`` and ``${NAME}`` are references, and words in brackets stand for a value."""
+    if not value.isprintable() or _REFERENCE.fullmatch(value):
+        return True
+    m = _BRACKETED.fullmatch(whole.rstrip(".,:!?"))
+    return bool(m) and all(len(w) < 4 or _wordlike(w.lower()) for w in re.split("[_.-]", m[1]))
 
 
 FOUND = T.StructType([T.StructField("spans", SPANS)])

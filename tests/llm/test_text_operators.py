@@ -82,6 +82,28 @@ def test_guessed_contexts_and_prose():
     assert secrets.find("The secret: it is. Bearer of news, basic understanding. token = ${TOKEN_NAME}") == []
 
 
+def test_values_are_matched_whole():
+    rng = random.Random(11)
+    some = lambda n, letters="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789": "".join(rng.choices(letters, k=n))
+    for before, value, after in [("Authorization: Bearer ", some(1500), " x"), ("pwd: ", some(700), " x"), ("auth=", some(150_000), ""), ("db://bob:", some(300), "@host"),
+                                 ("db://" + some(200) + ":", some(30), "@host"), ("pwd       :       ", some(20), " x"), ("pwd: ", "xkqzvjwtplmr", ""), ("pwd: ", "Xkqzvjwtplmr", "\n"),
+                                 ("pwd: ", "$2b$12$" + some(53), " x"), ("pwd: ", "[" + some(20), " x"), ("pwd: ", "x7Gq!9zLpT2v!", " x"), ("pwd: ", "${" + some(12) + "}$" + some(9), "")]:
+        text = before + value + after
+        spans = [(a, b) for k, a, b, _ in secrets.find(text) if k == secrets.GUESSED]
+        assert spans == [(len(before), len(before) + len(value))], (before, value[:20], spans)
+        assert secrets.masked(text, spans, "*") == before + "*" + after
+    for plain in ("pwd: understanding", "credentials: Geschwindigkeit.", "pwd: ${DB_PASSWORD}", "pwd: $DB_PASSWORD", "pwd: {user_password}", "pwd: (optional).", "auth: información", "auth=" + "x" * 5_000):
+        assert secrets.find(plain) == [], plain
+
+
+def test_contexts_take_linear_time():
+    import time
+    took = time.process_time()
+    for text in ("pwd" + " " * 300_000, "pwd pwd:" * 40_000, "ab://" + "u" * 300_000, "ab://u:" + "p" * 300_000, "bearer " * 40_000):
+        secrets.find(text)
+    assert time.process_time() - took < 20
+
+
 def test_redaction(spark):
     text = "a password=b7db7aa4a5fcc78305 b"
     df = spark.createDataFrame([(1, text, "x"), (2, None, "y"), (3, "clean", "z"), (3, "clean", "z")], "doc_id long, text string, spans string")

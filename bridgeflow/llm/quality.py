@@ -6,7 +6,9 @@ A softmax over a linear layer gives the probability of the good label; vectors a
 learned together by stochastic gradient descent in numpy.
 
 As the output is linear in the averaged vector, scoring needs one number per hash bucket, so what
-the executors get has a fixed size. Texts are read whole. An empty or null text has the average of
+the executors get has a fixed size. Texts are read whole: a long piece without blanks, as in
+scripts that write none, counts as a row of words, cut so that every n-gram of the piece is in
+exactly one of them. An empty or null text has the average of
 no vectors, the zero vector, and so the score that the learned bias gives.
 """
 
@@ -28,6 +30,8 @@ BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 17, 10, 8, 0.6
 SHAPES = 256
 #: Zero vectors in every average, so that a few words alone cannot condemn a short text.
 NEUTRAL = 30
+#: Bytes of a word at most; a longer piece is cut into chunks of so many, overlapping by three.
+LONGEST = 64
 #: Words remembered by a Python worker at most.
 CACHED_WORDS = 400_000
 
@@ -37,16 +41,24 @@ _SHAPE = bytes(
 )
 
 
+def chunks(word: bytes) -> list[bytes]:
+    """The word itself, or the marked chunks of a long one, each behind a blank, which no word has."""
+    if len(word) <= LONGEST:
+        return [word]
+    marked = b"<" + word + b">"
+    return [b" " + marked[i:i + LONGEST] for i in range(0, len(marked) - 3, LONGEST - 3)]
+
+
 def word_features(word: bytes) -> list[int]:
-    """Buckets of a word and of its n-grams of four bytes."""
+    """Buckets of a word or chunk and of its n-grams of four bytes."""
     crc = zlib.crc32
-    marked = b"<" + word[:64] + b">"
+    marked = word[1:] if word[:1] == b" " else b"<" + word + b">"
     return [crc(word, 1) % BUCKETS] + [crc(marked[i:i + 4]) % BUCKETS for i in range(len(marked) - 3)]
 
 
 def shape_of(word: bytes) -> int:
     """One of a few hashed shapes: letters by case, digits, and the symbols themselves, runs folded."""
-    return zlib.crc32(_FOLD.sub(rb"\1", word[:64].translate(_SHAPE)), 7) % SHAPES
+    return zlib.crc32(_FOLD.sub(rb"\1", word.lstrip(b" ").translate(_SHAPE)), 7) % SHAPES
 
 
 #: Buckets of pairs of neighbouring shapes, and of repeated words.
@@ -81,7 +93,10 @@ class Features:
 
     def numbers(self, text: str) -> np.ndarray:
         get, number = self.known.get, self.number
-        return np.array([x if (x := get(w)) is not None else number(w) for w in text.encode().split()], np.int64)
+        words = text.encode().split()
+        if words and max(map(len, words)) > LONGEST:
+            words = [c for w in words for c in chunks(w)]
+        return np.array([x if (x := get(w)) is not None else number(w) for w in words], np.int64)
 
     def document(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct buckets of a text and their shares of its features."""

@@ -46,6 +46,27 @@ def test_quality_score_is_the_model_of_the_average():
     assert np.isclose(quality.Features(value).scores([text], 0.25)[0], float(share @ value[buckets]) + 0.25, atol=1e-5)
 
 
+def test_long_pieces_are_read_whole():
+    rng = random.Random(3)
+    for n in (64, 65, 66, 125, 126, 127, 1000):
+        word = bytes(rng.choices(range(97, 123), k=n))
+        parts = quality.chunks(word)
+        marked = b"<" + word + b">"
+        grams = Counter(zlib.crc32(marked[i:i + 4]) % quality.BUCKETS for i in range(len(marked) - 3))
+        assert sum((Counter(quality.word_features(p)[1:]) for p in parts), Counter()) == grams
+        assert all(len(p) <= quality.LONGEST + 1 for p in parts)
+    # texts without blanks whose first 64 bytes are the same, told apart by the rest
+    good, bad = ("".join(rng.choices(s, k=200)) for s in ("天地玄黄宇宙洪荒", "買賺錢免費點擊贏"))
+    head = "日月盈昃辰宿列張寒來暑往秋收冬藏閏餘成歲律呂"
+    text = lambda s: head + "".join(rng.choices(s, k=150))
+    model = quality.train([(*quality.Features().document(text(s)), y) for _ in range(20) for s, y in ((good, 1), (bad, 0))])
+    high, low = quality.Features(model.value).scores([text(good), text(bad)], model.bias)
+    assert high > 0.5 and low < -0.5
+    one = quality.Features()
+    buckets, share = one.document(text(good))
+    assert len(one.known) == len(quality.chunks(text(good).encode()))
+
+
 def test_forward_backward_by_enumeration():
     rng, k = np.random.default_rng(0), 3
     lengths = np.array([4, 1, 6, 2])

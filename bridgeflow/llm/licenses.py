@@ -2,8 +2,11 @@
 
 A stretch of a document is aligned with a license template: words that are unique in both are
 anchors, the longest increasing run of them is kept, and the gaps between anchors are aligned the
-same way. The share of the template's words that are aligned is its coverage; a stretch counts
-from a coverage of 0.8 on, for a template of fewer than twelve words only if all are aligned.
+same way. The aligned words' share of the template, or of the stretch where that has more words, is
+the coverage; a stretch counts from a coverage of 0.8 on, for a template of fewer than twelve words
+only if all are aligned and none stands between. Words that set a license apart (its version,
+NonCommercial, Lesser and the like) must be there if the template has them and not if it does not.
+A license inside the longer text of another one is part of that.
 
 Stretches are where the template's words lie close together, so a document of any length is
 aligned a few template lengths at a time, and a license that occurs twice is found twice. Null and
@@ -48,7 +51,30 @@ TEMPLATES = {
            "provided that the above copyright notice and this permission notice appear in all copies.",
     "CC-BY-4.0#notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0#notice": "Licensed under CC BY-NC 4.0.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+                    "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+                    "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+                    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+                    "distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                    "promote products derived from this software without specific prior written permission.",
+    "CC0-1.0#notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+                 "compile, sell, or distribute this software",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
 }
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License "
+        "as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+for _id, _name, _version in [("GPL-2.0", "General", "2"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3")]:
+    TEMPLATES[_id] = _GNU.format(_name, _version)
+    TEMPLATES[_id + "#notice"] = f"This work is licensed under the GNU {_name} Public License, version {_version}."
+for _id, _name in [("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+                   ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]:
+    TEMPLATES[f"CC-{_id}-4.0#name"] = f"This work is licensed under a Creative Commons {_name} 4.0 International License."
+    TEMPLATES[f"CC-{_id}-4.0#notice"] = f"Licensed under CC {_id} 4.0."
+TEMPLATES["CC-BY-4.0#line"] = "Licensed under CC BY 4.0."
+#: Words that set a license apart from others, besides numbers.
+MARKS = frozenset("noncommercial nc non commercial sharealike sa alike noderivatives noderivs nd derivatives lesser library affero documentation "
+                  "general public attribution mozilla eclipse apache".split())
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -113,6 +139,25 @@ class Template:
     least: int
     #: More different words than may be missing: one of them is in every text with enough coverage.
     needles: list[str]
+    #: Its words that set it apart.
+    marks: frozenset[str]
+
+    def fits(self, words: list[str], pairs: list[tuple[int, int]]) -> bool:
+        """Whether what sets a license apart is the same in the aligned stretch of ``words``."""
+        if not self.marks <= {self.words[j] for _, j in pairs}:
+            return False
+        inside = words[pairs[0][0]:pairs[-1][0] + 1]
+        if any(w in MARKS and w not in self.marks for w in inside):
+            return False
+        return not any(v.isdigit() and v not in self.marks for u, v in zip(inside, inside[1:]) if u in ("version", "v"))
+
+    def share(self, pairs: list[tuple[int, int]]) -> float:
+        return len(pairs) / max(len(self.words), pairs[-1][0] - pairs[0][0] + 1)
+
+    def trimmed(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Without aligned words at the ends that stand too far off to raise the share."""
+        pairs = pairs[:max(range(1, len(pairs) + 1), key=lambda k: (self.share(pairs[:k]), k))]
+        return pairs[max(range(len(pairs)), key=lambda k: (self.share(pairs[k:]), -k)):]
 
     @classmethod
     def of(cls, name: str, text: str, coverage: float) -> "Template":
@@ -125,7 +170,7 @@ class Template:
             missing -= counts[w]
             if missing < 0:
                 break
-        return cls(name, words, least, needles)
+        return cls(name, words, least, needles, frozenset(w for w in words if w in MARKS or w.isdigit()))
 
 
 def _stretches(places: list[int], words: list[str], template: list[str]) -> list[tuple[int, int]]:
@@ -145,7 +190,7 @@ def _stretches(places: list[int], words: list[str], template: list[str]) -> list
             out += [(s, min(b, s + 2 * size)) for s in range(a, b - size, max(1, size // 2))]
     # begin at the template's first word where there is one, so that what stands before does not blur the anchors
     first = template[0]
-    return out + [(i, min(b, i + size + wide)) for a, b in runs for i in range(a, b) if words[i] == first and i > a]
+    return out + [(i, min(b, i + n)) for a, b in runs for i in range(a, b) if words[i] == first for n in (size, size + wide)]
 
 
 def find(text: str, templates: list[Template]) -> list[tuple[str, int, int, float]]:
@@ -168,11 +213,15 @@ def find(text: str, templates: list[Template]) -> list[tuple[str, int, int, floa
             if b - a < t.least:
                 continue
             pairs = patience(words[a:b], t.words)
-            if len(pairs) >= t.least:
-                found.append((len(pairs) / len(t.words), spans[a + pairs[0][0]][0], spans[a + pairs[-1][0]][1], t.name.split("#")[0]))
+            if len(pairs) < t.least:
+                continue
+            pairs = t.trimmed(pairs)
+            share = t.share(pairs)
+            if share * len(t.words) >= t.least - 1e-9 and t.fits(words[a:b], pairs):
+                found.append((share, spans[a + pairs[0][0]][0], spans[a + pairs[-1][0]][1], t.name.split("#")[0]))
     kept: list[tuple[str, int, int, float]] = []
     for share, start, end, name in sorted(found, key=lambda x: (-(x[2] - x[1]) * x[0], x[1], x[3])):
-        if not any(name == other and start < b and a < end for other, a, b, _ in kept):
+        if not any(start < b and a < end if name == other else a <= start and end <= b for other, a, b, _ in kept):
             kept.append((name, start, end, share))
     return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
 

@@ -146,6 +146,24 @@ def test_licenses(spark):
     assert not any(v for k, v in got.items() if k != 1)
 
 
+def test_licenses_are_told_apart():
+    known = [licenses.Template.of(k, t, licenses.COVERAGE) for k, t in licenses.TEMPLATES.items()]
+    names = lambda text: [n for n, *_ in licenses.find(text, known)]
+    for key, text in licenses.TEMPLATES.items():
+        for whole in (text, f"Read the text of a license. {text} See the License of the work.", text + " x " + text):
+            assert set(names(whole)) == {key.split("#")[0]}, key
+    gpl = licenses.TEMPLATES["GPL-3.0"]
+    creative = "This work is licensed under a Creative Commons {} International License."
+    for text, want in [
+            (creative.format("Attribution-NonCommercial-ShareAlike 4.0"), ["CC-BY-NC-SA-4.0"]), (creative.format("Attribution-Non-Commercial 4.0"), []),
+            (creative.format("Attribution 3.0"), []), (gpl.replace("version 3", "version 2"), ["GPL-2.0"]), (gpl.replace("version 3", "version 1"), []),
+            (gpl.replace("GNU General", "GNU Affero General"), ["AGPL-3.0"]), (gpl.replace("GNU General", "GNU Library General"), []),
+            ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+            ("This work is licensed under the GNU Free Documentation License, version 3.", []), ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]),
+            ("Released under the MIT No Attribution License.", []), ("Licensed under the Apache License, Version 1.1.", [])]:
+        assert names(text) == want, text
+
+
 def test_patience():
     assert licenses.patience(list("abcde"), list("xbcdy")) == [(1, 1), (2, 2), (3, 3)]
     assert licenses.patience([], list("a")) == []

@@ -31,20 +31,6 @@ def _key_runs(keys: pd.Series) -> Iterator[tuple[str, int, int]]:
         yield values[a], a, b
 
 
-PIECE_BYTES, MOST_BYTES = 16 * 1024 * 1024, 256 * 1024 * 1024
-
-
-def fold_partitions(df: DataFrame) -> int:
-    """Partitions for a fold by the optimizer's size estimate.
-
-    Small pieces cost more than they save, as every border inside a key must settle, so there are
-    no more than the shuffle setting says, unless a piece would then exceed ``MOST_BYTES``.
-    """
-    limit = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(1, min(limit, -(-estimate // PIECE_BYTES)), -(-estimate // MOST_BYTES))
-
-
 def ordered_fold(
     df: DataFrame,
     key: Column,
@@ -61,12 +47,14 @@ def ordered_fold(
     nothing but what later decisions need: no totals, no entries that have run out. The border
     states are found by repeating the fold on the straddling pieces until none changes, so the
     result is exact; pieces whose state forgets its past settle in the first rounds.
+
+    Without ``partitions`` the rows are cut into as many pieces as the shuffle setting says, of
+    which adaptive execution joins small ones by their real sizes.
     """
-    n = partitions or fold_partitions(df)
     # never null, so that a null key is one like any other
     keyed = df.withColumn("__k", F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")))
     fixed = durable(
-        keyed.repartitionByRange(n, "__k", *order)
+        keyed.repartitionByRange(*([partitions] if partitions else []), "__k", *order)
         .sortWithinPartitions("__k", *order)
         .withColumn("__p", F.spark_partition_id())
     )

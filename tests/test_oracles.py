@@ -26,3 +26,20 @@ def test_entry_runs(spark):
 
 def test_names():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    """A copy of the repository without the corpus operators still lists every other query."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "*.json", "spark-warehouse"))
+    code = "import __spark_entry__ as e; assert 'pipeline' not in e.queries(); print(len(e.queries()), len(e.oracle_sql()))"
+    made = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True,
+                          env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert made.returncode == 0, made.stderr
+    own = [n for n in QUERIES if not n.startswith("op") and n != "pipeline"]
+    assert int(made.stdout.split()[0]) == len(own)

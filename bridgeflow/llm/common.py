@@ -16,7 +16,7 @@ CHUNK_BYTES = 2 * 1024 * 1024
 #: Rows up to which a table of keys may be broadcast; beyond, Spark joins it by shuffling.
 BROADCAST_ROWS = 1_000_000
 
-Worker = Callable[[list[str]], list]
+Worker = Callable[..., list]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,17 +35,20 @@ def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         a = b
 
 
-def map_text(df: DataFrame, text: str, make: Callable[[], Worker], out: T.StructType, keep: list[str] | None = None) -> DataFrame:
+def map_text(df: DataFrame, text: str, make: Callable[[], Worker], out: T.StructType, keep: list[str] | None = None,
+             extra: list[str] | None = None) -> DataFrame:
     """Columns of ``out`` computed from the text column, beside the other columns of ``df``.
 
     ``make`` runs once per task and returns a function from a list of texts (null: empty) to one
     Arrow array or list per output field. Carried are ``keep`` or all columns but the text; one
-    with the name of an output gives way to it.
+    with the name of an output gives way to it. ``extra`` columns reach the function as further
+    Arrow arrays and are not carried.
     """
     made = {f.name for f in out.fields}
     carried = [c for c in (keep if keep is not None else df.columns) if c != text and c not in made]
-    source = df.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([f for f in source.schema.fields if f.name != "__text"] + out.fields)
+    extra = extra or []
+    source = df.select(*[F.col(f"`{c}`") for c in carried + extra], F.col(f"`{text}`").alias("__text"))
+    schema = T.StructType(source.schema.fields[:len(carried)] + out.fields)
     kinds = [to_arrow_type(f.dataType) for f in out.fields]
     names = carried + [f.name for f in out.fields]
 
@@ -54,7 +57,7 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Worker], out: T.Struct
         for batch in batches:
             for piece in chunks(batch, "__text"):
                 texts = [t or "" for t in piece.column("__text").to_pylist()]
-                made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(work(texts), kinds)]
+                made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(work(texts, *[piece.column(c) for c in extra]), kinds)]
                 made = [x if x.type == kind else x.cast(kind) for x, kind in zip(made, kinds)]
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in carried] + made, names=names)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import durable
-from . import byte_bpe, decontaminate, html_text, jaccard, language, licenses, perplexity, personal, quality, secrets
+from . import byte_bpe, decontaminate, fill_middle, html_text, jaccard, language, licenses, perplexity, personal, quality, secrets
 from .common import crc_mod, digest, joined_spans, table
 
 QUERIES, ORACLES = {}, {}
@@ -138,3 +138,21 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.find_personal(docs).select(
         "doc_id", *[_count(spans, k).alias(f"n_{k}") for k in personal.KINDS],
         digest(joined_spans(_of_kinds(spans, personal.KINDS))).alias("base_sha256"), joined_spans(spans).alias("spans"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restored(fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(F.col("text")).alias("restored_sha256"))
+
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, list_transform([0, 1, 2, 3], lambda i: CAST('0x' || h[8 * i + 1:8 * i + 8] AS BIGINT)) AS r FROM d),
+c AS (SELECT doc_id, x, len(w) AS n, w, least(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS a, greatest(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS b,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM w),
+p AS (SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(x) AS restored_sha256 FROM p
+"""

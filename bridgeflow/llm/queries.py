@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import durable
-from . import byte_bpe, decontaminate, fill_middle, html_text, jaccard, language, licenses, perplexity, personal, quality, secrets
+from . import byte_bpe, conversations, decontaminate, fill_middle, html_text, jaccard, language, licenses, perplexity, personal, quality, secrets
 from .common import crc_mod, digest, joined_spans, table
 
 QUERIES, ORACLES = {}, {}
@@ -156,3 +156,43 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
   sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
   sha256(x) AS restored_sha256 FROM p
 """
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+    return done.withColumnRenamed("conv", "conv_id")
+
+
+# one conversation after the other from its last row; v holds cost, audit and repaired rows from there for nothing, s, u and a before
+ORACLES["op12_conversation_repair"] = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS s FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_transform(s, lambda x: CAST(ord(x) AS BIGINT)), lambda a, x: list_reduce(range(8), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END, xor(a, x)), 4294967295), 4294967295) % 20 AS harm FROM k),
+m AS (SELECT conv_id, turn, CASE harm WHEN 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE harm WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE harm <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy) AS rn FROM m),
+f AS (SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 2
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) AS before FROM o),
+t AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+  count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(rn) AS n FROM f GROUP BY conv_id),
+w AS (
+  SELECT c.conv_id, coalesce(n, 0) AS todo, [{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}, {'c': 6::BIGINT, 'a': 'II', 'r': ['user:', 'assistant:']},
+    {'c': 3::BIGINT, 'a': 'I', 'r': ['assistant:']}, {'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}] AS v
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+  UNION ALL
+  SELECT conv_id, todo - 1, [list_min([x[1], {'c': u.c + 3, 'a': 'I' || u.a, 'r': list_prepend('user:', u.r)}]), list_min([x[2], {'c': u.c + 3, 'a': 'I' || u.a, 'r': list_prepend('user:', u.r)}]), u,
+    list_min([x[4], {'c': x[3].c + 3, 'a': 'I' || x[3].a, 'r': list_prepend('user:', x[3].r)}])]
+  FROM (SELECT *, list_min([x[3], {'c': x[4].c + 3, 'a': 'I' || x[4].a, 'r': list_prepend('assistant:', x[4].r)}]) AS u
+    FROM (SELECT w.conv_id, w.todo, list_transform([1, 2, 3, 4], lambda q: list_min(list_filter([
+        {'c': v[q].c + 4, 'a': 'D' || v[q].a, 'r': v[q].r},
+        CASE WHEN fault IN (0, 3) AND (q = 1 AND i = 's' OR q <> 3 AND i = 'u' OR q = 3 AND i = 'a')
+          THEN {'c': v[CASE i WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].c + fault, 'a': 'K' || v[CASE i WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].a,
+                'r': list_prepend(role || ':' || text, v[CASE i WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].r)} END,
+        CASE WHEN fault IN (0, 3) THEN {'c': v[CASE q WHEN 3 THEN 4 ELSE 3 END].c + 3 + fault, 'a': 'R' || v[CASE q WHEN 3 THEN 4 ELSE 3 END].a,
+                'r': list_prepend(CASE q WHEN 3 THEN 'assistant:' ELSE 'user:' END || text, v[CASE q WHEN 3 THEN 4 ELSE 3 END].r)} END], lambda y: y IS NOT NULL))) AS x
+      FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.rn = w.todo)))
+SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  v[1].c AS cost, v[1].a AS audit, sha256(array_to_string(v[1].r, chr(10))) AS repaired_sha256
+FROM w LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id WHERE todo = 0
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import durable
-from . import byte_bpe, conversations, decontaminate, fill_middle, html_text, jaccard, language, licenses, perplexity, personal, quality, secrets
+from . import byte_bpe, conversations, decontaminate, fill_middle, html_text, jaccard, language, licenses, perplexity, personal, pitman_yor, quality, secrets
 from .common import crc_mod, digest, joined_spans, table
 
 QUERIES, ORACLES = {}, {}
@@ -196,3 +196,13 @@ SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
   v[1].c AS cost, v[1].a AS audit, sha256(array_to_string(v[1].r, chr(10))) AS repaired_sha256
 FROM w LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id WHERE todo = 0
 """
+
+
+@query
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    model = pitman_yor.fit(docs.filter(~held))
+    scored = pitman_yor.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+                         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

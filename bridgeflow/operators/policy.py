@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.text import any_glob, matches_glob
-from ..scale import next_match, ordered_fold
+from ..scale import next_match
 from ..session import durable
+from .attempts import PAST, SURE, WANTS, ONLY_ASKS, gate_attempt_rate, settle
 from .matching import quick_risk
 
 
@@ -147,39 +147,6 @@ def rate_ratio(p_rate: Column, c_rate: Column) -> Column:
     return F.when((p > 0) & (c > 0), F.greatest(p, c) / F.greatest(F.least(p, c), F.lit(1e-6)))
 
 
-def gate_attempt_rate(attempts: DataFrame, time: str = "t", tie: str = "seq", limit: int = fixed.MAX_ATTEMPTS,
-                      window: int = fixed.ATTEMPT_WINDOW_S * 1_000_000, partitions: int | None = None) -> DataFrame:
-    """Refuse an attempt when either end has ``limit`` recorded attempts within the window.
-
-    A refused attempt records nothing, an accepted one counts for both ends, so each decision
-    depends on earlier ones of any pair that shares a node. All attempts form one time-ordered
-    chain, cut into time slices; the state handed from slice to slice is the recorded attempts
-    of the last window.
-    """
-    def fold(state: dict, rows: pd.DataFrame) -> tuple[dict, dict]:
-        state = {k: list(v) for k, v in state.items()}
-        blocked = []
-        last = None
-        for t, p, c in zip(rows[time], rows["producer_id"], rows["consumer_id"]):
-            t = last = int(t)
-            full = None
-            for node in (p, c):
-                recent = [x for x in state.get(node, ()) if t - x < window]
-                state[node] = recent
-                if len(recent) >= limit:
-                    full = node
-                    break
-            if full is None:
-                state[p].append(t)
-                state[c].append(t)
-            blocked.append(full)
-        kept = {k: [x for x in v if last - x < window] for k, v in state.items()}
-        return {"blocked_by": blocked}, {k: v for k, v in kept.items() if v}
-
-    out = T.StructType([T.StructField("blocked_by", T.StringType())])
-    return ordered_fold(attempts, F.lit("all"), [time, tie], fold, dict, out, partitions)
-
-
 # ---- the chain -----------------------------------------------------------------------
 
 def evaluate_policy(
@@ -292,68 +259,44 @@ def audit_recent(log: DataFrame, n: int = 100, order: tuple[str, ...] = ("record
 
 # ---- decisions that depend on earlier ones of the same batch -------------------------------
 
-def settle_batch(verdicts: DataFrame, active: DataFrame, cap: int = fixed.MAX_BRIDGES_PER_NODE, score: str = "composite") -> DataFrame:
-    """Verdicts as if the candidates were decided one after another, best score first (ties by ids).
+def settle_batch(verdicts: DataFrame, active: DataFrame, cap: int = fixed.MAX_BRIDGES_PER_NODE, score: str = "composite",
+                 limit: int | None = None, window: int = fixed.ATTEMPT_WINDOW_S * 1_000_000, as_of: int = 0,
+                 recorded: DataFrame | None = None) -> DataFrame:
+    """Verdicts as if the candidates were decided one after another at ``as_of``, best score first (ties by ids).
 
     A bridge counts for both ends as soon as it is approved: a later pair with a full end, or whose
     reverse was approved earlier, is rejected. Pairs on the whitelist are approved in any case and
-    count as well. Works in rounds: a pair is approved once it is among the first rows that still
-    fit at both ends, and rejected once an end is full before it; the best open pair is settled in
-    every round. Only the first ``cap`` rows of a node are ever ranked.
+    count as well. With ``limit``, a pair that gets past lists and cap is an attempt of both ends,
+    and one too many within the window is rejected; ``recorded`` (producer_id, consumer_id, t) are
+    attempts before the batch.
     """
-    rank_by = F.struct((-F.col(score)).alias("s"), F.col("producer_id").alias("p"), F.col("consumer_id").alias("c"))
-    keyed = durable(verdicts.withColumn("__at", rank_by))
-    never = F.lit(None).cast(keyed.schema["__at"].dataType)
-    wants = keyed.filter("verdict = 'approve'").select("producer_id", "consumer_id", "__at", (F.col("reason") == "both-whitelisted").alias("sure")).distinct()
-    rooms = bridges_per_node(active).select(F.col("node_id").alias("node"), F.greatest(cap - F.col("bridges"), F.lit(0)).alias("room"))
-    ends = lambda rows: rows.withColumn("node", F.explode(F.array_distinct(F.array("producer_id", "consumer_id"))))
-    with_room = lambda rows: rows.join(rooms, "node", "left").withColumn("room", F.coalesce("room", F.lit(cap)))
-
-    def fullness(accepted: DataFrame) -> DataFrame:
-        """Nodes that are full, and the rank from which on."""
-        turn = F.row_number().over(W.partitionBy("node").orderBy("__at"))
-        taken = with_room(ends(accepted)).withColumn("turn", turn).filter("turn = room").select("node", F.col("__at").alias("full_at"))
-        return taken.unionByName(rooms.filter("room <= 0").select("node", never.alias("full_at")))
-
-    def late(rows: DataFrame, accepted: DataFrame) -> DataFrame:
-        """``rows`` with why an earlier approval stands against them: cap at an end, or the reverse pair."""
-        full = fullness(accepted)
-        for mark, key in (("__p", "producer_id"), ("__c", "consumer_id")):
-            side = full.select(F.col("node").alias(key), F.lit(True).alias(mark), F.col("full_at").alias(mark + "_at"))
-            rows = rows.join(side, key, "left")
-            rows = rows.withColumn(mark, F.coalesce(F.col(mark) & (F.col(mark + "_at").isNull() | (F.col("__at") > F.col(mark + "_at"))), F.lit(False))).drop(mark + "_at")
-        back = accepted.select(F.col("consumer_id").alias("producer_id"), F.col("producer_id").alias("consumer_id"), F.col("__at").alias("__back"))
-        rows = rows.join(back, ["producer_id", "consumer_id"], "left")
-        return rows.withColumn("__back", F.coalesce(F.col("__back") < F.col("__at"), F.lit(False)))
-
-    accepted = durable(wants.filter("sure").drop("sure"))
-    waiting = durable(wants.filter(~F.col("sure")).drop("sure"))
-    while not waiting.isEmpty():
-        both = accepted.withColumn("open", F.lit(False)).unionByName(waiting.withColumn("open", F.lit(True)))
-        turn = F.row_number().over(W.partitionBy("node").orderBy("__at"))
-        first = with_room(ends(both)).withColumn("turn", turn).filter(F.col("turn") <= cap).filter("turn <= room AND open")
-        fits = first.groupBy("producer_id", "consumer_id", "__at").agg(F.count("*").alias("n"))
-        fits = fits.filter(F.col("n") == F.when(F.col("producer_id") == F.col("consumer_id"), 1).otherwise(2)).drop("n")
-        # the reverse pair, if it is still open and comes first, decides before this one
-        back = waiting.select(F.col("consumer_id").alias("producer_id"), F.col("producer_id").alias("consumer_id"), F.col("__at").alias("__back"))
-        fits = fits.join(back, ["producer_id", "consumer_id"], "left").filter(F.col("__back").isNull() | (F.col("__back") >= F.col("__at"))).drop("__back")
-        fits = late(fits, accepted).filter("NOT (__p OR __c OR __back)").select("producer_id", "consumer_id", "__at")
-        accepted = durable(accepted.unionByName(fits))
-        open_ = waiting.join(accepted.select("producer_id", "consumer_id"), ["producer_id", "consumer_id"], "left_anti")
-        waiting = durable(late(open_, accepted).filter("NOT (__p OR __c OR __back)").select("producer_id", "consumer_id", "__at"))
-
     c, lit = F.col, F.lit
-    judged = late(keyed, accepted)
-    limited = c("reason").startswith("rate-limit-exceeded:")
+    numbered = durable(verdicts.withColumn("__a", F.monotonically_increasing_id()))
+    sure = (c("verdict") == "approve") & (c("reason") == "both-whitelisted")
     # rows that an earlier gate decided stay as they are
-    reached = c("reason").isin("all-checks-passed", "circular-dependency", "low-confidence-contract", "extreme-rate-mismatch") | c("reason").startswith("risk:") | limited
-    full = F.when(c("__p"), "producer-bridge-cap").when(c("__c"), "consumer-bridge-cap")
-    why = F.when(reached, F.coalesce(full, F.when(c("__back") & ~limited, "circular-dependency")))
-    judged = judged.withColumn("__why", why)
-    is_cap = c("__why") != "circular-dependency"
-    changed = c("__why").isNotNull()
-    return judged.withColumns({
-        "verdict": F.when(changed, "reject").otherwise(c("verdict")), "reason": F.coalesce("__why", "reason"),
-        "audit_reason": F.when(changed & is_cap, F.concat("__why", lit(f":{cap}"))).otherwise(F.coalesce("__why", "audit_reason")),
-        "risk": F.when(changed & is_cap, 0.5).when(changed, 0.8).otherwise(c("risk")),
-    }).select(*verdicts.columns)
+    reached = c("reason").isin("all-checks-passed", "circular-dependency", "low-confidence-contract", "extreme-rate-mismatch") | c("reason").startswith("risk:")
+    kind = F.when(sure, SURE).when(c("verdict") == "approve", WANTS).otherwise(ONLY_ASKS)
+    rows = numbered.filter(reached | sure).select(
+        "__a", "producer_id", "consumer_id", lit(as_of).cast("long").alias("__t"), (-c(score)).cast("double").alias("__rank"),
+        c("producer_id").alias("__first"), c("consumer_id").alias("__second"), kind.alias("__kind"))
+    if limit is not None and recorded is not None:
+        before = recorded.filter((c("t") <= as_of) & (as_of - c("t") < window)).select(
+            (-1 - F.monotonically_increasing_id()).alias("__a"), "producer_id", "consumer_id", c("t").cast("long").alias("__t"),
+            lit(float("-inf")).alias("__rank"), c("producer_id").alias("__first"), c("consumer_id").alias("__second"), lit(PAST).alias("__kind"))
+        rows = rows.unionByName(before)
+    found = settle(rows, ["__t", "__rank", "__first", "__second"], bridges_per_node(active), cap, limit, window)
+    judged = numbered.join(found.filter(c("__a") >= 0), "__a", "left").join(
+        bridges_per_node(active).select(c("node_id").alias("producer_id"), c("bridges").alias("__pb")), "producer_id", "left").join(
+        bridges_per_node(active).select(c("node_id").alias("consumer_id"), c("bridges").alias("__cb")), "consumer_id", "left")
+    yes = lambda name: F.coalesce(c(name) == 2, lit(False))
+    held = lambda name: F.greatest(F.coalesce(name, lit(0)), lit(cap)).cast("string")
+    made = lambda reason, audit, risk: F.struct(lit("reject").alias("verdict"), reason.alias("reason"), audit.alias("audit_reason"), lit(risk).alias("risk"))
+    limited = lambda node: made(F.concat(lit("rate-limit-exceeded:"), F.substring(node, 1, 8)), F.concat(lit("rate-limit:"), node), 0.3)
+    circular = lit("circular-dependency")
+    # the attempt limit comes before the gates that made these verdicts, the reverse pair after
+    why = F.when(~sure & c("p_cap").isNotNull(), F.when(yes("p_cap"), made(lit("producer-bridge-cap"), F.concat(lit("producer-bridge-cap:"), held("__pb")), 0.5))
+                 .when(yes("c_cap"), made(lit("consumer-bridge-cap"), F.concat(lit("consumer-bridge-cap:"), held("__cb")), 0.5))
+                 .when(yes("p_limited"), limited("producer_id")).when(yes("c_limited"), limited("consumer_id"))
+                 .when(yes("back"), made(circular, circular, 0.8)))
+    own = F.struct("verdict", "reason", "audit_reason", c("risk").cast("double").alias("risk"))
+    return judged.withColumn("__v", F.coalesce(why, own)).select(*[c("__v")[n].alias(n) if n in ("verdict", "reason", "audit_reason", "risk") else c(n) for n in verdicts.columns])

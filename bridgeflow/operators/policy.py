@@ -262,7 +262,7 @@ def audit_recent(log: DataFrame, n: int = 100, order: tuple[str, ...] = ("record
 def settle_batch(verdicts: DataFrame, active: DataFrame, cap: int = fixed.MAX_BRIDGES_PER_NODE, score: str = "composite",
                  limit: int | None = None, window: int = fixed.ATTEMPT_WINDOW_S * 1_000_000, as_of: int = 0,
                  recorded: DataFrame | None = None) -> DataFrame:
-    """Verdicts as if the candidates were decided one after another at ``as_of``, best score first (ties by ids).
+    """Verdicts as if the candidates were decided one after another at ``as_of``, best score first, at nine digits (ties by ids).
 
     A bridge counts for both ends as soon as it is approved: a later pair with a full end, or whose
     reverse was approved earlier, is rejected. Pairs on the whitelist are approved in any case and
@@ -277,7 +277,7 @@ def settle_batch(verdicts: DataFrame, active: DataFrame, cap: int = fixed.MAX_BR
     reached = c("reason").isin("all-checks-passed", "circular-dependency", "low-confidence-contract", "extreme-rate-mismatch") | c("reason").startswith("risk:")
     kind = F.when(sure, SURE).when(c("verdict") == "approve", WANTS).otherwise(ONLY_ASKS)
     rows = numbered.filter(reached | sure).select(
-        "__a", "producer_id", "consumer_id", lit(as_of).cast("long").alias("__t"), (-c(score)).cast("double").alias("__rank"),
+        "__a", "producer_id", "consumer_id", lit(as_of).cast("long").alias("__t"), (-F.round(c(score).cast("double"), 9)).alias("__rank"),
         c("producer_id").alias("__first"), c("consumer_id").alias("__second"), kind.alias("__kind"))
     if limit is not None and recorded is not None:
         before = recorded.filter((c("t") <= as_of) & (as_of - c("t") < window)).select(

@@ -510,6 +510,51 @@ def test_settled_one_after_another(spark, seed, cap):
     assert {(r["producer_id"], r["consumer_id"]): (r["verdict"], r["reason"]) for r in got} == want
 
 
+@pytest.mark.parametrize("seed,cap,limit", [(4, 4, 5), (5, 16, 3)])
+def test_settled_with_the_attempt_limit(spark, seed, cap, limit):
+    """Cap, attempt limit with earlier attempts, reverse pairs and a node paired with itself, against a plain loop."""
+    rng = random.Random(seed)
+    nodes = [f"n{i}" for i in range(12)]
+    pairs = [(a, b) for a in nodes for b in nodes if rng.random() < 0.6]
+    kinds = [("approve", "all-checks-passed")] * 6 + [("approve", "both-whitelisted"), ("stage", "risk:0.70"), ("reject", "circular-dependency"), ("reject", "blacklisted-producer:x")]
+    rows = [(a, b, round(rng.random(), 1), *(k := rng.choice(kinds)), k[1], 0.25) for a, b in pairs]
+    now = 100_000_000
+    before = [(rng.choice(nodes), rng.choice(nodes), now - rng.choice([1, 59_999_999, 60_000_000, 90_000_000])) for _ in range(14)]
+    asked = {n: 0 for n in nodes}
+    for a, b, t in before:
+        if now - t < 60_000_000:
+            asked[a] += 1
+            asked[b] += 1
+    held, approved, want = {n: 0 for n in nodes}, set(), {}
+    for a, b, score, verdict, reason, audit, risk in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if reason == "both-whitelisted":
+            pass
+        elif not reason.startswith("blacklisted"):
+            capped = next((side for n, side in ((a, "producer"), (b, "consumer")) if held[n] >= cap), None)
+            full = next((n for n in (a, b) if asked[n] >= limit), None)
+            if capped:
+                verdict, reason, audit, risk = "reject", capped + "-bridge-cap", f"{capped}-bridge-cap:{cap}", 0.5
+            elif full:
+                verdict, reason, audit, risk = "reject", "rate-limit-exceeded:" + full, "rate-limit:" + full, 0.3
+            else:
+                asked[a] += 1
+                asked[b] += 1
+                if (b, a) in approved and a != b:
+                    verdict, reason, audit, risk = "reject", "circular-dependency", "circular-dependency", 0.8
+        if verdict == "approve":
+            approved.add((a, b))
+            for n in {a, b}:
+                held[n] += 1
+        want[a, b] = (verdict, reason, audit, risk)
+    frame = spark.createDataFrame(rows, "producer_id string, consumer_id string, composite double, verdict string, reason string, audit_reason string, risk double")
+    none = spark.createDataFrame([], "producer_id string, consumer_id string")
+    past = spark.createDataFrame(before, "producer_id string, consumer_id string, t long")
+    got = pl.settle_batch(frame, none, cap, limit=limit, as_of=now, recorded=past)
+    assert got.columns == frame.columns
+    assert {(r["producer_id"], r["consumer_id"]): (r["verdict"], r["reason"], r["audit_reason"], r["risk"]) for r in got.collect()} == want
+    assert {v[1].split(":")[0] for v in want.values()} >= {"rate-limit-exceeded", "both-whitelisted"}
+
+
 def test_blocked_by_attempt(spark):
     nodes = spark.createDataFrame([(n, "http://" + n, "rest", 0.9, 1.0) for n in "ab"], "node_id string, endpoint string, protocol string, confidence double, rate double")
     pairs = spark.createDataFrame([(1, "a", "b"), (2, "a", "b")], "attempt int, producer_id string, consumer_id string")

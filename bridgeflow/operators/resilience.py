@@ -8,16 +8,16 @@ from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..effects import SECOND, BreakerEffect, Bucket, BucketEffect, DedupeEffect
 from ..functions import fixed
 from ..scale import Fold, ordered_fold, ranked, running_sum, trailing
 from ..session import durable
 
-SECOND = 1_000_000
-
 
 @dataclass(frozen=True)
 class BreakerOptions:
@@ -65,7 +65,7 @@ def dedupe_ttl(messages: DataFrame, msg_id: str = "msg_id", time: str = "t", tie
     """``is_duplicate``: the id was first seen no more than ``ttl`` ago. Null and empty ids are never duplicates."""
     has_id = F.coalesce(F.col(msg_id).cast("string") != "", F.lit(False))
     named = messages.filter(has_id)
-    made = ordered_fold(named, F.col(msg_id), [time, tie], dedupe_fold(time, ttl), lambda: None, DEDUPE_OUT, partitions)
+    made = ordered_fold(named, F.col(msg_id), [time, tie], dedupe_fold(time, ttl), lambda: None, DEDUPE_OUT, partitions, DedupeEffect(time, ttl))
     unnamed = messages.filter(~has_id).withColumn("is_duplicate", F.lit(False))
     return made.unionByName(unnamed)
 
@@ -118,7 +118,8 @@ def circuit_breaker(outcomes: DataFrame, key: str, time: str, tie: str, failed:
     rated = window_error_rate(outcomes, key, time, failed, options.window, options.min_events)
     rated = rated.withColumn("__full", F.coalesce(F.col("error_rate") >= options.threshold, F.lit(False)))
     rated = rated.drop("events", "failures", "error_rate")
-    made = ordered_fold(rated, F.col(key), [time, tie], breaker_fold(time, failed, options), new_breaker, BREAKER_OUT, partitions)
+    made = ordered_fold(rated, F.col(key), [time, tie], breaker_fold(time, failed, options), new_breaker, BREAKER_OUT, partitions,
+                        BreakerEffect(time, failed, options.half_open))
     # read twice below, so that the fold is not run twice
     made = durable(made.drop("__full"))
     return running_sum(made, [key], [time, tie], F.floor(F.col(time) / bucket), F.col("trip").cast("int"), "trips")
@@ -137,23 +138,21 @@ def hold_while_open(stated: DataFrame, key: str, time: str, tie: str, capacity:
 
 # ---- limiters ------------------------------------------------------------------------
 
-def bucket_take(tokens: float, last: int | None, t: int, rate: float, capacity: float) -> tuple[bool, float]:
-    """Refill since ``last`` and take one token if there is one."""
-    if last is not None:
-        tokens = min(capacity, tokens + (t - last) / SECOND * rate)
-    return (True, tokens - 1.0) if tokens >= 1.0 else (False, tokens)
+def bucket_of(rate_hz: float, compat: bool = False) -> Bucket:
+    """It holds ``max(rate, 1)`` tokens, ``rate`` with ``compat``."""
+    return Bucket(rate_hz, rate_hz if compat else max(rate_hz, 1.0))
 
 
-def bucket_fold(time: str, rate_hz: float, capacity: float) -> Fold:
-    """State: tokens left and time of the last message."""
+def bucket_fold(time: str, bucket: Bucket) -> Fold:
+    """State: credit left and time of the last message."""
     def fold(state: tuple, rows: pd.DataFrame) -> tuple[dict, tuple]:
-        tokens, last = state
+        credit, last = state
         passed = []
         for t in rows[time].tolist():
-            ok, tokens = bucket_take(tokens, last, t, rate_hz, capacity)
+            ok, credit = bucket.take(credit, last, t)
             last = t
             passed.append(ok)
-        return {"passed": passed}, (tokens, last)
+        return {"passed": passed}, (credit, last)
 
     return fold
 
@@ -161,8 +160,8 @@ def bucket_fold(time: str, rate_hz: float, capacity: float) -> Fold:
 def token_bucket(messages: DataFrame, key: str, time: str, tie: str, rate_hz: float, compat: bool = False,
                  partitions: int | None = None) -> DataFrame:
     """``passed``: a token was left. The bucket holds ``max(rate, 1)`` tokens, ``rate`` with ``compat``."""
-    capacity = rate_hz if compat else max(rate_hz, 1.0)
-    return ordered_fold(messages, F.col(key), [time, tie], bucket_fold(time, rate_hz, capacity), lambda: (capacity, None), BUCKET_OUT, partitions)
+    bucket = bucket_of(rate_hz, compat)
+    return ordered_fold(messages, F.col(key), [time, tie], bucket_fold(time, bucket), lambda: (bucket.full, None), BUCKET_OUT, partitions, BucketEffect(time, bucket))
 
 
 def limit_fold(time: str, cost: str, limit: int, window: int) -> Fold:
@@ -208,9 +207,17 @@ class PathOptions:
     rate_hz: float | None = None
     outcomes_per_message: int = 1
 
+    def bucket(self) -> Bucket:
+        return _buckets(self.rate_hz)
+
+
+@lru_cache(maxsize=64)
+def _buckets(rate_hz: float) -> Bucket:
+    return bucket_of(rate_hz)
+
 
 def new_path_state() -> dict:
-    return {"mode": "closed", "tripped": 0, "held": 0, "window": [], "seen": {}, "tokens": None, "last": None}
+    return {"mode": "closed", "tripped": 0, "held": 0, "window": deque(), "wrong": 0, "seen": {}, "tokens": None, "last": None}
 
 
 def path_step(s: dict, t: int, msg_id: str | None, transform_ok: bool, write_ok: bool, o: PathOptions) -> str:
@@ -225,8 +232,8 @@ def path_step(s: dict, t: int, msg_id: str | None, transform_ok: bool, write_ok:
             return "duplicate"
         s["seen"][msg_id] = t
     if o.rate_hz is not None:
-        cap = max(o.rate_hz, 1.0)
-        ok, s["tokens"] = bucket_take(cap if s["tokens"] is None else s["tokens"], s["last"], t, o.rate_hz, cap)
+        bucket = o.bucket()
+        ok, s["tokens"] = bucket.take(bucket.full if s["tokens"] is None else s["tokens"], s["last"], t)
         s["last"] = t
         if not ok:
             _record(s, t, True, b)
@@ -243,10 +250,9 @@ def path_step(s: dict, t: int, msg_id: str | None, transform_ok: bool, write_ok:
 def _record(s: dict, t: int, ok: bool, b: BreakerOptions) -> None:
     window = s["window"]
     window.append((t, ok))
-    gone = 0
-    while window[gone][0] < t - b.window:
-        gone += 1
-    del window[:gone]
+    s["wrong"] += not ok
+    while window[0][0] < t - b.window:
+        s["wrong"] -= not window.popleft()[1]
     s["mode"] = breaker_step(s["mode"], s["tripped"], t, b.half_open)
     if s["mode"] == "half_open":
         s["mode"] = "closed" if ok else "open"
@@ -255,20 +261,20 @@ def _record(s: dict, t: int, ok: bool, b: BreakerOptions) -> None:
         else:
             s["tripped"] = t
     elif s["mode"] == "closed":
-        bad = sum(1 for _, good in s["window"] if not good)
-        if len(s["window"]) >= b.min_events and bad / len(s["window"]) >= b.threshold:
+        if len(window) >= b.min_events and s["wrong"] / len(window) >= b.threshold:
             s["mode"], s["tripped"] = "open", t
 
 
 def path_fold(time: str, msg_id: str, transform_ok: str, write_ok: str, options: PathOptions) -> Fold:
     """State: breaker, its window, held count, remembered ids and tokens."""
     def fold(state: dict, rows: pd.DataFrame) -> tuple[dict, dict]:
-        s = {**state, "window": list(state["window"]), "seen": dict(state["seen"])}
+        s = {**state, "window": deque(state["window"]), "seen": dict(state["seen"])}
         outcomes = []
         for t, m, a, w in zip(rows[time].tolist(), rows[msg_id].tolist(), rows[transform_ok].tolist(), rows[write_ok].tolist()):
             outcomes.append(path_step(s, t, m, a, w, options))
         # what has run out by the last message no longer matters
-        s["window"] = [(at, ok) for at, ok in s["window"] if at >= t - options.breaker.window]
+        while s["window"] and s["window"][0][0] < t - options.breaker.window:
+            s["wrong"] -= not s["window"].popleft()[1]
         s["seen"] = {k: v for k, v in s["seen"].items() if seen_before(v, t, options.ttl)}
         return {"outcome": outcomes}, s
 

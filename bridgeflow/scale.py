@@ -39,6 +39,7 @@ def ordered_fold(
     init: Callable[[], object],
     out: T.StructType,
     partitions: int | None = None,
+    effect=None,
 ) -> DataFrame:
     """Run ``outputs, state = fold(state, rows)`` over the rows of each key in ``order``.
 
@@ -46,7 +47,8 @@ def ordered_fold(
     outputs are appended to the input columns. States must compare with ``==`` and should keep
     nothing but what later decisions need: no totals, no entries that have run out. The border
     states are found by repeating the fold on the straddling pieces until none changes, so the
-    result is exact; pieces whose state forgets its past settle in the first rounds.
+    result is exact; pieces whose state forgets its past settle in the first rounds. With an
+    ``effect`` of the fold (see ``effects``) the border states are found in one job.
 
     Without ``partitions`` the rows are cut into as many pieces as the shuffle setting says, of
     which adaptive execution joins small ones by their real sizes.
@@ -68,7 +70,9 @@ def ordered_fold(
     for a, b in zip(spans, spans[1:]):
         if a["hi"] == b["lo"]:
             feeds[b["__p"]] = a["__p"]
-    entry = _border_states(fixed, spans, feeds, fold, init) if feeds else {}
+    entry = {}
+    if feeds:
+        entry = _border_states(fixed, spans, feeds, fold, init) if effect is None else _relayed_states(fixed, spans, feeds, fold, init, effect)
 
     fields = [f for f in fixed.schema.fields if f.name not in ("__k", "__p")]
     schema = T.StructType(fields + out.fields)
@@ -140,6 +144,47 @@ def _border_states(fixed, spans, feeds, fold, init) -> dict:
     return {p: pickle.loads(exits[src]) for p, src in feeds.items()}
 
 
+def _relayed_states(fixed, spans, feeds, fold, init, effect) -> dict:
+    """As ``_border_states``: all pieces are summed up at once, then their summaries applied key by key, in order."""
+    import pickle
+
+    lo = {r["__p"]: r["lo"] for r in spans}
+    hi = {r["__p"]: r["hi"] for r in spans}
+    sources = sorted(set(feeds.values()))
+    wanted = {p: hi[p] for p in sources}
+    through = {p for p in sources if p in feeds and lo[p] == hi[p]}
+
+    def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc, seen = None, None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            p = int(pdf["__p"].iloc[0])
+            part = pdf[pdf["__k"] == wanted[p]]
+            if len(part) == 0:
+                continue
+            if seen is None:
+                seen, acc = p, effect.start() if p in through else init()
+            acc = effect.add(acc, part) if p in through else fold(acc, part)[1]
+        if seen is not None:
+            yield pd.DataFrame({"k": [wanted[seen]], "p": [seen], "made": [pickle.dumps(effect.finish(acc) if seen in through else acc)]})
+
+    def relay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = None
+        for pdf in batches:
+            states = []
+            for p, made in zip(pdf["p"].tolist(), pdf["made"].tolist()):
+                state = effect.apply(pickle.loads(made), state) if p in through else pickle.loads(made)
+                states.append(pickle.dumps(state))
+            yield pd.DataFrame({"p": pdf["p"], "state": states})
+
+    pieces = fixed.filter(F.col("__p").isin(sources) & F.col("__k").isin(sorted(set(wanted.values()))))
+    # a row per piece; those of a key follow one another
+    summed = pieces.mapInPandas(sum_up, "k string, p int, made binary").repartition("k").sortWithinPartitions("k", "p")
+    exits = {r["p"]: pickle.loads(bytes(r["state"])) for r in summed.mapInPandas(relay, "p int, state binary").collect()}
+    return {p: exits[src] for p, src in feeds.items()}
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """``left`` with the columns of ``right`` whose keys are equal, null to null."""
     renamed = right.select(*[F.col(c).alias(f"__r_{c}" if c in keys else c) for c in right.columns])

@@ -80,9 +80,9 @@ def dedupe_at_least(messages: DataFrame, msg_id: str, event_time: str, ttl: str)
 
 def token_bucket(messages: DataFrame, key: str, time: str, tie: str, rate_hz: float, watermarked: bool = True) -> DataFrame:
     """An idle bucket refills, so its state may go after ``capacity / rate`` seconds."""
-    capacity = max(rate_hz, 1.0)
-    idle = int(capacity / rate_hz * rs.SECOND) + 1 if watermarked else None
-    return stream_fold(messages, F.col(key), [time, tie], rs.bucket_fold(time, rate_hz, capacity), lambda: (capacity, None), rs.BUCKET_OUT, idle)
+    bucket = rs.bucket_of(rate_hz)
+    idle = bucket.full // bucket.gain + 1 if watermarked else None
+    return stream_fold(messages, F.col(key), [time, tie], rs.bucket_fold(time, bucket), lambda: (bucket.full, None), rs.BUCKET_OUT, idle)
 
 
 def sliding_rate_limit(requests: DataFrame, key: str, time: str, tie: str, cost: str, limit: int = fixed.REQUEST_LIMIT,

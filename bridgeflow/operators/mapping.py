@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import fixed
-from ..functions.text import hmac_sha256, last_wins, string_map, strip
+from ..functions.text import hmac_sha256, last_wins, strip
+from ..session import durable
 from .transform import RecordConverter, col
 
 
@@ -232,69 +233,39 @@ def plan_adapters(pairs: DataFrame, nodes: DataFrame, version: str = fixed.ADAPT
         F.col("p_fields").alias("producer_fields"), "p_ck", "c_ck")
 
 
-def _sample_envelope(sample: Column, envelope: Column) -> Column:
-    """Keys and values of a sample after its envelope; bytes and nested parts are shown by name."""
-    get = lambda k, default: F.coalesce(F.try_element_at(sample, F.lit(k)), F.lit(default))
-    made = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
-    has_value = F.map_contains_key(sample, F.lit("value"))
-    return (
-        F.when(envelope == "mqtt_to_kafka", made("key", get("topic", "unknown"), "value", "bytes", "headers", "headers"))
-        .when(envelope == "file_to_kafka", made("value", "bytes", "headers", "headers"))
-        .when(envelope == "mavlink_to_grpc", made("sys_id", get("sys_id", "0"), "comp_id", get("comp_id", "0"), "msg_id", get("msg_id", "0"),
-                                                  "timestamp", get("time_usec", "0"), "fields", "fields"))
-        .when((envelope == "kafka_to_rest") & has_value, made("data", get("value", "")))
-        .otherwise(sample)
-    )
+def sample_record(fields: Column) -> Column:
+    """A record with a value for each of the first five fields, by their types."""
+    from .records import variant
 
-
-def _sample_cast(v: Column, how: Column) -> Column:
-    """Text of a sample value after a cast."""
-    number = v.isin("42", "3.14", "0")
-    return (
-        F.when(how == "cast:int", F.when(v == "3.14", "3").when(number, v).when(v == "True", "1").otherwise("0"))
-        .when(how == "cast:float", F.when(v == "3.14", v).when(number, F.concat(v, F.lit(".0"))).when(v == "True", "1.0").otherwise("0.0"))
-        .when(how == "cast:bool", F.when(v == "0", "False").otherwise("True")).otherwise(v)
-    )
+    value = lambda f: (F.when(f["type"] == "int", variant(42)).when(f["type"] == "float", variant(3.14))
+                       .when(f["type"] == "bool", variant(True)).otherwise(variant("test")))
+    return last_wins(F.transform(F.slice(fields, 1, 5), lambda f: F.struct(f["name"].alias("key"), value(f).alias("value"))))
 
 
 def validate_plans(plans: DataFrame, compat: bool = False) -> DataFrame:
-    """Run a synthetic five-field sample through each plan; ``output`` is the record without provenance.
+    """Run a five-field sample record through each plan; ``output`` holds its keys and texts without provenance.
 
-    With ``compat`` a limiter slower than one message per second starts without a token, lets
-    nothing pass and makes its plan invalid.
+    The steps are those that messages take (``records.run_plans``). A plan is valid if something
+    comes out: not where its envelope is unknown to records or gives nothing, and, with ``compat``,
+    not where its limiter is slower than one message per second, as it starts without a token.
     """
-    # the outcome depends on the contracts and the envelope, so each combination runs once
-    case = ["p_ck", "c_ck", "envelope"]
+    from .records import record_text, run_plans
+
+    # the outcome depends on the contracts, the steps and the envelope, so each combination runs once
+    case = ["p_ck", "c_ck", "envelope", "normalize", "flatten"]
     cases = plans.select(*case, "producer_fields", "mappings").dropDuplicates(case)
-    out = _run_samples(cases).select(F.col("p_ck").alias("__p"), F.col("c_ck").alias("__c"), F.col("envelope").alias("__e"), "output")
-    same = (plans["p_ck"] == out["__p"]) & (plans["c_ck"] == out["__c"]) & plans["envelope"].eqNullSafe(out["__e"])
-    joined = plans.join(out, same).drop("__p", "__c", "__e")
+    # few bytes and much work: not joined into one task; written once, as the outcome is read and filtered by
+    cases = cases.repartition(int(plans.sparkSession.conf.get("spark.sql.shuffle.partitions")), *case)
+    ran = run_plans(cases.withColumn("record", sample_record(F.col("producer_fields"))))
+    out = durable(ran.select(*[F.col(c).alias("__" + c) for c in case], record_text(F.col("output")).alias("output")))
+    same = F.lit(True)
+    for c in case:
+        same = same & (plans[c].eqNullSafe(out["__" + c]) if c == "envelope" else plans[c] == out["__" + c])
+    joined = plans.join(out, same).drop(*["__" + c for c in case])
     starved = F.coalesce(F.col("limited") & (F.col("limit_hz") < 1), F.lit(False)) if compat else F.lit(False)
     return joined.withColumn("output", F.when(~starved, F.col("output"))).withColumn("valid", F.col("output").isNotNull())
 
 
-def _run_samples(plans: DataFrame) -> DataFrame:
-    """``output`` of the sample record of each distinct plan."""
-    value = lambda f: (F.when(f["type"] == "int", "42").when(f["type"] == "float", "3.14")
-                       .when(f["type"] == "bool", "True").otherwise("test"))
-    sample = last_wins(F.transform(F.slice("producer_fields", 1, 5), lambda f: F.struct(f["name"].alias("key"), value(f).alias("value"))))
-    names = string_map(fixed.FIELD_ALIASES)
-    canonical = lambda k: F.coalesce(F.try_element_at(names, F.lower(k)), k)
-    plans = plans.withColumn("sample", sample).withColumn("__e", _sample_envelope(F.col("sample"), F.coalesce("envelope", F.lit(""))))
-    plans = plans.withColumn("__n", F.map_entries(last_wins(F.transform(
-        F.map_entries("__e"), lambda e: F.struct(canonical(e["key"]).alias("key"), e["value"].alias("value"))))))
-    of = lambda key: F.get(F.filter("__n", lambda e: e["key"] == key), F.lit(0))["value"]
-
-    present = F.filter("mappings", lambda m: F.exists("__n", lambda e: e["key"] == canonical(m["src_field"])))
-    made = F.transform(present, lambda m: F.struct(m["dst_field"].alias("key"), _sample_cast(of(canonical(m["src_field"])), m["transform"]).alias("value")))
-    sources = F.transform("mappings", lambda m: canonical(m["src_field"]))
-    rest = F.filter("__n", lambda e: ~F.array_contains(sources, e["key"]))
-    kept = F.filter(made, lambda e: ~F.exists(rest, lambda r: r["key"] == e["key"]))
-    mapped = F.concat(kept, rest)
-    output = F.when(F.size("mappings") > 0, mapped).otherwise(F.map_entries("__e"))
-    return plans.withColumn("output", output)
-
-
 def synthesis_events(validated: DataFrame) -> DataFrame:
     """One event per plan that failed validation."""
     return validated.filter(~F.col("valid")).select(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -23,22 +25,93 @@ def _refuse(_: str):
 _read = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_refuse).decode
 
 
+_space = re.compile(r"[ \t\n\r]*").match
+_number = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?").match
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _read_deep(text: str):
+    """As ``_read``, for documents nested beyond the interpreter's recursion."""
+    def expect(at: int, char: str) -> int:
+        at = _space(text, at).end()
+        if text[at:at + 1] != char:
+            raise ValueError(f"no {char} at {at}")
+        return _space(text, at + 1).end()
+
+    def key(at: int) -> tuple[str, int]:
+        if text[at:at + 1] != '"':
+            raise ValueError(f"no name at {at}")
+        name, at = scanstring(text, at + 1)
+        return name, expect(at, ":")
+
+    at, stack = _space(text, 0).end(), []  # open containers with the name their next value goes by
+    while True:
+        char = text[at:at + 1]
+        if char in ("{", "["):
+            inner = _space(text, at + 1).end()
+            made: dict | list = {} if char == "{" else []
+            if text[inner:inner + 1] != ("}" if char == "{" else "]"):
+                name, at = key(inner) if char == "{" else (None, inner)
+                stack.append([made, name])
+                continue
+            value, at = made, inner + 1
+        elif char == '"':
+            value, at = scanstring(text, at + 1)
+        elif found := _number(text, at):
+            value, at = _Number(found.group()), found.end()
+        else:
+            word = next((w for w in _WORDS if text.startswith(w, at)), None)
+            if word is None:
+                raise ValueError(f"no value at {at}")
+            value, at = _WORDS[word], at + len(word)
+        while stack:
+            holder, name = stack[-1]
+            is_object = isinstance(holder, dict)
+            if is_object:
+                holder[name] = value
+            else:
+                holder.append(value)
+            at = _space(text, at).end()
+            if text[at:at + 1] == ",":
+                at = _space(text, at + 1).end()
+                if is_object:
+                    stack[-1][1], at = key(at)
+                break
+            if text[at:at + 1] != ("}" if is_object else "]"):
+                raise ValueError(f"no end at {at}")
+            at += 1
+            value = stack.pop()[0]
+        else:
+            if _space(text, at).end() != len(text):
+                raise ValueError(f"more at {at}")
+            return value
+
+
+def _plain_number(value: _Number) -> float | int:
+    return float(value) if any(c in value for c in ".eE") else int(value)
+
+
 def _text(value) -> str | None:
     if isinstance(value, str):
         return str(value)
     if value is None or isinstance(value, bool):
         return None if value is None else "true" if value else "false"
-    return json.dumps(_numbers(value), separators=(",", ":"), ensure_ascii=False)
-
-
-def _numbers(value):
-    if isinstance(value, _Number):
-        return float(value) if any(c in value for c in ".eE") else int(value)
-    if isinstance(value, list):
-        return [_numbers(v) for v in value]
-    if isinstance(value, dict):
-        return {k: _numbers(v) for k, v in value.items()}
-    return value
+    out, stack = [], [(value, None)]  # a value, or text that is ready
+    while stack:
+        item, ready = stack.pop()
+        if ready is not None:
+            out.append(ready)
+        elif isinstance(item, (dict, list)):
+            is_object = isinstance(item, dict)
+            out.append("{" if is_object else "[")
+            stack.append((None, "}" if is_object else "]"))
+            entries = [(json.dumps(k, ensure_ascii=False) + ":", v) for k, v in item.items()] if is_object else [("", v) for v in item]
+            for i, (name, v) in reversed(list(enumerate(entries))):
+                stack.append((v, None))
+                stack.append((None, ("," if i else "") + name))
+        else:
+            out.append(json.dumps(_plain_number(item) if isinstance(item, _Number) else item, ensure_ascii=False))
+    return "".join(out)
 
 
 def _kind(value) -> str:
@@ -50,10 +123,18 @@ def _kind(value) -> str:
 
 
 def _object(text: str | None) -> dict | None:
+    if text is None:
+        return None
+    text = text.strip(" \t\r\n")
     try:
-        found = _read(text.strip(" \t\r\n")) if text is not None else None
-    except (ValueError, RecursionError):
+        found = _read(text)
+    except ValueError:
         return None
+    except RecursionError:
+        try:
+            found = _read_deep(text)
+        except ValueError:
+            return None
     return found if isinstance(found, dict) else None
 
 

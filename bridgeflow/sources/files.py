@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.text import let
 from .decode import line_records
 
 
@@ -23,36 +25,53 @@ def csv_source(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=True)
 
 
+# every match starts with its separator, so empty cells count; possessive loops never go back
+_QUOTED = '"(?:[^"]++|"")*+"'
+_LINES = re.compile(f'\n((?:{_QUOTED}|[^"\n]++)*+)')
+_CELLS = re.compile(f",({_QUOTED}|[^,]*+)")
+
+
+def _csv_rows(text: str) -> list[list[str]]:
+    """Cells of the lines that hold any; text without a quote is simply split."""
+    text = text.strip(" ")
+    quoted = '"' in text
+    lines = _LINES.findall("\n" + text) if quoted else text.split("\n")
+    lines = [x[:-1] if x.endswith("\r") else x for x in lines]
+    if not quoted:
+        return [x.split(",") for x in lines if x]
+    cells = ([c[1:-1].replace('""', '"') if c.startswith('"') else c for c in _CELLS.findall("," + x)] for x in lines if x)
+    return list(cells)
+
+
 def csv_to_records(text: Column) -> Column:
     """CSV text with a header line as array<map<string,string>>; missing cells are null.
 
-    Of columns with the same name the last one counts. Text without a quote is simply split.
+    Of columns with the same name the last one counts. Null and empty texts have no records.
     """
-    end = lambda x: F.regexp_replace(x, r"\r$", "")
-    trimmed = F.trim(text)
-    plain = F.transform(F.filter(F.transform(F.split(trimmed, "\n"), end), lambda x: x != ""), lambda line: F.split(line, ","))
-
-    # every match starts with its separator, so empty cells count; possessive loops need no stack
-    quoted = '"(?:[^"]++|"")*+"'
-    lines = F.filter(F.transform(
-        F.regexp_extract_all(F.concat(F.lit("\n"), trimmed), F.lit(f'\n((?:{quoted}|[^"\n]++)*+)'), F.lit(1)), end), lambda x: x != "")
-
-    def cells(line: Column) -> Column:
-        parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(f",({quoted}|[^,]*+)"), F.lit(1))
-        return F.transform(parts, lambda c: F.when(
-            c.startswith('"'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
-
-    def records(parsed: Column) -> Column:
-        def rows(names: Column) -> Column:
-            header = F.get(parsed, F.lit(0))
-            # place of the last column of each name
-            places = F.transform(names, lambda n: (F.size(header) - F.array_position(F.reverse(header), n)).cast("int"))
-            body = F.slice(parsed, 2, F.greatest(F.size(parsed) - 1, F.lit(0)))
-            return let(places, lambda at: F.transform(body, lambda row: F.map_from_arrays(names, F.transform(at, lambda i: F.get(row, i)))))
-
-        return F.when(F.size(parsed) > 0, let(F.array_distinct(F.get(parsed, F.lit(0))), rows)).otherwise(F.array().cast("array<map<string,string>>"))
-
-    return let(F.when(text.contains('"'), F.transform(lines, cells)).otherwise(plain), records)
+
+    @F.arrow_udf("array<map<string,string>>")
+    def records(texts: pa.Array) -> pa.Array:
+        keys, values, ends, sizes = [], [], [0], [0]
+        headers: dict[tuple, tuple[list[str], list[int]]] = {}  # texts of one kind share their header
+        for t in texts.to_pylist():
+            rows = _csv_rows(t) if t else []
+            if rows:
+                names = tuple(rows[0])
+                if names not in headers:
+                    headers.clear()
+                    places = {n: i for i, n in enumerate(names)}
+                    headers[names] = list(places), list(places.values())
+                known, places = headers[names]
+                for row in rows[1:]:
+                    n = len(row)
+                    keys += known
+                    values += [row[i] if i < n else None for i in places]
+                    ends.append(len(keys))
+            sizes.append(len(ends) - 1)
+        maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), maps)
+
+    return records(text)
 
 
 def csv_line(df: DataFrame, field_order: list[str] | None = None) -> Column:

@@ -18,20 +18,6 @@ def throughput(messages: DataFrame, key: str, event_time: str, size: Column, win
     return grouped.agg(F.count(F.lit(1)).alias("messages"), F.sum(size).alias("bytes"))
 
 
-def resolve_approvals(staged: DataFrame, decisions: DataFrame, keys: list[str], event_time: str, timeout: str = "60 seconds",
-                      delay: str = "10 seconds") -> DataFrame:
-    """Staged pairs with every decision within the timeout; pairs without one come out as null when it is over.
-
-    A pair may see several decisions; the first one counts (see the batch form).
-    """
-    s = staged.withWatermark(event_time, delay).withColumnsRenamed({event_time: "staged_at", **{k: "s_" + k for k in keys}})
-    d = decisions.withWatermark(event_time, delay).select(*keys, F.col(event_time).alias("decided_at"), "approved")
-    on = (F.col("decided_at") > F.col("staged_at")) & (F.col("decided_at") <= F.col("staged_at") + F.expr(f"INTERVAL {timeout}"))
-    for k in keys:
-        on = on & (F.col("s_" + k) == F.col(k))
-    return s.join(d, on, "left_outer").drop(*keys).withColumnsRenamed({"s_" + k: k for k in keys})
-
-
 def fan_out(messages: DataFrame, sinks: list[Sink], on_results: Callable[[int, list[tuple[str, bool, str]]], None]) -> DataStreamWriter:
     """Deliver every micro-batch to all sinks; ``on_results`` receives (bridge_id, delivered, error) per sink."""
     return messages.writeStream.foreachBatch(lambda batch, batch_id: on_results(batch_id, fan_out_write(batch, sinks)))

@@ -7,6 +7,7 @@ agrees with the batch form as long as no row arrives in a later batch than its s
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -119,3 +120,92 @@ def circuit_breaker(outcomes: DataFrame, key: str, time: str, tie: str, failed:
 
 def register_or_drift(samples: DataFrame, order: list[str], threshold: float = fixed.DRIFT_THRESHOLD) -> DataFrame:
     return stream_fold(samples, F.col("node_id"), order, rg.drift_fold(threshold), lambda: None, rg.DRIFT_OUT)
+
+
+# ---- approvals ------------------------------------------------------------------------
+
+def _plain(value, kind: T.DataType):
+    """A cell of a data frame as the value that the state keeps."""
+    if value is None or value != value:
+        return None
+    if isinstance(kind, T.IntegralType):
+        return int(value)
+    return bool(value) if isinstance(kind, T.BooleanType) else value
+
+
+class ApprovalProcessor(StatefulProcessor):
+    """Staged rows wait for the first decision within the timeout.
+
+    Decisions may arrive before what they decide and out of order, so a row is settled when the
+    watermark has passed its decision or its deadline; then nothing earlier can come. Decisions are
+    kept up to the watermark, staged rows until they are settled, so an idle key leaves no state.
+    """
+
+    def __init__(self, staged: T.StructType, time: str, tie: str, timeout: int) -> None:
+        self.fields, self.time, self.tie, self.timeout = staged.fields, time, tie, timeout
+        self.at = [f.name for f in staged.fields].index(time), [f.name for f in staged.fields].index(tie)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.staged = handle.getListState("staged", T.StructType(self.fields))
+        order = self.fields[self.at[1]]
+        self.decided = handle.getListState("decided", T.StructType([T.StructField("at", T.LongType()), T.StructField("tie", order.dataType), T.StructField("approved", T.BooleanType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = set()
+        for pdf in rows:
+            is_staged = pdf["is_staged"].astype(bool)
+            mine, theirs = pdf[is_staged], pdf[~is_staged]
+            if len(mine):
+                self.staged.appendList([tuple(_plain(v, f.dataType) for v, f in zip(row, self.fields)) for row in zip(*[mine[f.name].tolist() for f in self.fields])])
+                due.update((int(t) + self.timeout) // 1000 + 1 for t in mine[self.time].tolist())
+            if len(theirs):
+                kind = self.fields[self.at[1]].dataType
+                self.decided.appendList([(int(t), _plain(x, kind), bool(a)) for t, x, a in zip(theirs[self.time].tolist(), theirs[self.tie].tolist(), theirs["approved"].tolist())])
+                due.update(int(t) // 1000 + 1 for t in theirs[self.time].tolist())
+        for at in due:
+            self.handle.registerTimer(at)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        past = timerValues.getCurrentWatermarkInMs() * 1000
+        decided = sorted(self.decided.get()) if self.decided.exists() else []
+        keep, out = [], []
+        for row in self.staged.get() if self.staged.exists() else ():
+            t, tie = row[self.at[0]], row[self.at[1]]
+            i = bisect_right(decided, (t, tie, True))
+            found = decided[i] if i < len(decided) and decided[i][0] - t <= self.timeout else None
+            if found is not None and found[0] < past:
+                out.append((*row, "approved" if found[2] else "rejected", found[0]))
+            elif t + self.timeout < past:
+                out.append((*row, "timed_out", None))
+            else:
+                keep.append(tuple(row))
+        self._put(self.staged, keep)
+        self._put(self.decided, [d for d in decided if d[0] >= past])
+        names = [f.name for f in self.fields] + ["outcome", "decided_at"]
+        yield pd.DataFrame(out, columns=names, dtype=object) if out else pd.DataFrame()
+
+    @staticmethod
+    def _put(state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
+        elif state.exists():
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def resolve_approvals(staged: DataFrame, decisions: DataFrame, keys: list[str], time: str = "t", tie: str = "seq", event_time: str = "ts",
+                      timeout: int = 60_000_000, delay: str = "10 seconds") -> DataFrame:
+    """Streaming form of the batch operator: one row per staged pair, with its first decision or ``timed_out``.
+
+    ``event_time`` is the timestamp of ``time`` (microseconds); rows later than ``delay`` are lost.
+    """
+    columns = T.StructType([f for f in staged.schema.fields if f.name != event_time])
+    asked = staged.withColumns({"approved": F.lit(None).cast("boolean"), "is_staged": F.lit(True)})
+    told = decisions.select(*keys, time, tie, event_time, "approved").withColumn("is_staged", F.lit(False))
+    both = asked.unionByName(told, allowMissingColumns=True).withWatermark(event_time, delay)
+    out = T.StructType([*columns.fields, T.StructField("outcome", T.StringType()), T.StructField("decided_at", T.LongType())])
+    return both.groupBy(*keys).transformWithStateInPandas(ApprovalProcessor(columns, time, tie, timeout), out, "Append", "EventTime")

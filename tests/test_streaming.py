@@ -93,25 +93,26 @@ def test_throughput(spark, parts, tmp_path):
 
 
 def test_approvals(spark, parts, tmp_path):
-    # a late row moves the watermark on, so that rows without a decision come out
+    """One row per staged pair, the first decision counts; decisions that arrive before what they decide count too."""
     folder, batch = parts
+    batch = batch.withColumn("ts", F.timestamp_micros("t"))
     end = batch.agg(F.max("t")).first()[0]
+    # later rows move the watermark on, so that rows without a decision come out
     extra = spark.createDataFrame([(10_000 + c, "end", end + 3600 * SECOND, False, "x", c) for c in (1, 2)], batch.drop("ts").schema).withColumn("ts", F.timestamp_micros("t"))
-    for part in (batch, extra, extra.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))):
+    decisions_first = batch.orderBy(F.desc("cost"), F.desc("id"))
+    for part in (decisions_first, extra, extra.withColumns({"t": F.col("t") + 3600 * SECOND, "ts": F.col("ts") + F.expr("INTERVAL 1 HOUR")})):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     rows = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    staged = rows.filter("cost = 1").select("key", "id", "ts")
-    decisions = rows.filter("cost = 2").select("key", "ts", (~F.col("bad")).alias("approved"))
-    got = run(spark, jobs.resolve_approvals(staged, decisions, ["key"], "ts", "20 seconds"), tmp_path)
-    first = {}
-    for r in got.filter("id < 10000").orderBy("decided_at").collect():
-        first.setdefault(r["id"], r["approved"])
+    staged = rows.filter("cost = 1").select("key", "id", "t", "msg", "ts")
+    decisions = rows.filter("cost = 2").select("key", "id", "t", "ts", (~F.col("bad")).alias("approved"))
+    got = run(spark, stateful.resolve_approvals(staged, decisions, ["key"], "t", "id", "ts", 20 * SECOND), tmp_path).filter("id < 10000")
     from bridgeflow.operators.policy import resolve_approvals
 
-    want = resolve_approvals(batch.filter("cost = 1").select("key", "id", "t"), batch.filter("cost = 2").select("key", "id", "t", (~F.col("bad")).alias("approved")),
+    want = resolve_approvals(batch.filter("cost = 1").select("key", "id", "t", "msg"), batch.filter("cost = 2").select("key", "id", "t", (~F.col("bad")).alias("approved")),
                              ["key"], "t", "id", 20 * SECOND)
-    expected = {r["id"]: {"approved": True, "rejected": False, "timed_out": None}[r["outcome"]] for r in want.collect()}
-    assert first == expected
+    shape = lambda d: sorted((r["id"], r["key"], r["t"], r["msg"] or "", r["outcome"], r["decided_at"] or 0) for r in d.collect())
+    assert shape(got) == shape(want)
+    assert {r["outcome"] for r in got.collect()} == {"approved", "rejected", "timed_out"}
 
 
 def test_fan_out_survives_a_failing_sink(spark, parts, tmp_path):

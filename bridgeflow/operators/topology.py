@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
+from .records import run_plans
+
 Mapping = Callable[[DataFrame], DataFrame]
 
 
@@ -31,6 +33,19 @@ def fan_out(messages: DataFrame, sinks: list[Sink], key: str) -> DataFrame:
     return out
 
 
+def fan_out_plans(messages: DataFrame, plans: DataFrame, key: str, record: str = "record") -> DataFrame:
+    """Each message through the plans of all bridges of its producer: (key, bridge_id, payload JSON, delivered).
+
+    ``messages`` hold a record per row, ``plans`` a row per bridge with the columns of
+    ``plan_adapters``. One scan and one projection serve any number of bridges; where a plan gives
+    nothing, the message is undelivered there and goes to the others all the same.
+    """
+    rows = messages.select(key, "producer_id", F.col(record).alias("__record")).join(
+        plans.select("producer_id", "bridge_id", "envelope", "mappings", "normalize", "flatten"), "producer_id")
+    made = run_plans(rows, "__record", "__output")
+    return made.select(key, "bridge_id", F.to_json("__output").alias("payload"), F.col("__output").isNotNull().alias("delivered"))
+
+
 def fan_out_write(messages: DataFrame, sinks: list[Sink]) -> list[tuple[str, bool, str]]:
     """Deliver a batch to every sink; a failing sink does not stop the others.
 

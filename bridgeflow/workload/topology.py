@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import mapping as mp
+from ..operators import records as rc
 from ..operators import topology as tp
 from ..operators import transform as tr
 from ..operators.mapping import FieldMapping as M
@@ -28,6 +29,28 @@ def _(t):
     return tp.fan_out(ln.messages(t), SINKS, "event_id")
 
 
+# a row per bridge; the last one has an envelope that records do not know
+BRIDGES = [("*", "ledger", None, [("cents", "amount", "cast:str")]), ("error", "alerts", None, [("severity", "level", "direct"), ("gone", "x", "direct")]),
+           ("error", "bus", "mqtt_to_kafka", []), ("signup", "grpc", "mavlink_to_grpc", []), ("signup", "lost", "no_such_envelope", [("cents", "c", "direct")])]
+
+
+@suite.query("fan_out_plans", ln.with_(ln.MESSAGES, """m AS (SELECT *, floor(value * 100)::BIGINT AS cents FROM messages)""") + """
+SELECT event_id, 'ledger' AS bridge_id, '{"amount":"' || cents || '","user_id":' || user_id || ',"severity":"' || severity || '"}' AS payload, true AS delivered FROM m
+UNION ALL SELECT event_id, 'alerts', '{"level":"' || severity || '","user_id":' || user_id || ',"cents":' || cents || '}', true FROM m WHERE event_type = 'error'
+UNION ALL SELECT event_id, 'bus', '{"key":"unknown","value":"' || base64(encode('{"user_id":' || user_id || ',"cents":' || cents || ',"severity":"' || severity || '"}')) || '","headers":{"source":"mqtt"}}', true
+  FROM m WHERE event_type = 'error'
+UNION ALL SELECT event_id, 'grpc', '{"sys_id":0,"comp_id":0,"msg_id":0,"timestamp":0,"fields":{"cents":' || cents || ',"severity":"' || severity || '","user_id":' || user_id || '}}', true FROM m WHERE event_type = 'signup'
+UNION ALL SELECT event_id, 'lost', NULL, false FROM m WHERE event_type = 'signup'""")
+def _(t):
+    m = ln.messages(t).withColumn("cents", F.floor(F.col("value") * 100))
+    rows = [(p, b, e, [(*x, 1.0) for x in maps], False, False) for kind, b, e, maps in BRIDGES
+            for p in (["view", "click", "signup", "purchase", "error"] if kind == "*" else [kind])]
+    plans = t.spark.createDataFrame(rows, "producer_id string, bridge_id string, envelope string, mappings array<struct<src_field:string,dst_field:string,transform:string,confidence:double>>, "
+                                    "normalize boolean, flatten boolean")
+    messages = m.select("event_id", F.col("event_type").alias("producer_id"), rc.as_record(m, ["user_id", "cents", "severity"]).alias("record"))
+    return tp.fan_out_plans(messages, plans, "event_id")
+
+
 def outcomes(t):
     m = ln.messages(t)
     return tp.fan_out_outcomes(m, tp.fan_out(m, SINKS[1:], "event_id"), "event_id")

@@ -92,10 +92,16 @@ def _plain_number(value: _Number) -> float | int:
 
 
 def _text(value) -> str | None:
+    """A string itself, the JSON of anything else."""
     if isinstance(value, str):
         return str(value)
     if value is None or isinstance(value, bool):
         return None if value is None else "true" if value else "false"
+    return json_text(value)
+
+
+def json_text(value) -> str:
+    """Compact JSON of a document of any depth."""
     out, stack = [], [(value, None)]  # a value, or text that is ready
     while stack:
         item, ready = stack.pop()

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from xml.etree.ElementTree import ParseError, XMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.leaves import json_text
 from .decode import line_records
 
 
@@ -101,6 +103,62 @@ def xml_to_records(text: Column, schema: T.StructType) -> Column:
         "columnNameOfCorruptRecord": "_raw_xml", "ignoreNamespace": "true"})
 
 
+class _XmlTree:
+    """Elements as nested dicts while they are parsed, by a stack of open elements."""
+
+    def __init__(self) -> None:
+        self.open: list[list] = [["", {}, [], False]]  # name, fields, texts before the first child, whether one came
+
+    def start(self, tag: str, attributes: dict) -> None:
+        self.open[-1][3] = True
+        self.open.append([tag.rsplit("}", 1)[-1], {"@" + k: v for k, v in attributes.items()}, [], False])
+
+    def data(self, text: str) -> None:
+        if not self.open[-1][3]:
+            self.open[-1][2].append(text)
+
+    def end(self, tag: str) -> None:
+        name, fields, texts, _ = self.open.pop()
+        text = "".join(texts).strip()
+        if text and fields:  # a leaf is a plain string
+            fields["_text"] = text
+        value, holder = fields or text, self.open[-1][1]
+        if name not in holder:
+            holder[name] = value
+        elif isinstance(holder[name], list):
+            holder[name].append(value)
+        else:
+            holder[name] = [holder[name], value]
+
+    def close(self) -> dict:
+        return self.open[0][1]
+
+
+def _xml_json(text: str) -> str:
+    parser = XMLParser(target=_XmlTree())
+    try:
+        parser.feed(text)
+        found = parser.close()
+    except ParseError:
+        found = {"_raw_xml": text}
+    return json_text(found)
+
+
+def xml_to_variant(text: Column) -> Column:
+    """XML of any root and shape as a variant ``{root: fields}``, without a schema.
+
+    Attributes become ``@name``, text ``_text`` beside other fields, repeated children an array; names
+    lose their namespace and all values are strings. Malformed text, and what is nested deeper than
+    a variant can be, becomes ``{"_raw_xml": text}``; null stays null.
+    """
+
+    @F.arrow_udf("string")
+    def documents(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _xml_json(t) for t in texts.to_pylist()], pa.string())
+
+    return F.when(text.isNotNull(), F.coalesce(F.try_parse_json(documents(text)), F.to_variant_object(F.struct(text.alias("_raw_xml")))))
+
+
 def xml_root(text: Column) -> Column:
     """Tag of the root element without its namespace prefix."""
     return F.regexp_extract(text, r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*<(?:[^\s/>:]+:)?([^\s/>]+)", 1)

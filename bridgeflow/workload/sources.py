@@ -114,6 +114,19 @@ def _(t):
                        F.col("r")["_raw_xml"].alias("raw"))
 
 
+@suite.query("xml_to_variant", """
+SELECT p_partkey, kind, CASE kind WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN p_size::VARCHAR END AS first, CASE kind WHEN 0 THEN '["' || p_type || '",{"@n":"' || p_size || '"}]' END AS tags,
+  CASE WHEN kind = 2 THEN '<part>' || p_name END AS raw FROM (SELECT *, p_size % 3 AS kind FROM part)""")
+def _(t):
+    """Documents of different roots, and malformed ones, in one table."""
+    c = F.col
+    text = (F.when(c("p_size") % 3 == 0, F.concat(F.lit('<x:item xmlns:x="urn:x" id="'), "p_partkey", F.lit('"><tag> '), "p_type", F.lit('</tag><x:tag n="'), "p_size", F.lit('"/>tail</x:item>')))
+            .when(c("p_size") % 3 == 1, F.concat(F.lit("<?xml version='1.0'?><box><size>"), "p_size", F.lit("</size><empty/></box>"))).otherwise(F.concat(F.lit("<part>"), "p_name")))
+    rows = t.part.select("p_partkey", (c("p_size") % 3).cast("long").alias("kind"), fl.xml_to_variant(text).alias("v"))
+    at = lambda path: F.try_variant_get("v", path, "string")
+    return rows.select("p_partkey", "kind", F.coalesce(at("$.item['@id']"), at("$.box.size")).alias("first"), at("$.item.tag").alias("tags"), at("$._raw_xml").alias("raw"))
+
+
 @suite.query("parse_endpoint", r"""
 WITH e AS (SELECT page_id, page_id % 5 AS kind, regexp_extract(url, '^https?://([^/]+)', 1) AS h, regexp_extract(url, '^https?://[^/]+/(.*)$', 1) AS p FROM pages)
 SELECT page_id,

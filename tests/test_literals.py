@@ -167,6 +167,14 @@ def test_xml(spark):
     assert got[1]["_raw_xml"] == "not xml at all"
 
 
+def test_xml_without_a_schema(spark):
+    deep = "<a>" * 3_000 + "</a>" * 3_000
+    texts = ['<item id="42"><value>99</value></item>', "<r> t <b/>tail<b>1</b><b x='2'>3</b></r>", "<n:r xmlns:n='u' n:k='v'><n:c/></n:r>", "not xml", "", None, "<e/>", deep, "<a>&lt;é</a>"]
+    got = [None if r is None else json.loads(r) for r in values(spark, lambda c: F.to_json(fl.xml_to_variant(c)), texts)]
+    assert got == [{"item": {"@id": "42", "value": "99"}}, {"r": {"_text": "t", "b": ["", "1", {"@x": "2", "_text": "3"}]}}, {"r": {"@{u}k": "v", "c": ""}},
+                   {"_raw_xml": "not xml"}, {"_raw_xml": ""}, None, {"e": ""}, {"_raw_xml": deep}, {"a": "<é"}]
+
+
 def test_decode(spark):
     rows = [("kafka", b'{"a":1}'), ("mqtt", b"\xff\xfe"), ("socket", b" hi \n"), ("zeromq", b"\x01\xab"), ("rest", b"[1,2]"), ("rest", b"5"), ("websocket", b"txt")]
     df = dc.decode_payload(spark.createDataFrame(rows, "protocol string, raw binary"))

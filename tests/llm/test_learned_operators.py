@@ -193,3 +193,17 @@ def test_clean_documents_are_kept(spark):
     got = queries.QUERIES["op8_quality_rules"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     rows = got.filter("quality = 1 and not base_failed").select("kept").collect()
     assert np.mean([r["kept"] for r in rows]) > 0.97
+
+
+def test_a_language_with_a_line_break_is_a_language(spark):
+    rows = [(1, "one two three " * 10, "e\nn"), (2, "one two three " * 10, "en"), (3, "", "e\nn"), (4, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    made = {r["doc_id"]: r for r in perplexity.measure(df, perplexity.fit(df), keep=["doc_id", "lang"]).collect()}
+    assert made[1]["n_words"] == made[2]["n_words"] == 30 and made[1]["word_chars"] == made[2]["word_chars"] == 110
+    assert made[3]["n_words"] == made[4]["n_words"] == 0 and made[1]["lang"] == "e\nn"
+
+
+def test_words_are_remembered_within_bounds(monkeypatch):
+    assert perplexity.learned("one") is perplexity.learned("one")
+    perplexity.learned("two")
+    assert list(perplexity._LEARNED) == ["two"]

@@ -6,7 +6,8 @@ words of a text together, so that a text which switches between languages is lab
 word. Forward-backward gives each word's probabilities; a text's language is the one with the most
 words by expectation, its score that expected share.
 
-The chain runs over all words of a text in order. Words are runs of letters, in lower case. A text
+The chain runs over all words of a text in order. Words are runs of letters, in lower case; a run of
+more than ``LONGEST`` is read whole, as several words. A text
 without one (null and empty included) is ``und`` with score 0, and so is any text when there was
 nothing to learn from. Equal expectations go to the language that sorts first.
 """
@@ -33,12 +34,14 @@ LEXICON, PURE = 300, 0.9
 CACHED_WORDS = 500_000
 UNKNOWN = "und"
 
-WORDS = re.compile(r"[^\W\d_]+").findall
+#: Letters of a word at most: a longer run, as in scripts without blanks, is several words one after another.
+LONGEST = 60
+WORDS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}").findall
 
 
 def word_features(word: str, lexicons: dict[str, int]) -> list[int]:
     """Buckets of a word's features, affixes and n-grams by bytes; ``lexicons`` has a bit set of languages for each listed word."""
-    crc, raw = zlib.crc32, word[:60].encode()
+    crc, raw = zlib.crc32, word.encode()
     found = [crc(raw, 1), crc(raw[:1], 11), crc(raw[:2], 12), crc(raw[:3], 13), crc(raw[-1:], 21), crc(raw[-2:], 22), crc(raw[-3:], 23)]
     found += [crc(raw[i:i + 3], 33) for i in range(len(raw) - 2)]
     if word in lexicons:

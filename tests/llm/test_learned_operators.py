@@ -207,3 +207,21 @@ def test_words_are_remembered_within_bounds(monkeypatch):
     assert perplexity.learned("one") is perplexity.learned("one")
     perplexity.learned("two")
     assert list(perplexity._LEARNED) == ["two"]
+
+
+def test_long_runs_are_read_whole():
+    same = "abcdefghij" * 6
+    one, two = same + "k" * 400, same + "z" * 400
+    assert "".join(language.WORDS(one)) == one and max(map(len, language.WORDS(one))) == language.LONGEST
+    features = lambda run: [sorted(language.word_features(w, {})) for w in language.WORDS(run)]
+    assert features(one)[0] == features(two)[0] and features(one)[1:] != features(two)[1:]
+    assert language.WORDS("ab1cd_é") == ["ab", "cd", "é"]
+
+
+def test_the_end_of_a_long_run_decides(spark):
+    """Texts without blanks whose first sixty letters are the same."""
+    head = "abcdefghij" * 6
+    rows = [(i, head + ("klm" if i % 2 else "xyz") * (40 + i), "k" if i % 2 else "x") for i in range(40)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, head + "klm" * 90, None), (2, head + "xyz" * 90, None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.predict(asked.drop("lang"), model).collect()} == {1: "k", 2: "x"}

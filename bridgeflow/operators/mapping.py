@@ -251,6 +251,8 @@ def validate_plans(plans: DataFrame, compat: bool = False) -> DataFrame:
     """
     from .records import record_text, run_plans
 
+    # written once: the cases are taken from the plans and joined back to them
+    plans = durable(plans)
     # the outcome depends on the contracts, the steps and the envelope, so each combination runs once
     case = ["p_ck", "c_ck", "envelope", "normalize", "flatten"]
     cases = plans.select(*case, "producer_fields", "mappings").dropDuplicates(case)

@@ -45,7 +45,7 @@ NEW_LINKS = "links AS (SELECT * FROM approved a WHERE NOT EXISTS (SELECT 1 FROM
 
 
 @suite.query("create_bridges", ln.with_(ln.NODES, ln.PAIRS, ln.ACTIVE, APPROVED, NEW_LINKS, ALIGN, recursive=True) + f"""
-SELECT producer_id, consumer_id, composite, substr(sha256(producer_id || ':' || consumer_id), 1, 8) AS bridge_id, 'live' AS state,
+SELECT producer_id, consumer_id, composite, substr(sha256(producer_id || ':' || consumer_id), 1, 16) AS bridge_id, 'live' AS state,
   {sql_hmac(f"producer_id || ':' || consumer_id || ':0.1.0:{NOW // 1000000}'")} AS provenance, len(hits) AS n_mappings, CASE {LOOKUP} END AS envelope
 FROM ends JOIN aligned USING (sn, st, dn, dt) JOIN links USING (producer_id, consumer_id) JOIN nodes p ON p.node_id = producer_id JOIN nodes c ON c.node_id = consumer_id""")
 def _(t):

@@ -3,7 +3,9 @@
 A tolerant scan builds the element tree (unclosed and misplaced tags are closed as browsers do for
 the common cases). Every paragraph gives points for its length and commas to its ancestors, less
 to farther ones; an element's points are discounted by its share of link text. The best container
-and those siblings that hold text of their own are kept, without boilerplate elements.
+and those siblings that hold text of their own are kept, without boilerplate elements. Elements are
+boilerplate by kind or by words of their class, id and role; forms and elements marked by such words
+stay where they hold most of the page's paragraphs, except what readers wrote.
 
 Null and empty pages have the empty text. A page without any paragraph worth points gives the
 text of its body that is neither boilerplate nor mostly links.
@@ -27,7 +29,7 @@ _RAW = frozenset("script style xmp iframe noembed noframes title textarea".split
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike "
                     "strong sub sup time tt u var br wbr img input".split())
 #: Elements that are never part of an article.
-_BOILER = frozenset("nav footer aside form button select option fieldset menu dialog template noscript svg canvas object "
+_BOILER = frozenset("nav footer aside button select option fieldset menu dialog template noscript svg canvas object "
                     "audio video map head".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
                       "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -42,6 +44,8 @@ _MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor
                    "overlay newsletter subscribe signup share sharing social related recommended recommendations teaser comment "
                    "comments disqus reply replies widget pagination pager toolbar hidden complementary contentinfo search login "
                    "disclaimer".split())
+#: Marks of what readers wrote, however much it is.
+_REPLIES = frozenset("comment comments disqus reply replies".split())
 _UNMARKED = frozenset("html body main article".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -49,33 +53,71 @@ _POINTS = {"article": 10, "main": 10, "section": 3, "div": 5, "pre": 3, "td": 3,
            "address": -3, "header": -5, "h1": -5, "h2": -5, "h3": -5, "th": -5}
 #: A paragraph shorter than this gives no points; ancestors above so many levels get none.
 SHORT, LEVELS = 25, 5
+#: A marked element that holds more than this share of a page's paragraph points may be its layout.
+MOST = 0.6
 
 
-def _boiler(tag: str, attributes: str) -> bool:
+NEVER, PERHAPS = 2, 1
+
+
+def _boiler(tag: str, attributes: str) -> int:
+    """``NEVER`` for what is never part of an article, ``PERHAPS`` for what its name or kind marks as boilerplate, else 0."""
     if tag in _BOILER:
-        return True
+        return NEVER
+    found = PERHAPS if tag == "form" else 0
     if not attributes or tag in _UNMARKED:
-        return False
+        return found
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
-            if any(w.lower() in _MARKS for w in _WORD.findall(value)):
-                return True
+            words = {w.lower() for w in _WORD.findall(value)}
+            # a word inside a line is no layout
+            if words & _REPLIES or tag in _INLINE and words & _MARKS:
+                return NEVER
+            if words & _MARKS:
+                found = PERHAPS
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-    return False
+            return NEVER
+    return found
+
+
+def _gain(text: str) -> float:
+    """Points of a paragraph."""
+    return 1 + text.count(",") + min(len(text) / 100, 3)
 
 
 class _Page:
     """Elements in page order with their parents, and blocks of text with the element they lie in."""
 
     def __init__(self, html: str) -> None:
-        self.tags, self.parents, self.dropped, self.linked = ["#root"], [-1], [False], [False]
+        self.tags, self.parents, self.marks, self.linked = ["#root"], [-1], [0], [False]
+        self.gone = [False]  # inside an element that is never part of an article
         #: (element, text, characters in links)
         self.blocks: list[tuple[int, str, int]] = []
         self._text: list[str] = []
         self._links, self._home = 0, 0
         self._scan(html)
+        self._drop()
+
+    def _drop(self) -> None:
+        """Drop marked elements, unless they hold most of the paragraphs of a page, several of them, and the
+        element that the page itself names its article, if there is one."""
+        count = len(self.tags)
+        held, several, named = [0.0] * count, [0] * count, [0] * count
+        for node, text, linked in self.blocks:
+            if len(text) >= SHORT and 2 * linked < len(text):
+                held[node] += _gain(text)
+                several[node] += 1
+        for node in range(count - 1, 0, -1):
+            named[node] += self.tags[node] in ("article", "main")
+            for sums in (held, several, named):
+                sums[self.parents[node]] += sums[node]
+        self.dropped = self.gone[:]
+        for node in range(1, count):
+            layout = held[node] > MOST * held[0] and several[node] > 1 and (named[node] or not named[0])
+            marked = self.marks[node] and not layout
+            self.dropped[node] = self.dropped[node] or self.dropped[self.parents[node]] or marked
+        self.blocks = [b for b in self.blocks if not self.dropped[b[0]]]
 
     def _flush(self) -> None:
         text = " ".join(unescape("".join(self._text)).split()) if self._text else ""
@@ -84,7 +126,7 @@ class _Page:
         self._text, self._links = [], 0
 
     def _add(self, node: int, raw: str) -> None:
-        if not raw or self.dropped[node]:
+        if not raw or self.gone[node]:
             return
         if not self._text:
             if raw.isspace():
@@ -157,8 +199,11 @@ class _Page:
             up = stack[-1]
             self.tags.append(tag)
             self.parents.append(up)
-            self.dropped.append(self.dropped[up] or _boiler(tag, attributes)
-                                or tag == "header" and not (open_tags.get("article") or open_tags.get("main")))
+            mark = _boiler(tag, attributes)
+            if tag == "header" and not (open_tags.get("article") or open_tags.get("main")):
+                mark = mark or PERHAPS
+            self.marks.append(mark)
+            self.gone.append(self.gone[up] or mark == NEVER)
             self.linked.append(self.linked[up] or tag == "a")
             stack.append(len(self.tags) - 1)
             open_tags[tag] = open_tags.get(tag, 0) + 1
@@ -173,7 +218,7 @@ class _Page:
             links[node] += linked
             if len(text) < SHORT:
                 continue
-            gain = 1 + text.count(",") + min(len(text) / 100, 3)
+            gain = _gain(text)
             up = node if tags[node] in ("div", "section", "article", "main", "body", "td") else parents[node]
             share = 1.0
             for level in range(LEVELS):

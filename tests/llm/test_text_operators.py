@@ -202,3 +202,26 @@ def test_pages(spark):
     assert len(texts) == len(rows) and (3, PARAGRAPH) in texts and (1, "") in texts
     assert (4, "\n".join([PARAGRAPH] * 2_000)) in texts and (0, " ".join(LONG.split())) in texts
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+MARKED_UP = "<p>This is a long paragraph of the article, with commas, words, and more text to be kept in the end.</p>"
+COOKIES = "<p>Short words about the cookies that we use on this site, please agree to all of them.</p>"
+
+
+@pytest.mark.parametrize("open_, close", [("<form id=aspnetForm><div>", "</div></form>"), ('<div class="layout with-sidebar">', "</div>"),
+                                          ('<div id="social-science">', "</div>"), ('<div class="research login-free"><div class=promo>', "</div></div>")])
+def test_a_layout_is_no_boilerplate(open_, close):
+    """Names that mark boilerplate do not remove the element that holds the article."""
+    page = f'<body>{open_}<div class=sidebar>{COOKIES}</div><div>{MARKED_UP * 4}</div><div class="cookie-notice">{COOKIES}</div>{close}<div class=ad>{COOKIES}</div></body>'
+    assert html_text._Page(page).main_text() == "\n".join([MARKED_UP[3:-4]] * 4)
+
+
+def test_boilerplate_stays_out_however_much_it_is():
+    comments = f'<body><div>{MARKED_UP}</div><div class="comments">{COOKIES * 20}</div></body>'
+    assert html_text._Page(comments).main_text() == MARKED_UP[3:-4]
+    named = f'<body><article><h1>Short</h1><p>Little text here.</p></article><div class="ad">{COOKIES * 9}</div></body>'
+    assert html_text._Page(named).main_text() == "Short\nLittle text here."
+    lone = f'<body><div><p>Little text here, and a bit more of it.</p></div><div class="ad">{COOKIES[3:-4]}</div></body>'
+    assert html_text._Page(lone).main_text() == "Little text here, and a bit more of it."
+    hidden = f'<body><div style="display: none">{COOKIES * 9}</div><div>{MARKED_UP}</div></body>'
+    assert html_text._Page(hidden).main_text() == MARKED_UP[3:-4]

@@ -268,3 +268,32 @@ def test_null_keys_are_keys(spark):
 def test_empty_ids_are_no_ids(spark):
     df = spark.createDataFrame([(1, "", 1), (2, "", 2), (3, None, 3), (4, "x", 4), (5, "x", 5)], "event_id int, msg_id string, t long")
     assert [r["event_id"] for r in rs.dedupe_ttl(df).filter("is_duplicate").collect()] == [5]
+
+
+def test_embedding_streams_texts_by_key(spark):
+    """Texts of a key add up, whatever their number and white space, and no table of words or grams is built."""
+    import hashlib
+    import math
+    import re
+    from collections import Counter
+
+    from bridgeflow.operators.matching import ngram_embedding
+
+    rows = [(k, f"Ab c{i % 7} ÄB\x1cd " + "x" * (i % 5)) for i in range(400) for k in ("hot", f"k{i % 9}")] + [(None, "a b"), (None, "c"), ("none", None), ("blank", " \t")]
+    made = ngram_embedding(spark.createDataFrame(rows, "id string, body string"), "id", "body")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
+    counts = {}
+    for key, body in rows:
+        for w in re.split("[\t-\r \x85\xa0 ]+", (body or "").lower()):
+            for n in (1, 2, 3):
+                for i in range(len(w) - n + 1):
+                    counts.setdefault(key, Counter())[int(hashlib.md5(w[i:i + n].encode()).hexdigest()[:8], 16) % 4096] += 1
+    wanted = {}
+    for key, c in counts.items():
+        norm = math.sqrt(sum(n * n for n in c.values()))
+        for b, n in c.items():
+            if b // 10 < 384:
+                wanted[key, b // 10] = wanted.get((key, b // 10), 0) + n / norm / 10
+    got = {(r["id"], r["dim"]): r["weight"] for r in made.collect()}
+    assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-12 for k in wanted)

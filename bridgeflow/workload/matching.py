@@ -9,6 +9,7 @@ from ..functions.text import name_similarity
 from ..operators import contracts as ct
 from ..operators import mapping as mp
 from ..operators import matching as mt
+from ..session import counted
 from . import lenses as ln
 from .base import Suite
 from .mapping import ALIGN, MAPPING_TEXT, TYPE_ROWS, mapping_text, sql_grams
@@ -105,8 +106,10 @@ SELECT producer_id, consumer_id, {MAPPING_TEXT} AS mappings FROM ends JOIN align
 def _(t):
     n = ln.nodes(t).withColumn("ck", mp.contract_key(F.col("fields")))
     pairs = mp._two_ends(ln.links(t), n, ["ck"])
-    aligned = mt.align_contracts(pairs.select("p_ck", "c_ck").distinct(), n.select("ck", "fields").dropDuplicates(["ck"]))
-    return pairs.join(aligned, ["p_ck", "c_ck"]).select("producer_id", "consumer_id", mapping_text(F.col("mappings")).alias("mappings"))
+    aligned = mt.align_contracts(pairs.select("p_ck", "c_ck"), n.select("ck", "fields").dropDuplicates(["ck"]))
+    # texts are made once a contract pair
+    texts = counted(aligned.select("p_ck", "c_ck", mapping_text(F.col("mappings")).alias("mappings")))
+    return pairs.join(texts, ["p_ck", "c_ck"]).select("producer_id", "consumer_id", "mappings")
 
 
 RISK = """least(1.0, CASE WHEN p.node_id IN ('p1', 'c1') OR c.node_id IN ('p1', 'c1') THEN 1.0 ELSE 0.0 END

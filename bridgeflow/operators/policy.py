@@ -51,7 +51,7 @@ def zone_of(node_id: Column, endpoint: Column, rules: SecurityRules) -> Column:
 
 
 def needs_approval(p_zone: Column, c_zone: Column, rules: SecurityRules) -> Column:
-    approved = [F.array_sort(F.array(p_zone, c_zone)) == F.array(*[F.lit(z) for z in sorted(pair)]) for pair in rules.auto_approved]
+    approved = [((p_zone == a) & (c_zone == b)) | ((p_zone == b) & (c_zone == a)) for a, b in rules.auto_approved]
     out = p_zone != c_zone
     for a in approved:
         out = out & ~a
@@ -175,12 +175,12 @@ def evaluate_policy(
         .join(bridges_per_node(active), "node_id", "left")
         .withColumns({"listed": known("listed", F.lit(False)), "trusted": known("trusted", F.lit(False)), "bridges": known("bridges", F.lit(0))})
     )
-    facts = node_security(facts, rules, "node_id", "endpoint", "")
+    # written once, as both ends read it
+    facts = durable(node_security(facts, rules, "node_id", "endpoint", "").drop("endpoint"))
     known_columns = ("protocol", "confidence", "rate", "listed", "trusted", "bridges", "refused", "unlisted", "zone")
     end = lambda mark, key: facts.select(F.col("node_id").alias(key), *[F.col(n).alias(mark + n) for n in known_columns])
-    x = candidates.join(end("p_", "producer_id"), "producer_id", "left").join(end("c_", "consumer_id"), "consumer_id", "left")
-    x = gate_circular(_pair_security(x, rules), active)
-    x = x.withColumns({"blacklist_reason": _blacklist_reason(), "both_whitelisted": F.col("p_trusted") & F.col("c_trusted"), "cap_reason": _cap_reason(cap)})
+    # reverse pairs first, while the rows are narrow; nothing is shuffled after the columns of the second end
+    x = gate_circular(candidates, active)
     if blocked is None:
         x = x.withColumn("blocked_by", F.lit(None).cast("string"))
     else:
@@ -188,6 +188,9 @@ def evaluate_policy(
         passed = F.bool_or(F.col("blocked_by").isNull())
         refused = blocked.groupBy(*keys).agg(F.when(~passed, F.min("blocked_by")).alias("blocked_by"))
         x = x.join(refused, keys, "left")
+    x = x.join(end("p_", "producer_id"), "producer_id", "left").join(end("c_", "consumer_id"), "consumer_id", "left")
+    x = _pair_security(x, rules)
+    x = x.withColumns({"blacklist_reason": _blacklist_reason(), "both_whitelisted": F.col("p_trusted") & F.col("c_trusted"), "cap_reason": _cap_reason(cap)})
     c = F.col
     x = x.withColumn("__ratio", rate_ratio(c("p_rate"), c("c_rate"))).withColumn(
         "__risk", quick_risk(c("p_listed"), c("c_listed"), c("p_protocol"), c("c_protocol"), c("p_confidence"), c("c_confidence")))

@@ -210,8 +210,8 @@ SELECT producer_id, consumer_id, CASE WHEN code IN (3, 9, 10) THEN 'stage' WHEN
   round(CASE code WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 0.8 WHEN 4 THEN 1 WHEN 5 THEN 0 WHEN 6 THEN 0.5 WHEN 7 THEN 0.5 WHEN 8 THEN 0.6 WHEN 9 THEN 0.7 ELSE risk END, 6)::DOUBLE AS risk
 FROM coded""")
 def _(t):
-    links = ln.links(t)
-    asked = links.unionByName(links.select(F.concat(F.lit("x"), "producer_id").alias("producer_id"), "consumer_id"))
+    unknown = F.concat(F.lit("x"), "producer_id")
+    asked = ln.links(t).select(F.explode(F.array("producer_id", unknown)).alias("producer_id"), "consumer_id")
     rules = pl.SecurityRules(extra_refused=["mavlink://*"], zones={"bus": ["kafka://*"], "store": ["database://*"]}, auto_approved=[("default", "bus")])
     made = pl.evaluate_policy(asked, ln.nodes(t), ln.active(t), rules, blacklist(t), whitelist(t), cap=CAP, stage_risk=0.3)
     return made.withColumn("risk", F.round("risk", 6))

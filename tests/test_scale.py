@@ -297,3 +297,24 @@ def test_embedding_streams_texts_by_key(spark):
                 wanted[key, b // 10] = wanted.get((key, b // 10), 0) + n / norm / 10
     got = {(r["id"], r["dim"]): r["weight"] for r in made.collect()}
     assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-12 for k in wanted)
+
+
+def test_policy_shuffles_no_columns_of_both_ends(spark):
+    """Reverse pairs are met before the node columns come in: the last exchange of the pairs holds those of one end."""
+    nodes = spark.createDataFrame([(n, "rest", f"rest://{n}", 0.9, 1.0) for n in "abcd"], "node_id string, protocol string, endpoint string, confidence double, rate double")
+    pairs = spark.createDataFrame([(a, b) for a in "abcdx" for b in "abcd" if a != b], "producer_id string, consumer_id string")
+    active, ids = pairs.filter("producer_id = 'a'"), spark.createDataFrame([], "node_id string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rules = pl.SecurityRules(zones={"one": ["a"], "two": ["b"], "three": ["c"]}, auto_approved=[("two", "one")])
+        made = pl.evaluate_policy(pairs, nodes, active, rules, ids, ids)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        # the reverse pairs are the deepest join, so that no join lies above the two with the nodes
+        joins = [line for line in plan.split("\n") if "SortMergeJoin" in line]
+        assert len(joins) == 3 and "producer_id" in joins[-1] and "consumer_id" in joins[-1]
+        got = {(r["producer_id"], r["consumer_id"]): r["reason"] for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 16 and got["x", "a"] == "node-not-found" and got["a", "c"].startswith("cross-zone-bridge:one")
+    assert got["a", "b"] == "all-checks-passed" and got["b", "a"] == "circular-dependency" and got["d", "c"].startswith("cross-zone")

@@ -318,3 +318,22 @@ def test_policy_shuffles_no_columns_of_both_ends(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(got) == 16 and got["x", "a"] == "node-not-found" and got["a", "c"].startswith("cross-zone-bridge:one")
     assert got["a", "b"] == "all-checks-passed" and got["b", "a"] == "circular-dependency" and got["d", "c"].startswith("cross-zone")
+
+
+def test_scored_pairs_are_not_shuffled(spark, monkeypatch):
+    """Taken pairs leave by lists per producer and group, long lists by a join; the rows are the same."""
+    from bridgeflow.operators import matching as mt
+
+    nodes = spark.createDataFrame([(f"{r[0]}{i}", r, "rest", [("price", "float")], ["market"], "json", 1.0, 1.0) for r in ("producer", "consumer") for i in range(30)],
+                                  "node_id string, role string, protocol string, fields array<struct<name:string,type:string>>, tags array<string>, encoding string, rate double, confidence double")
+    taken = spark.createDataFrame([("p0", f"c{i}") for i in range(25)] + [("p1", "c3"), ("p1", "c3"), ("p1", "gone"), ("gone", "c1")], "producer_id string, consumer_id string")
+    history = spark.createDataFrame([], "producer_protocol string, consumer_protocol string, history double")
+    want = {(f"p{i}", f"c{j}") for i in range(30) for j in range(30)} - {(r[0], r[1]) for r in taken.collect()}
+    for most in (200, 10, 0):
+        monkeypatch.setattr(mt, "MOST_LISTED", most)
+        made = mt.score_pairs(nodes, taken, history)
+        if most == 200:
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "LeftAnti" not in plan
+        got = [(r[0], r[1]) for r in made.collect()]
+        assert len(got) == len(want) and set(got) == want

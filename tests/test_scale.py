@@ -337,3 +337,38 @@ def test_scored_pairs_are_not_shuffled(spark, monkeypatch):
             assert "LeftAnti" not in plan
         got = [(r[0], r[1]) for r in made.collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_connected_nodes_are_settled_by_their_first_pairs(spark, monkeypatch):
+    """Few pairs of each node are settled, and more where these do not fill it; the verdicts are those of one pair after the other."""
+    from bridgeflow.plans import jobs
+
+    kind = "node_id string, role string, protocol string, endpoint string, fields array<struct<name:string,type:string>>, tags array<string>, encoding string, rate double, confidence double"
+    nodes = [(f"{r[0]}{i}", r, "rest", "rest://x", [("price", "float")], ["market"], "json", 1.0, 1.0) for r, n in (("producer", 4), ("consumer", 12)) for i in range(n)]
+    df, ids = spark.createDataFrame(nodes, kind), lambda names: spark.createDataFrame([(x,) for x in names], "node_id string")
+    active = spark.createDataFrame([("p0", "c0"), ("p3", "c0"), ("c10", "p1")], "producer_id string, consumer_id string")
+    outcomes = spark.createDataFrame([("rest", "rest", True)], "producer_protocol string, consumer_protocol string, success boolean")
+    sizes, settle = [], pl.settle_batch
+    monkeypatch.setattr(pl, "settle_batch", lambda rows, *a, **k: sizes.append(rows.count()) or settle(rows, *a, **k))
+    monkeypatch.setattr(jobs.lc, "create_bridges", lambda approved, *_: {"bridges": approved, "events": approved})
+    monkeypatch.setattr(pl, "FIRST_PAIRS", 2, raising=False)
+    out = jobs.connect_nodes(df, active, outcomes, pl.SecurityRules(), 0, b"key", ids(["c9"]), ids(["p2", "c8", "c7", "c6"]), cap=3, limit=None)
+    got = {(r["producer_id"], r["consumer_id"]): r["reason"] for r in out["verdicts"].collect()}
+
+    held = {"p0": 1, "p3": 1, "c0": 2, "c10": 1, "p1": 1}
+    want = {}
+    for p, c in sorted((p, c) for p in ("p0", "p1", "p2", "p3") for c in (f"c{i}" for i in range(12)) if c != "c9" and (p, c) not in (("p0", "c0"), ("p3", "c0"))):
+        if p == "p2" and c in ("c8", "c7", "c6"):
+            why = "both-whitelisted"
+        elif held.get(p, 0) >= 3:
+            why = "producer-bridge-cap"
+        elif held.get(c, 0) >= 3:
+            why = "consumer-bridge-cap"
+        else:
+            why = "circular-dependency" if (p, c) == ("p1", "c10") else "all-checks-passed"
+        if why in ("both-whitelisted", "all-checks-passed"):
+            held[p], held[c] = held.get(p, 0) + 1, held.get(c, 0) + 1
+        want[p, c] = why
+    got = {k: v for k, v in got.items() if k[1] != "c9"}
+    assert got == want and len(sizes) > 1 and sizes[0] < len(want)
+    assert sorted((r["producer_id"], r["consumer_id"]) for r in out["bridges"].collect()) == sorted(k for k, v in want.items() if v in ("both-whitelisted", "all-checks-passed"))

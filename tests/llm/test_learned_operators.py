@@ -180,6 +180,25 @@ def test_model_is_kneser_ney(spark):
     assert abs(one["log_ppl"] + logs.sum() / n.sum()) < 1e-6
 
 
+def test_every_ngram_has_its_own_probability(spark, monkeypatch):
+    """Pairs of letters whose numbers had one sum of products, a few letters beyond 16 bits, in arrays and joined."""
+    one, two = "\u5600\u5600", chr(0x5600 + 682) + chr(0x5600 + -69)
+    words = [one] * 30 + [two, "\u5600a", two[0] + "b", "\U0001F600\U0010FFFFab", "abcdefgh", "abcxefgh"] * 2
+    df = spark.createDataFrame([(i, " ".join(words[i::6]), "xx") for i in range(6)] + [(50, None, None), (51, "", "yy")], "doc_id long, text string, lang string")
+    p, model = plain_model(words), perplexity.fit(df)
+    checked = sorted(set(words)) + ["zq", two[0] + "\u5600"]
+    got, _ = model.word_logs(checked, "xx")
+    for w, g in zip(checked, got):
+        s = perplexity.START * 4 + w + perplexity.END
+        assert abs(g - sum(math.log10(p(s[i - 4:i + 1])) for i in range(4, len(s)))) < 1e-3, w
+    rows = lambda m: {r["doc_id"]: r.asDict() for r in perplexity.measure(df, m).collect()}
+    arrays = rows(model)
+    monkeypatch.setattr(perplexity, "MOST_ROWS", 0)
+    joined = perplexity.fit(df)
+    assert isinstance(joined, perplexity.Joined) and arrays[50]["log_ppl"] is None
+    assert rows(joined) == {k: r | {"log_ppl": r["log_ppl"] and pytest.approx(r["log_ppl"], abs=1e-5)} for k, r in arrays.items()}
+
+
 def test_perplexity_hard_rows_and_bands(spark):
     df = hard_table(spark)
     measured = perplexity.measure(df, perplexity.fit(df), keep=["doc_id", "lang"])

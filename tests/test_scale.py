@@ -339,6 +339,32 @@ def test_scored_pairs_are_not_shuffled(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_bundled_consumers_are_scored_once(spark, monkeypatch):
+    """A producer is scored with bundles of like consumers, not pair by pair; the rows are the same for any size of a bundle."""
+    import re
+
+    from bridgeflow.operators import matching as mt
+
+    kind = "node_id string, role string, protocol string, fields array<struct<name:string,type:string>>, tags array<string>, encoding string, rate double, confidence double"
+    alike = [("both" if i % 5 == 0 else r, f"{r[0]}{i}", [None, 1.0, 3.0][i % 3], [0.93, 1.0][i % 2]) for r in ("producer", "consumer") for i in range(30)]
+    nodes = spark.createDataFrame([(n, r, "rest", [("price", "float")], ["market"], "json", rate, sure) for r, n, rate, sure in alike], kind)
+    taken = spark.createDataFrame([("p0", "c1"), ("p1", "c1"), ("p1", "p0")], "producer_id string, consumer_id string")
+    history = spark.createDataFrame([], "producer_protocol string, consumer_protocol string, history double")
+    want = {(p, c) for r, p, _, _ in alike for q, c, _, _ in alike if r != "consumer" and q != "producer" and p != c} - {(x[0], x[1]) for x in taken.collect()}
+    rows = []
+    for size in (512, 2, 1):
+        monkeypatch.setattr(mt, "BUNDLE", size, raising=False)
+        made = mt.score_pairs(nodes, taken, history, digits=6)
+        rows.append(sorted(tuple(r) for r in made.collect()))
+        if size == 512:
+            plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+            # consumers are unfolded after the last join and after the last score
+            unfold = next(i for i, line in enumerate(plan) if "Generate explode(consumers" in line)
+            assert not any(re.search("Join|LOG10|round", line) for line in plan[:unfold])
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == len(want) and {r[:2] for r in rows[0]} == want
+    assert all(x == round(x, 6) for r in rows[0] for x in r[2:])
+
+
 def test_connected_nodes_are_settled_by_their_first_pairs(spark, monkeypatch):
     """Few pairs of each node are settled, and more where these do not fill it; the verdicts are those of one pair after the other."""
     from bridgeflow.plans import jobs

@@ -365,6 +365,19 @@ def test_bundled_consumers_are_scored_once(spark, monkeypatch):
     assert all(x == round(x, 6) for r in rows[0] for x in r[2:])
 
 
+def test_long_lists_of_taken_pairs_are_not_joined_with_the_pairs(spark):
+    """A producer with hundreds of taken consumers in a group is met by lists of their bundles, not by a join that shuffles its pairs."""
+    from bridgeflow.operators import matching as mt
+
+    nodes = spark.createDataFrame([(f"{r[0]}{i}", r, "rest", [("price", "float")], ["market"], "json", 1.0, 1.0) for r, n in (("producer", 3), ("consumer", 1300)) for i in range(n)],
+                                  "node_id string, role string, protocol string, fields array<struct<name:string,type:string>>, tags array<string>, encoding string, rate double, confidence double")
+    held = {("p0", f"c{i}") for i in range(600)} | {("p1", f"c{i}") for i in range(1300)}
+    made = mt.score_pairs(nodes, spark.createDataFrame(sorted(held), "producer_id string, consumer_id string"), spark.createDataFrame([], "producer_protocol string, consumer_protocol string, history double"))
+    assert "LeftAnti" not in made._jdf.queryExecution().executedPlan().toString()
+    got = [(r[0], r[1]) for r in made.collect()]
+    assert len(got) == len(set(got)) == 3 * 1300 - len(held) and set(got) == {(f"p{i}", f"c{j}") for i in range(3) for j in range(1300)} - held
+
+
 def test_connected_nodes_are_settled_by_their_first_pairs(spark, monkeypatch):
     """Few pairs of each node are settled, and more where these do not fill it; the verdicts are those of one pair after the other."""
     from bridgeflow.plans import jobs

@@ -411,3 +411,27 @@ def test_connected_nodes_are_settled_by_their_first_pairs(spark, monkeypatch):
     got = {k: v for k, v in got.items() if k[1] != "c9"}
     assert got == want and len(sizes) > 1 and sizes[0] < len(want)
     assert sorted((r["producer_id"], r["consumer_id"]) for r in out["bridges"].collect()) == sorted(k for k, v in want.items() if v in ("both-whitelisted", "all-checks-passed"))
+
+
+def test_nodes_and_lists_are_never_broadcast_by_an_estimate(spark):
+    """Files are packed, so large tables of nodes or ids pass for small ones; joins with them must not send them whole to the driver."""
+    from bridgeflow.operators import mapping as mp, matching as mt
+    from bridgeflow.plans import jobs
+
+    lit, at = F.lit, F.col("id").cast("string")
+    # a range has a size that Spark knows, as files have
+    nodes = spark.range(8).select(
+        F.concat(F.when(F.col("id") < 4, "p").otherwise("c"), at).alias("node_id"), F.when(F.col("id") < 4, "producer").otherwise("consumer").alias("role"),
+        lit("rest").alias("protocol"), F.concat(lit("rest://"), at).alias("endpoint"), F.array(F.struct(at.alias("name"), lit("float").alias("type"))).alias("fields"),
+        F.array(lit("market")).alias("tags"), lit("json").alias("encoding"), lit(1.0).alias("rate"), lit(1.0).alias("confidence"))
+    pairs = spark.range(2).select(F.concat(lit("p"), at).alias("producer_id"), F.concat(lit("c"), (F.col("id") + 4).cast("string")).alias("consumer_id"))
+    ids = nodes.select("node_id").filter("node_id < 'c6'")
+    sent = lambda df: "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+    assert sent(pairs.join(nodes, F.col("producer_id") == F.col("node_id")))
+    facts = pl.node_facts(nodes, pairs, pl.SecurityRules(), ids, ids)
+    profiles = mt.node_profiles(nodes, ids)
+    told = jobs.told_nodes(nodes, facts)
+    ends = mp._two_ends(pairs, nodes, ["protocol"])
+    gated = pl.gate_whitelist(pl.gate_blacklist(pairs, ids), ids)
+    for made, rows in ((facts, 8), (profiles, 8), (told, 8), (ends, 2), (gated, 2)):
+        assert made.count() == rows and not sent(made)
